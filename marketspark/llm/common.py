@@ -44,12 +44,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Row ranges of a batch with about SLICE_BYTES of text each (one longer text stands alone)."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Row ranges of a batch with about `size` bytes of text each (one longer text stands alone)."""
     data, at = raw(batch.column(column))
     first = 0
     while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         last = min(last, batch.num_rows)
         yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last

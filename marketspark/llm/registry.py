@@ -1,6 +1,10 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import simhash
+from marketspark.llm import bpe, pii, simhash
 
-QUERIES = {"op1_simhash": simhash.query}
+QUERIES = {
+    "op1_simhash": simhash.query,
+    "op3_bpe": bpe.query,
+    "op10_pii": pii.query,
+}
 ORACLES: dict[str, str] = {}
