@@ -1,10 +1,12 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, pii, simhash
+from marketspark.llm import bpe, chat, pii, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_chat": chat.query,
     "op3_bpe": bpe.query,
+    "op4_sharding": sharding.query,
     "op10_pii": pii.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE}
