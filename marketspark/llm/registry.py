@@ -1,12 +1,14 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, chat, pii, sharding, simhash
+from marketspark.llm import bpe, chat, lm, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_chat": chat.query,
     "op3_bpe": bpe.query,
     "op4_sharding": sharding.query,
+    "op6_lm": lm.query,
+    "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
 }
 ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE}
