@@ -96,10 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
         at = np.flatnonzero(w)
         yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[model.bias(), w[at]])], names=["at", "w"])
 
-    got = sample.mapInArrow(run, "at long, w double").toPandas().sort_values("at")
-    if got.empty:
+    got = sample.mapInArrow(run, "at long, w double").toArrow()
+    if not got.num_rows:
         return np.zeros(0, np.int64), np.zeros(0), -4.0
-    return got["at"].to_numpy()[1:], got["w"].to_numpy()[1:], float(got["w"].iloc[0])
+    places, values = (got.column(c).to_numpy() for c in ("at", "w"))  # one task wrote them, the bias first
+    return places[1:], values[1:], float(values[0])
 
 
 def scored(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
