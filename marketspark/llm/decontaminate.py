@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], s: Settings):
         self.s, self.ids, self.shingles, self.answers = s, [], [], []
         texts, sizes = [], []
-        for item, text in sorted(items):
-            raw = (text or "").encode()
+        for item, text in sorted((i, pc.utf8_lower(pa.scalar(t or "")).as_py()) for i, t in items):
+            raw = text.encode()
             h, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             if len(h):
                 self.ids.append(item)
@@ -186,10 +187,14 @@ def _marker(items, s: Settings, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items.value, s)
         for batch in batches:
-            for part, data, at in slices(batch, "text"):
+            low = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
+            done = 0
+            for part, data, at in slices(low, "text"):
+                raw = batch.slice(done, part.num_rows)
+                done += part.num_rows
                 before = part.column("leaks")
                 leaks = [a + b for a, b in zip(before.to_pylist(), index.leaks(data, at), strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(leaks, before.type)], names=[*keep, "leaks"])
+                yield pa.record_batch([*(raw.column(c) for c in keep), pa.array(leaks, before.type)], names=[*keep, "leaks"])
 
     return run
 
@@ -198,7 +203,7 @@ def marked(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataF
     """docs with one more column, leaks: an array of (item_id, score, question_overlap, answer_overlap) of the items that a
     passage of the text holds, by item_id.
 
-    items(item_id, text): the last sentence is taken as the answer. Case is ignored (A-Z). Null and wordless texts and
+    items(item_id, text): the last sentence is taken as the answer. Case is ignored. Null and wordless texts and
     items match nothing; an item_id that repeats is reported once for each of its texts; rows, other columns and repeated
     rows of docs stay; a column named leaks is replaced. No shuffle: documents meet each broadcast block of items."""
     return _looked_up(docs.drop("leaks"), items, s, docs.drop("leaks").columns)

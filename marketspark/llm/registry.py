@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, chat, lm, pii, sharding, simhash, toxicity
+from marketspark.llm import bpe, chat, decontaminate, lm, pii, search, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_bpe": bpe.query,
     "op4_sharding": sharding.query,
     "op6_lm": lm.query,
+    "op7_decontaminate": decontaminate.query,
+    "op8_search": search.query,
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
 }
-ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op8_search": search.ORACLE}
