@@ -1,12 +1,13 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, chat, decontaminate, lm, pii, search, sharding, simhash, toxicity
+from marketspark.llm import bpe, chat, decontaminate, lm, pii, search, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_chat": chat.query,
     "op3_bpe": bpe.query,
     "op4_sharding": sharding.query,
+    "op5_suffixes": suffixes.query,
     "op6_lm": lm.query,
     "op7_decontaminate": decontaminate.query,
     "op8_search": search.query,

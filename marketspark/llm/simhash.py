@@ -134,5 +134,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
+    """docs with one row of each component of near_duplicates(): the one with the least doc_id. doc_id names a document,
+    so of rows that repeat it one stays; rows with a null doc_id stay. Columns and their order are kept; an empty table
+    stays empty."""
+    found = near_duplicates(docs, size, bits).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
