@@ -21,9 +21,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Words whose ids a task remembers; the memory is emptied beyond that, with no effect on the result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of text that share one pair index.
-INDEXED = 8 << 20
+INDEXED = 3 << 20
 
 
 def byte_letters() -> list[str]:
