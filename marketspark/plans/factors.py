@@ -33,15 +33,21 @@ STEPS = {
 }
 
 
+#: Moves exact halves off the rounding edge, alike in all engines.
+EDGE = 1.000000001
+
+
 def shown(x: str) -> Column:
-    """Six digits; beyond 1e9 the signed logarithm, which engines agree on."""
-    c = F.col(x)
-    small = F.round(c, 6)
-    return F.when(F.abs(c) < 1e9, F.when(small == 0, 0.0).otherwise(small)).otherwise(F.signum(c) * F.round(F.ln(F.abs(c)), 4)).alias(x)
+    """About six digits, in classes of size, so that sums in another order print alike; beyond 1e9 the signed logarithm."""
+    c = F.col(x) * EDGE
+    size = F.abs(c)
+    made = F.when(size < 10, F.round(c, 5)).when(size < 1e4, F.round(c, 3)).when(size < 1e9, F.round(c, 0)).otherwise(F.signum(c) * F.round(F.ln(size), 4))
+    return F.when(F.round(c, 5) == 0, 0.0).otherwise(made).alias(x)
 
 
 def shown_sql(x: str) -> str:
-    return f"CASE WHEN abs({x}) < 1e9 THEN CASE WHEN round({x}, 6) = 0 THEN 0.0 ELSE round({x}, 6) END ELSE sign({x}) * round(ln(abs({x})), 4) END AS {x}"
+    c = f"({x} * {EDGE})"
+    return f"CASE WHEN round({c}, 5) = 0 THEN 0.0 WHEN abs({c}) < 10 THEN round({c}, 5) WHEN abs({c}) < 1e4 THEN round({c}, 3) WHEN abs({c}) < 1e9 THEN round({c}, 0) ELSE sign({c}) * round(ln(abs({c})), 4) END AS {x}"
 
 
 def _register_expressions(name: str, exprs: dict) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators import panel as P
+from marketspark.operators.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense panel with returns, cap and industry."""
     observed = bars(spark, sf_dir)
     industries = observed.select("instrument", "industry").distinct()
-    return P.attach_cap(P.add_returns(P.attach_industry(P.dense(observed.drop("industry")), industries)))
+    return cut(P.attach_cap(P.add_returns(P.attach_industry(P.dense(observed.drop("industry")), industries))))
 
 
 BARS = """

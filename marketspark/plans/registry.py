@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketspark.plans import factors, market, records
+
+MODULES = (factors, market, records)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: q for m in MODULES for n, q in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {n: q for m in MODULES for n, q in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    """Bars to alphas to gates: one record for each chosen alpha."""
+    return factors.QUERIES["factor_gates"](spark, sf_dir)
