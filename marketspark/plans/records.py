@@ -141,9 +141,9 @@ def ledger_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(_TRADES + """, cum AS (SELECT *, sum(quantity) OVER (PARTITION BY book, symbol, side ORDER BY seq) AS hi FROM costs),
 m AS (SELECT b.book, least(b.hi, s.hi) - greatest(b.hi - b.quantity, s.hi - s.quantity) AS quantity, b.price AS buy_price, s.price AS sell_price FROM cum b JOIN cum s
   ON b.book = s.book AND b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.quantity < s.hi AND s.hi - s.quantity < b.hi)""",
-    "SELECT book, count(*) AS slices, round(avg(CASE WHEN sell_price > buy_price THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(quantity * (sell_price - buy_price)) * 1.000000001, 0) AS profit FROM m GROUP BY book"))
+    "SELECT book, count(*) AS slices, round(avg(CASE WHEN sell_price > buy_price THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(quantity * (sell_price - buy_price)) * 1.000000001, -2) AS profit FROM m GROUP BY book"))
 def ledger_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.win_rate(R.fifo_matches(_trades(spark, sf_dir))).select("book", "slices", F.round("win_rate", 6).alias("win_rate"), F.round(F.col("profit") * EDGE, 0).alias("profit"))
+    return R.win_rate(R.fifo_matches(_trades(spark, sf_dir))).select("book", "slices", F.round("win_rate", 6).alias("win_rate"), F.round(F.col("profit") * EDGE, -2).alias("profit"))
 
 
 @query(sql(BARS + """, s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY instrument ORDER BY date) % 50 = 0 THEN 2.0 ELSE 1.0 END AS split FROM bars),
