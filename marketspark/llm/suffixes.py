@@ -69,9 +69,9 @@ def fragments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int
     return row, first - at[row], number, hashes[anchor], mixed(whole + mixed(form))
 
 
-def suffix_order(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes (places in data, each with `length` bytes) sorted by their first `length` bytes, and whether each has
-    an equal neighbour. A mergesort by whole levels: every element finds its rank in the sibling run by binary search; two
+def suffix_order(data: np.ndarray, suffixes: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes (places in data, each with `length` bytes) sorted by group, then by their first `length` bytes, and
+    whether each has an equal neighbour in its group. A mergesort by whole levels: every element finds its rank in the sibling run by binary search; two
     suffixes are compared by their first eight bytes, then at the end of their common extension, which a binary search
     over prefix hashes finds. Equality is verified byte by byte."""
     prefixes, n = Prefixes(data), len(suffixes)
@@ -98,12 +98,14 @@ def suffix_order(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) -
             out[even] = np.where(size >= length, ties, data[a + end] < data[b + end])
         return out
 
-    order, width = np.arange(n), 1
-    while width < n:
-        place = np.arange(n)
-        run = place // width
+    order, width, place = np.argsort(groups, kind="stable"), 1, np.arange(n)
+    begins = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0]) if n else place
+    sizes = np.diff(np.r_[begins, n])
+    begin, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+    while width < sizes.max(initial=0):
+        run = (place - begin) // width
         sibling = run ^ 1
-        low, high = np.minimum(sibling * width, n), np.minimum((sibling + 1) * width, n)
+        low, high = begin + np.minimum(sibling * width, size), begin + np.minimum((sibling + 1) * width, size)
         start = low.copy()
         right = (run & 1).astype(bool)
         while True:
@@ -116,11 +118,11 @@ def suffix_order(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) -
             before = np.where(right[open_], under(x, y, True), under(x, y, False))
             low[open_], high[open_] = np.where(before, mid + 1, low[open_]), np.where(before, high[open_], mid)
         merged = np.empty(n, dtype=np.int64)
-        merged[(run // 2) * 2 * width + (place - run * width) + (low - start)] = order
+        merged[begin + (run // 2) * 2 * width + (place - begin - run * width) + (low - start)] = order
         order, width = merged, width * 2
     equal = np.zeros(n, dtype=bool)
     left, right = order[:-1], order[1:]
-    close = np.flatnonzero(heads[left] == heads[right])
+    close = np.flatnonzero((heads[left] == heads[right]) & (begin[1:] == begin[:-1]))
     for i in range(0, len(close), 4096):
         part = close[i : i + 4096]
         a, b = suffixes[left[part]], suffixes[right[part]]
@@ -183,7 +185,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sorted_out(pieces: DataFrame) -> DataFrame:
-    """Runs of repeated windows, as rid, s, e (bytes), of the fragments that occur once, by a suffix sort per anchor."""
+    """Runs of repeated windows, as rid, s, e (bytes), of the fragments that occur once, by a suffix sort by anchor."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(x[-1] for x in rows), dtype=np.uint8)
@@ -191,8 +193,12 @@ def _sorted_out(pieces: DataFrame) -> DataFrame:
         number = sizes - LENGTH + 1
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
         inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        _, equal = suffix_order(data, np.repeat(begins, number) + inside)
         of = np.repeat(np.arange(len(rows)), number)
+        # windows can only be equal if they have the same anchor at the same distance: its first place in the fragment
+        ah, grams = np.array([x[3] for x in rows]).view(np.uint64), np.arange(len(data) - GRAM + 1)
+        here = np.flatnonzero(mixed(Prefixes(data).of(grams, grams + GRAM)) == np.repeat(ah, sizes)[grams])
+        anchor = here[np.searchsorted(here, begins)] - begins
+        _, equal = suffix_order(data, np.repeat(begins, number) + inside, mixed(ah[of] + (anchor[of] - inside + LENGTH).astype(np.uint64)).view(np.int64))
         single = np.array([x[2] == 1 for x in rows])[of]
         hit = np.flatnonzero(equal & single)
         first = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (of[hit[1:]] != of[hit[:-1]])]) if len(hit) else hit
@@ -209,7 +215,7 @@ def _sorted_out(pieces: DataFrame) -> DataFrame:
                     yield settle(rows)
                     rows, held = [], 0
                 now = ah
-                rows.append(x)
+                rows.append((*x[:-1], ah, x[-1]))
                 held += len(x[-1])
         if rows:
             yield settle(rows)
