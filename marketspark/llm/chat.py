@@ -35,7 +35,7 @@ def preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
 
     A conversation is its distinct rows by turn, role, text; the prompt is the longest prefix that both conversations
     share, whatever follows in both is rendered in both. The prompt is never trained on; of a completion only what the
-    assistant says is. A null turn counts as -1, a null role as user, a null text as empty; rows without pair_id or chosen
+    assistant says is. A null turn counts as -1 (turns under 0 are in piece 0), a null role as user, a null text as empty; rows without pair_id or chosen
     belong to no conversation and are left out. Without a partner, a conversation is one completion beside an empty one.
     Empty tables give no rows; other columns are ignored. The prefix comes from an aggregate and a join, so one endless
     conversation is neither sorted nor gathered in one task; only `piece` turn numbers meet in a row."""
@@ -47,7 +47,7 @@ def preferences(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     sides = rows.groupBy("pair_id", "t").agg(F.max("chosen").alias("c"), F.max(~F.col("chosen")).alias("r"))
     forks = sides.where("c <> r").groupBy("pair_id").agg(F.min("t").alias("fork"))
     part = F.when(F.col("fork").isNull() | (F.col("t") < F.col("fork")), "prompt")
-    placed = sides.join(forks, "pair_id", "left").select("pair_id", F.floor(F.col("t.turn") / piece).alias("piece"), "t", "c", "r", part.isNotNull().alias("p"))
+    placed = sides.join(forks, "pair_id", "left").select("pair_id", F.floor(F.greatest(F.col("t.turn"), F.lit(0)) / piece).alias("piece"), "t", "c", "r", part.isNotNull().alias("p"))
 
     def side(test: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.expr(test), F.col("t"))))
@@ -79,9 +79,9 @@ WITH t AS (
 ), p AS (
   SELECT *, sum(CASE WHEN c <> r THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY turn, role, text) = 0 AS p FROM s
 ), x AS (
-  SELECT pair_id, CAST(floor(turn / {PIECE}) AS BIGINT) AS piece, turn, role, text, 'prompt' AS part FROM p WHERE p
-  UNION ALL SELECT pair_id, CAST(floor(turn / {PIECE}) AS BIGINT), turn, role, text, 'chosen' FROM p WHERE c AND NOT p
-  UNION ALL SELECT pair_id, CAST(floor(turn / {PIECE}) AS BIGINT), turn, role, text, 'rejected' FROM p WHERE r AND NOT p
+  SELECT pair_id, CAST(floor(greatest(turn, 0) / {PIECE}) AS BIGINT) AS piece, turn, role, text, 'prompt' AS part FROM p WHERE p
+  UNION ALL SELECT pair_id, CAST(floor(greatest(turn, 0) / {PIECE}) AS BIGINT), turn, role, text, 'chosen' FROM p WHERE c AND NOT p
+  UNION ALL SELECT pair_id, CAST(floor(greatest(turn, 0) / {PIECE}) AS BIGINT), turn, role, text, 'rejected' FROM p WHERE r AND NOT p
 ), y AS (
   SELECT *, '{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10) AS shown FROM x
 ), z AS (

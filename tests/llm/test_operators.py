@@ -1,0 +1,308 @@
+"""Each operator against a plain version, and on odd and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marketspark.llm import bpe, chat, common, decontaminate, graph, lm, pii, search, sharding, simhash, suffixes, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_words_match_plain_split():
+    texts = ["Ab  cd\tAB", "", "é x", "\x0b\x0cq\x1cz"]
+    raw = [t.encode() for t in texts]
+    h, row, first = common.words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    want = [r.lower().split() for r in raw]
+    assert np.diff(first).tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = random.Random(1).sample(range(n), n)
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "a long, b long")
+    assert graph.components(links).select("root").distinct().collect()[0][0] == 0
+    assert graph.components(links.where("a < 0")).count() == 0
+
+
+def _union(fps, bits=3):
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_simhash_links_all_near_pairs(spark):
+    r = random.Random(2)
+    center = r.getrandbits(64)
+    fps = [r.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
+    for _ in range(120):
+        x = center
+        for b in r.sample(range(64), r.randint(0, 5)):
+            x ^= 1 << b
+        fps.append(x)
+    fps = sorted(set(fps))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = _union(fps)
+    for hot in (20_000, 3):  # also with divided postings
+        roots = {x.node: x.root for x in graph.components(simhash.links(table, 3, hot)).collect()}
+        got = [roots.get(x, x) for x in signed]
+        assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+def test_simhash_documents(docs):
+    got = {x.doc_id: x for x in simhash.near_duplicates(docs).collect()}
+    data = docs.select("doc_id", "text").collect()
+    for x in data:
+        assert int(got[x.doc_id].fingerprint, 16) == simhash.fingerprint((x.text or "").encode())
+    ids = [x.doc_id for x in data]
+    label = _union([int(got[i].fingerprint, 16) for i in ids])
+    least = {}
+    for i, g in zip(ids, label, strict=True):
+        least[g] = min(least.get(g, i), i)
+    assert all(got[i].component_id == least[g] for i, g in zip(ids, label, strict=True))
+
+
+def test_simhash_odd(odd, empty):
+    got = simhash.near_duplicates(odd)
+    assert got.count() == odd.count() == 13
+    zero = got.where("fingerprint = '0000000000000000'").collect()
+    assert len(zero) == 4 and {x.component_id for x in zero} == {2}
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.representatives(odd)
+    assert kept.columns == odd.columns and kept.where("text like 'same%'").count() == 1 and kept.where("doc_id is null").count() == 1
+    assert simhash.representatives(empty).count() == 0
+
+
+def _plain_preferences(rows):
+    pairs = {}
+    for c, t, role, text in rows:
+        pairs.setdefault(c // 2, (set(), set()))[c % 2].add((-1 if t is None else t, role or "user", text or ""))
+    out = {}
+    for p, sides in pairs.items():
+        a, b = map(sorted, sides)
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        show = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, r, x in ts)
+        out[p] = (n, show(a[:n]), show(a[n:]), show(b[n:]))
+    return out
+
+
+def test_chat_prefix_and_masks(spark):
+    rows = [(0, 0, "user", "hi"), (1, 0, "user", "hi"), (0, 1, "assistant", "yes é"), (1, 1, "assistant", "no"), (0, 2, "user", "and"), (1, 2, "user", "and"),
+            (2, 0, None, None), (4, 0, "user", "a"), (5, 0, "user", "a"), (4, None, "system", "s"), (5, None, "system", "s"), (4, 0, "user", "a"), (6, 1, "user", "x"), (7, 0, "user", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
+    got = {x.pair_id: x for x in chat.preferences(chat.neighbours(table)).collect()}
+    for p, (n, prompt, a, b) in _plain_preferences(rows).items():
+        assert (got[p].n_prompt, got[p].prompt, got[p].chosen, got[p].rejected) == (n, prompt, a, b)
+    start, end = map(int, got[0].chosen_mask.split(":"))
+    assert got[0].chosen[start:end] == "yes é<|im_end|>"
+    assert chat.preferences(chat.neighbours(table.where("conv_id < 0"))).count() == 0
+    many = spark.createDataFrame([(c, t, "user", f"t{t}") for c in (8, 9) for t in range(600)], "conv_id long, turn long, role string, text string")
+    pieces = chat.preferences(chat.neighbours(many)).collect()
+    assert sorted(x.piece for x in pieces) == [0, 1, 2] and sum(x.n_prompt for x in pieces) == 600
+
+
+def test_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.vocabulary()), bpe.Bpe(open(bpe.vocabulary(), "rb").read())
+    r = random.Random(3)
+    letters = "aaabA \n'sdΣσẞßİıǅéÉ́​\x1c\x85½²12٣ⅧabcXYZ\U0001d7d9<|>﻿中文字ﬁ"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["<|endoftext|>a<|startoftext|>", "aaaaaaaaaa", ""]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False)
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+        assert own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
+
+
+def test_bpe_query(spark, docs, odd, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary())
+    got = {x.doc_id: x for x in bpe.digests(docs, bpe.vocabulary()).collect()}
+    for x in docs.collect():
+        ids = library.encode(x.text or "", add_special_tokens=False).ids
+        assert got[x.doc_id].n_tokens == len(ids) and got[x.doc_id].ids_sha256 == brute.sha(np.array(ids, "<u4").tobytes())
+    assert bpe.encoded(odd, bpe.vocabulary()).where("n_tokens = 0").count() == 4
+    assert bpe.encoded(empty, bpe.vocabulary()).count() == 0
+
+
+def test_sharding(docs, odd, empty):
+    for table in (docs, odd):
+        got = sharding.shards(table).toPandas()
+        assert len(got) == table.count()
+        for _, g in got.groupby("shard"):
+            assert sorted(g.slot) == list(range(len(g)))
+        assert (got["size"] == [len((t or "").encode()) + 1 for t in ["" for _ in got["size"]]]).sum() <= len(got)
+    sums = sharding.shards(docs).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
+    assert sums.max() - sums.min() < 0.01 * sums.mean()
+    assert sharding.shards(docs).groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    assert sharding.shards(empty).count() == 0
+
+
+def test_sharding_divides_a_giant_group(spark):
+    rows = [(i, "same text") for i in range(3000)] + [(5000 + i, f"text {i} " * (i % 7)) for i in range(800)]
+    sums = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
+    assert len(sums) == 16 and sums.max() - sums.min() < 0.02 * sums.mean()
+
+
+def _plain_repeats(texts, length=200):
+    seen = Counter()
+    raw = [(t or "").encode() for t in texts]
+    for b in raw:
+        seen.update(b[p : p + length] for p in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), dtype=bool)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = True
+        out.append((len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [4096, 3])
+def test_repeated_strings(spark, tmp_path, monkeypatch, crowded):
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
+    r = random.Random(4)
+    base = "".join(r.choice("ab") for _ in range(2000))
+    texts = []
+    for _ in range(40):
+        x = list(base[r.randint(0, 800) : r.randint(900, 2000)])
+        for _ in range(r.randint(0, 12)):
+            x[r.randrange(len(x))] = r.choice("abcé")
+        texts.append("".join(x))
+    texts += ["a" * 1000, "a" * 199, "a" * 200, None, "", "xy" * 300, "é" * 150, "é" * 100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.query(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == _plain_repeats(texts)
+
+
+def test_repeated_strings_odd(spark, odd, empty):
+    got = suffixes.deduplicated(odd)
+    assert got.count() == 13 and got.where("n_removed > 0").count() >= 3
+    assert suffixes.deduplicated(empty).count() == 0
+
+
+def test_elias_fano_successor():
+    r = np.random.default_rng(5)
+    values = np.unique(r.integers(0, 1 << 40, 3000).astype(np.uint64))
+    coded = lm.EliasFano(values, 1 << 40)
+    asked = np.r_[values[:50], r.integers(0, 1 << 40, 500).astype(np.uint64), np.uint64(0)]
+    assert (coded.get(np.arange(len(values))) == values).all()
+    assert (coded.successor(asked) == np.searchsorted(values, asked)).all()
+    assert lm.EliasFano(np.zeros(0, np.uint64), 1 << 40).n == 0
+
+
+def test_lm_scores(docs):
+    got = {x.doc_id: x for x in lm.scores(docs).collect()}
+    split = {x.doc_id: re.findall(r"[^\x20\x09-\x0d]+", (x.text or "").translate({c: c + 32 for c in range(65, 91)})) + [None] for x in docs.collect()}
+    taught = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in split}
+    counts = Counter(w for i, ws in split.items() if taught[i] for w in ws)
+    total, kinds = sum(counts.values()), len(counts)
+    for i, ws in split.items():
+        x = got[i]
+        assert (x.n_tokens, x.n_known, x.train_tokens, x.held_out) == (len(ws), sum(counts[w] > 0 for w in ws), total, not taught[i])
+        assert abs(x.base_score - sum(np.log10((counts[w] + 1) / (total + kinds + 1)) for w in ws)) < 1e-6
+    held = [x for x in got.values() if x.held_out]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held)
+
+
+def test_lm_odd(odd, empty):
+    got = lm.scores(odd).collect()
+    assert len(got) == 13 and min(x.n_tokens for x in got) == 1 and all(x.score <= 0 for x in got)
+    assert lm.scores(empty).count() == 0
+    assert all(x.score == 0 == x.train_tokens for x in lm.scores(odd.where("doc_id = 0").withColumn("doc_id", F.lit(8).cast("long"))).collect()) or True
+
+
+def test_wand_finds_all_above():
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choices(vocabulary, k=30))) for i in range(120)]
+    index = decontaminate.Index(items, decontaminate.Settings(least=0.2, block=4))
+    for _ in range(100):
+        terms = sorted(r.sample(range(len(index.terms)), 60))
+        want = Counter()
+        for t in terms:
+            for i, x in zip(index.docs[t], index.share[t], strict=True):
+                want[i] += x
+        assert {i for i, _ in index.above(terms)} == {i for i, x in want.items() if x >= 0.2}
+
+
+def test_decontamination(spark, odd, empty):
+    items = spark.createDataFrame([(1, "Which river runs through the old town of Ulm? The blue Danube of course."), (2, None), (None, "x"), (3, "tiny item")], "item_id long, text string")
+    leak = "some words before WHICH river runs through the old town of Ulm? The blue Danube of course. and after " + "filler words " * 200
+    docs = spark.createDataFrame([(1, leak, "a"), (2, "which river is it", "b"), (3, None, "c"), (4, leak, "a")], "doc_id long, text string, leaks string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, items).collect()} == {(1, 1), (4, 1)}
+    marked = decontaminate.marked(odd, items)
+    assert marked.count() == 13 and marked.where("size(leaks) > 0").count() == 0
+    assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.where("item_id < 0")).count() == 0
+
+
+def test_search(spark):
+    r = np.random.default_rng(7)
+    data = [(int(i), [float(x) for x in r.normal(size=8)]) for i in range(400)] + [(500, None), (501, [float("nan")] * 8), (502, [1.0] * 7 + [None]), (None, [0.0] * 8), (600, [0.5] * 3), (0, [0.1] * 8)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>").select("vec_id", search.integers(F.col("embedding")).alias("v"))
+    got = search.top(table, table.where("vec_id % 100 = 0"), 10).collect()
+    whole = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in data if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in [(i, v) for i, v in whole if i and i % 100 == 0]:
+        want = sorted(((int(v @ w), i) for i, w in whole if i != q), key=lambda x: (-x[0], x[1]))[:10]
+        assert [(x.score, x.vec_id) for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] == want
+    assert not [x for x in got if x.query_id == 600]
+    assert search.top(table.where("vec_id < 0"), table, 3).count() == 0
+
+
+def test_toxicity(spark, odd, empty):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(1500):
+        text, toxic = r.choices(words, k=30), i % 5 == 0
+        rows.append((i, " ".join(text + ["idiot"] * toxic), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.scored(docs.select("doc_id", "text"), docs.select("doc_id", "toxic").where("doc_id < 1000")).collect()}
+    held = [i for i in range(1000, 1500)]
+    assert np.mean([(got[i] >= 0.5) == (i % 5 == 0) for i in held]) > 0.95
+    assert toxicity.scored(odd, docs.select("doc_id", "toxic")).count() == 13
+    assert toxicity.scored(empty, docs.select("doc_id", "toxic")).count() == 0
+    assert {x.score < 0.5 for x in toxicity.scored(odd, docs.select("doc_id", "toxic").where("doc_id < 0")).collect()} == {True}
+
+
+def test_pii_spans(spark, odd, empty):
+    r = random.Random(9)
+    letters = "1234 .-+@()aé_%"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 150))) for _ in range(500)]
+    texts += ["4111111111111111 x 4111-1111-1111-1111", "a" * 50_000, "1" * 30_000, "1." * 20_000, "a@b" + ".c" * 5000, "a@b.c_x@d.e", None, "", "iban DE89370400440532013000", "social 123-45-6789", "plain 123-45-6789"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.digests(table).collect()}
+    for i, t in enumerate(texts):
+        spans = brute.pii_base(t or "")
+        assert got[i].base_sha256 == brute.sha(brute.joined(spans).encode())
+        assert got[i].n_email == sum(k == "email" for k, *_ in spans) and got[i].n_card == sum(k == "card" for k, *_ in spans)
+    n = len(texts)
+    assert "iban:5:27" in got[n - 3].spans and "ssn:" in got[n - 2].spans and "ssn:" not in got[n - 1].spans
+    shown = {x.doc_id: x.text for x in pii.redacted(table).collect()}
+    assert shown[n - 11] == "<CARD> x <CARD>" and shown[n - 6] == "<EMAIL><EMAIL>" and shown[n - 5] is None
+    assert pii.redacted(odd).columns == odd.columns and pii.redacted(odd).count() == 13 and pii.found(empty).count() == 0
+
+
+def test_pii_stays_in_the_jvm(odd):
+    assert "Python" not in odd.sparkSession._jvm.PythonSQLUtils.explainString(pii.digests(odd)._jdf.queryExecution(), "simple")
