@@ -50,3 +50,17 @@ def upserted(stream: DataFrame, folder: str, keys: list[str], order: str) -> Dat
 def counted(stream: DataFrame, key: str, time: str = "ts", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Event-time windows per key, closed by the watermark."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def marked_once(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Rows whose key was not seen in an earlier batch, each batch a folder of its own that a rerun overwrites whole."""
+    spark = stream.sparkSession
+
+    def mark(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(*keys).distinct()
+        for k in range(number):
+            fresh = fresh.join(spark.read.parquet(f"{folder}/batch={k}"), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.foreachBatch(mark).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(folder).select(*keys)
