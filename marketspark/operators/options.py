@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Spark has no error function."""
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))) if v == v and v is not None else None)
