@@ -111,3 +111,35 @@ def coverage(panel: DataFrame, usable: float = 0.95) -> DataFrame:
     """Per instrument: bars, last bar, share of sessions with a positive price, and whether that is enough."""
     good = (F.coalesce(F.col("close") > 0, F.lit(False))).cast("double")
     return panel.groupBy("instrument").agg(F.count("close").alias("bars"), F.max(F.when(F.col("close").isNotNull(), F.col("date"))).alias("last"), F.avg(good).alias("share")).withColumn("enough", F.col("share") >= usable)
+
+
+def asset_class(symbol: Column) -> Column:
+    """By the form of a code: option (letters, date, C or P, strike), warrant (five digits), fund (51, 15 or 58 and four
+    more digits), else equity."""
+    return F.when(symbol.rlike("^[A-Z]+[0-9]{6}[CP][0-9]{8}$"), "option").when(symbol.rlike("^[0-9]{5}$"), "warrant").when(symbol.rlike("^(?:51|15|58)[0-9]{4}$"), "fund").otherwise("equity")
+
+
+def multiplier(kind: Column) -> Column:
+    return F.when(kind == "option", 100).otherwise(1)
+
+
+def entitlements(lots: DataFrame, actions: DataFrame) -> DataFrame:
+    """lots(book, symbol, date, quantity) held before an action's day: book, symbol, day, whole shares after a split, the
+    fraction paid in cash at the opening price, and the dividend due. actions(symbol, day, split, dividend, open)."""
+    held = lots.join(actions, "symbol").where("date < day").groupBy("book", "symbol", "day", "split", "dividend", "open").agg(F.sum("quantity").alias("quantity"))
+    after = F.col("quantity") * F.col("split")
+    return held.select("book", "symbol", "day", F.floor(after).cast("long").alias("shares"), ((after - F.floor(after)) * F.col("open")).alias("in_lieu"), (F.col("quantity") * F.col("dividend")).alias("dividend_due"))
+
+
+def overview(trades: DataFrame, marks: DataFrame) -> DataFrame:
+    """Per book and symbol: holding, cash, mark, value and result; without a mark, value and result are null."""
+    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    rows = trades.groupBy("book", "symbol").agg(F.sum(signed).alias("holding"), F.sum(-signed * F.col("price") - F.col("fee")).alias("cash")).join(marks, "symbol", "left")
+    return rows.withColumn("value", F.col("holding") * F.col("mark")).withColumn("result", F.col("value") + F.col("cash"))
+
+
+def experiment_reasons(s: dict[str, Column]) -> Column:
+    """Names of the rules that an experiment breaks, comma-joined: at least 126 sessions, Sharpe of 0.5 or more, a drawdown
+    of at most 20 % and a positive return."""
+    tests = {"sessions": s["sessions"] >= 126, "sharpe": s["sharpe"] >= 0.5, "drawdown": s["max_drawdown"] >= -0.2, "return": s["net_return"] > 0}
+    return F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()])), ",")

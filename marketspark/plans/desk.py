@@ -256,3 +256,57 @@ def series_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max("period_end").over(Window.partitionBy("series_id"))
     new = old.withColumn("last", last).where(F.col("period_end") <= F.add_months("last", -6)).drop("last")
     return C.shrunk(old, new)
+
+
+@query("""SELECT kind, multiplier, count(*) AS n FROM (SELECT kind, CASE WHEN kind = 'option' THEN 100 ELSE 1 END AS multiplier FROM (
+  SELECT CASE WHEN regexp_matches(code, '^[0-9]{5}$') THEN 'warrant' WHEN regexp_matches(code, '^(?:51|15|58)[0-9]{4}$') THEN 'fund' ELSE 'equity' END AS kind
+  FROM (SELECT CAST(l_orderkey * 7 AS VARCHAR) AS code FROM lineitem))) GROUP BY kind, multiplier""")
+def asset_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys read as codes."""
+    kind = K.asset_class((F.col("l_orderkey") * 7).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(kind.alias("kind"))
+    return rows.select("kind", K.multiplier(F.col("kind")).alias("multiplier")).groupBy("kind", "multiplier").agg(F.count("*").alias("n"))
+
+
+_ACTIONS = """, actions AS (SELECT symbol, DATE '1998-06-01' AS day, 1.5 AS split, 0.25 AS dividend, avg(price) AS open FROM costs GROUP BY symbol)"""
+
+
+@query(sql(_DATED + _ACTIONS, """SELECT book, symbol, day, CAST(floor(q * split) AS BIGINT) AS shares, round((q * split - floor(q * split)) * open * 1.000000001, 2) AS in_lieu, q * dividend AS dividend_due
+  FROM (SELECT t.book, t.symbol, day, split, dividend, open, sum(quantity) AS q FROM costs t JOIN actions a ON t.symbol = a.symbol WHERE t.date < day GROUP BY ALL)"""))
+def entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-for-two splits and a dividend of a quarter for every symbol on one day."""
+    t = _dated(spark, sf_dir)
+    actions = t.groupBy("symbol").agg(F.avg("price").alias("open")).selectExpr("symbol", "date '1998-06-01' as day", "1.5D as split", "0.25D as dividend", "open")
+    return K.entitlements(t, actions).select("book", "symbol", "day", "shares", F.round(F.col("in_lieu") * EDGE, 2).alias("in_lieu"), "dividend_due")
+
+
+@query(sql(_TRADES + """, marks AS (SELECT symbol, arg_max(price, seq) AS mark FROM costs WHERE symbol < 'Brand#5' GROUP BY symbol),
+o AS (SELECT book, c.symbol, sum(signed) AS holding, sum(-signed * price - fee) AS cash, any_value(mark) AS mark FROM costs c LEFT JOIN marks m ON c.symbol = m.symbol GROUP BY book, c.symbol)""",
+    "SELECT book, symbol, holding, round(cash * 1.000000001, -2) AS cash, mark, round(holding * mark * 1.000000001, 0) AS value, round((holding * mark + cash) * 1.000000001, -2) AS result FROM o"))
+def book_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books valued at the last price of each symbol; the last brands are left without a mark."""
+    t = _trades(spark, sf_dir)
+    marks = t.where("symbol < 'Brand#5'").groupBy("symbol").agg(F.max_by("price", "at").alias("mark"))
+    return K.overview(t, marks).select("book", "symbol", "holding", F.round(F.col("cash") * EDGE, -2).alias("cash"), "mark", F.round(F.col("value") * EDGE, 0).alias("value"), F.round(F.col("result") * EDGE, -2).alias("result"))
+
+
+@query(sql(_INDEX + """, peaks AS (SELECT *, greatest(1.0, max(nav) OVER (PARTITION BY book ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM idx_nav),
+perf AS (SELECT book, count(*) AS sessions, arg_max(nav, date) - 1 AS net_return, avg(ret) / nullif(round(stddev_pop(ret), 12), 0) * sqrt(252) AS sharpe, min(nav / peak - 1) AS max_drawdown FROM peaks GROUP BY book)""",
+    "SELECT book, array_to_string(list_filter([CASE WHEN sessions < 126 THEN 'sessions' END, CASE WHEN NOT coalesce(sharpe >= 0.5, false) THEN 'sharpe' END, CASE WHEN NOT coalesce(max_drawdown >= -0.2, false) THEN 'drawdown' END, CASE WHEN NOT coalesce(net_return > 0, false) THEN 'return' END], lambda x: x IS NOT NULL), ',') AS reasons FROM perf"))
+def experiment_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    perf = R.performance(_index(spark, sf_dir), "book", "ret")
+    return perf.select("book", K.experiment_reasons({c: F.col(c) for c in perf.columns}).alias("reasons"))
+
+
+_MACRO = _INDEX + """, z AS (SELECT *, count(nav) OVER w AS n, avg(nav) OVER w AS mu, stddev_samp(nav) OVER w AS sd FROM idx_nav WINDOW w AS (PARTITION BY book ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
+parts AS (SELECT date, CASE WHEN n >= 40 THEN greatest(least((nav - mu) / nullif(round(sd, 12), 0), 2.0), -2.0) END AS z, CASE book WHEN '0.0' THEN -0.3 WHEN '1.0' THEN -0.3 WHEN '2.0' THEN 0.25 ELSE -0.15 END AS w FROM z WHERE book < '4'),
+m AS (SELECT date, sum(z * w) / nullif(sum(CASE WHEN z IS NOT NULL THEN abs(w) END), 0) AS score FROM parts GROUP BY date)"""
+
+
+@query(sql(_MACRO, f"SELECT date, {shown_sql('score')} FROM m"))
+def macro_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four indices read as macro series, weighted by the signs of their economic direction."""
+    # The weights.
+    weights = F.when(F.col("book") == "0.0", -0.3).when(F.col("book") == "1.0", -0.3).when(F.col("book") == "2.0", 0.25).otherwise(-0.15)
+    parts = _index(spark, sf_dir).where("book < '4'").withColumn("z", R.zscore_window(F.col("nav"), "book")).withColumn("w", weights)
+    return R.weighted_score(parts, ["date"]).select("date", shown("score"))
