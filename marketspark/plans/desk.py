@@ -310,3 +310,22 @@ def macro_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.when(F.col("book") == "0.0", -0.3).when(F.col("book") == "1.0", -0.3).when(F.col("book") == "2.0", 0.25).otherwise(-0.15)
     parts = _index(spark, sf_dir).where("book < '4'").withColumn("z", R.zscore_window(F.col("nav"), "book")).withColumn("w", weights)
     return R.weighted_score(parts, ["date"]).select("date", shown("score"))
+
+
+def _rest() -> None:
+    """SQL of queries that reuse another's steps."""
+    from marketspark.plans import market
+
+    steps = market.ORACLES["top_k_curve"].rsplit("\nSELECT date,", 1)[0]
+    ORACLES["cost_stress"] = steps + f"\nSELECT times, {_show('net', 'cost')} FROM (SELECT k.times, sum(gross - k.times * cost) AS net, sum(k.times * cost) AS cost FROM curve, (VALUES (1), (2)) k(times) GROUP BY k.times)"
+    b = "PARTITION BY book ORDER BY date"
+    ranks = ", ".join(f"(rank() OVER (PARTITION BY book ORDER BY round({x}, 9)) + count(*) OVER (PARTITION BY book) - rank() OVER (PARTITION BY book ORDER BY round({x}, 9) DESC) + 1) / 2.0 AS {n}" for x, n in (("signal", "rx"), ("forward", "ry")))
+    market.ORACLES["momentum_ic"] = sql(_INDEX + f""", s AS (
+  SELECT * FROM (SELECT book, date, lag(nav, 4) OVER ({b}) / nullif(lag(nav, 26) OVER ({b}), 0) - 1 AS signal, lead(nav, 4) OVER ({b}) / nullif(nav, 0) - 1 AS forward FROM idx_nav) WHERE signal IS NOT NULL AND forward IS NOT NULL
+), r AS (SELECT *, {ranks}, quantile_cont(signal, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER (PARTITION BY book) AS edges FROM s
+), bins AS (SELECT *, len(list_filter(list_transform(edges[2:5], lambda v: round(v, 9)), lambda v: v < round(signal, 9))) + 1 AS bin FROM r
+), main AS (SELECT book, covar_pop(rx, ry) / (sqrt(var_pop(rx)) * sqrt(var_pop(ry))) AS ic, count(*) AS n, avg(CASE WHEN signal > 0 THEN 1.0 ELSE 0.0 END) AS on_share, avg(CASE WHEN signal > 0 THEN forward END) AS on_mean, avg(CASE WHEN signal <= 0 THEN forward END) AS off_mean FROM r GROUP BY book
+), m AS (SELECT book, bin, avg(forward) AS m FROM bins GROUP BY book, bin), sp AS (SELECT book, arg_max(m, bin) - arg_min(m, bin) AS spread FROM m GROUP BY book)""", f"SELECT main.book, n, {_show('ic', 'on_share', 'on_mean', 'off_mean', 'spread')} FROM main JOIN sp ON main.book = sp.book")
+
+
+_rest()
