@@ -15,7 +15,7 @@ LENGTH, GRAM = 200, 50
 #: Distinct fragments of one anchor from which its windows are counted by hash instead of sorted in one task.
 CROWDED = 4096
 #: Bytes of fragments that are sorted at once (and the whole of one anchor's).
-SORTED = 1 << 19
+SORTED = 1 << 18
 #: Bits of the sieve that keeps most texts without candidates out of the joins; wrong hits only cost time.
 SIEVE = 1 << 23
 _BASE = np.uint64(0xB5AD4ECEDA1CE2A9)
@@ -246,6 +246,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """rid, s, e: byte ranges of docs(rid, text) that together are all bytes within a repeated string of LENGTH bytes."""
     found = anchors(docs)
     groups = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("fh").alias("f0"), F.max("fh").alias("f1")).where("n > 1")
+    groups = cut(groups)  # else the join would share the count's partitions, and one anchor's rows could not be spread
     shared = cut(found.join(groups, "ah").select("ah", "fh", "rid", "pos", "number", (F.col("f0") != F.col("f1")).alias("mixed")))
     mixed_ = shared.where("mixed")
     # one fragment stands for its copies, which are repeated throughout
