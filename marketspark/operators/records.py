@@ -40,13 +40,20 @@ def shrunk(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # --- text ---------------------------------------------------------------------------------------------------------------
-def plain(html: str, size: int = 400) -> Column:
-    """Text of a fragment: tags to blanks, the common entities read, white space joined, `size` characters kept."""
+def plain(html: str | Column, size: int | None = None) -> Column:
+    """Text of a fragment: tags to blanks, the common entities read, white space joined; whole, or its first `size` characters."""
     text = F.regexp_replace(html, "<[^>]*>", " ")
     # The entities that are read.
     for name, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(letter))
-    return F.substring(F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " ")), 1, size)
+    text = F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " "))
+    return text if size is None else F.substring(text, 1, size)
+
+
+def title(html: str, size: int = 400) -> Column:
+    """Plain text of the first <title>, cut to `size` characters; null without one."""
+    found = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.when(F.col(html).rlike("(?is)<title[^>]*>.*?</title>"), plain(found, size))
 
 
 def safe_url(url: str) -> Column:

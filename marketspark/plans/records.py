@@ -71,7 +71,17 @@ SELECT page_id, CASE WHEN regexp_matches(u, '^(?i:https?)://[^/@?#\\s]+(?:[/?][^
 FROM (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM pages)""")
 def pages_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = R.safe_url("url")
-    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), R.article_id(url).alias("id"), R.plain("html").alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), R.article_id(url).alias("id"), R.plain("html", 400).alias("text"))
+
+
+@query(f"""
+SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN
+  substr(trim(regexp_replace({_ENTITIES.format(x="regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")}, '[ \\t\\r\\n]+', ' ', 'g')), 1, 400) END AS title,
+  trim(regexp_replace({_ENTITIES.format(x="regexp_replace(html, '<[^>]*>', ' ', 'g')")}, '[ \\t\\r\\n]+', ' ', 'g')) AS text
+FROM pages""")
+def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole text of each page; only the title is cut."""
+    return table(spark, sf_dir, "pages").select("page_id", R.title("html").alias("title"), R.plain("html").alias("text"))
 
 
 # Tag patterns.

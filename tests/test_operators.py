@@ -71,3 +71,11 @@ def test_safe_urls(spark):
     urls = ["https://a.b/c#d", "ftp://a.b", "http://u@h/x", "http:///x", None, "HTTP://h?q=1"]
     got = spark.createDataFrame([(u,) for u in urls], "url string").select(C.safe_url("url").alias("u")).collect()
     assert [x.u for x in got] == ["https://a.b/c", None, None, None, None, "HTTP://h?q=1"]
+
+
+def test_plain_text_is_whole_and_only_titles_are_cut(spark):
+    body, head = "word &amp; " * 300, "long title " * 60
+    page = spark.createDataFrame([(f"<html><title>{head}</title><p>{body}</p>",), ("<p>x</p>",), (None,)], "html string")
+    got = page.select(C.plain("html").alias("text"), C.title("html").alias("title")).collect()
+    assert got[0].text == f"{head}  {body}".replace("&amp;", "&").replace("  ", " ").replace("  ", " ").strip() and got[0].title == head[:400]
+    assert (got[1].text, got[1].title, got[2].text, got[2].title) == ("x", None, None, None)
