@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from marketspark.llm.common import table
 
-#: Vectors of one shard's block and queries of one block: both bound what a task holds.
-SHARD, QUERIES = 8192, 512
+#: Vectors of one block and queries of one block: both bound what a task holds.
+SHARD, QUERIES = 8192, 8192
 
 
 def integers(embedding: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component, taken as double; null where the vector or a component is null or not finite."""
-    doubles = F.transform(embedding, lambda x: x.cast("double"))
-    fine = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(fine, F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
+    """floor(scale * x) of each component, taken as double; null where the vector or a component is null or not finite, or
+    where a component is over sqrt(2**62 / width): the score of two such vectors would not fit a long."""
+    scaled = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
+    most = F.sqrt(F.lit(2.0**62) / F.size(embedding))
+    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < most - 1))
+    return F.when(fine, scaled)
 
 
 class Postings:
@@ -30,8 +32,8 @@ class Postings:
         self.ids, self.lists = ids[order], np.ascontiguousarray(vectors[order].T)
         self.low, self.high = self.lists.min(axis=1), self.lists.max(axis=1)
 
-    def search(self, me: int, query: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows that score `least` or more, ties to the smaller id; not the row `me`.
+    def search(self, query: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best rows that score `least` or more, ties to the smaller id.
 
         A term's contribution is counted from its lowest value here, so that all are zero or more. Terms are ordered by
         their bound; those whose bounds together cannot lift a row to the threshold are non-essential. The essential lists
@@ -42,8 +44,8 @@ class Postings:
         reach = np.cumsum(bounds[order])
         optional = int(np.searchsorted(base + reach, least, "left"))  # bounds[:optional] together stay under the threshold
         essential, others = order[optional:], order[:optional][::-1]
-        at = np.flatnonzero(self.ids != me)
-        got = (query[essential] @ self.lists[essential] - floor[essential].sum() + base)[at] if len(essential) else np.full(len(at), base)
+        at = np.arange(len(self.ids))
+        got = query[essential] @ self.lists[essential] - floor[essential].sum() + base if len(essential) else np.full(len(at), base)
         rest = int(reach[optional - 1]) if optional else 0
         for i, term in enumerate(others):
             if i % 4 == 0:  # drop what is out of reach
@@ -59,59 +61,67 @@ class Postings:
         return at[top], got[top]
 
 
-def top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """For each row of queries(vec_id, v) its k rows of vectors(vec_id, v) with the greatest inner product, its own vec_id
-    left out: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id. v: arrays of longs; only
-    vectors of the query's own length are candidates.
-
-    Both sides are dealt in blocks of bounded size: a task holds one block of vectors and one of queries. Each block pair
-    gives at most k rows a query; their merge keeps k. A query with fewer candidates gets all of them; rows that repeat
-    are candidates each (and no candidates of their own id). Empty sides give no rows."""
-    sides = [side.where("vec_id is not null and v is not null").select("vec_id", "v", F.lit(asks).alias("asks")) for side, asks in ((vectors, False), (queries, True))]
-    shards, blocks = (max(1, -(-side.count() // size)) for side, size in zip(sides, (SHARD, QUERIES), strict=True))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
+def top(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, asked: int = QUERIES) -> DataFrame:
+    """For each row of queries(vec_id, v) its k rows of vectors(vec_id, v) with the greatest inner product, one row equal to
+    the query (itself) left out: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id. v: arrays of longs as
+    integers() makes them; only vectors of the query's own length are candidates.
+
+    Both sides are dealt by row in blocks of bounded size: a task holds one block of vectors and one of queries, a square
+    grid of them. Each block pair gives at most k + 1 rows a query; their merge keeps k. A query with fewer candidates gets
+    all of them. Rows that repeat are candidates each, also of their own id; query rows that repeat are answered each.
+    Rows without an id or vector take no part; empty sides give no rows."""
+    known = "vec_id is not null and v is not null"
+    # repeated query rows are asked once and answered `times` times
+    once = queries.where(known).groupBy("vec_id", "v").agg(F.count("*").cast("int").alias("times"))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    left = vectors.where(known).select("vec_id", "v", F.lit(0).alias("times"), place.alias("place"))
+    right = once.select("vec_id", "v", "times", F.xxhash64("vec_id", "v").alias("place"))
+    shards, blocks = max(1, -(-left.count() // shard)), max(1, -(-right.count() // asked))
     each = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (blocks, shards)]
-    left = sides[0].select("*", own[0].cast("int").alias("shard"), each[0].alias("block"))
-    right = sides[1].select("*", each[1].alias("shard"), own[1].cast("int").alias("block"))
-    dealt = left.union(right).repartition(shards * blocks, "shard", "block").withColumn("width", F.size("v")).sortWithinPartitions("shard", "block", "width", "asks", "vec_id")
+    left = left.select("*", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), each[0].alias("block"))
+    right = right.select("*", each[1].alias("shard"), F.pmod("place", F.lit(blocks)).cast("int").alias("block"))
+    both = left.unionByName(right).withColumn("width", F.size("v")).drop("place")
+    dealt = both.repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "width", "times", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, asked, postings = None, [], [], None
-
-        def answers(ids: np.ndarray, vs: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = [[], [], []]
-            # the k-th best over a part of the block is a threshold that the k best of all reach
-            rough = np.sort(vs @ postings.lists[:, : 64 * k], axis=1) if len(postings.ids) > k else None
-            for i, (me, v) in enumerate(zip(ids, vs, strict=True)):
-                low = -(1 << 62) if rough is None else int(rough[i, max(0, rough.shape[1] - k - repeats(me))])
-                at, score = postings.search(me, v, k, low)
-                found[0] += [me] * len(at)
-                found[1] += postings.ids[at].tolist()
-                found[2] += score.tolist()
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
-
-        def repeats(me: int) -> int:
-            return int((postings.ids[: 64 * k] == me).sum())
+        now, held, postings = None, [], None
+
+        def answers(ids: np.ndarray, vs: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # the (k + 1)-th best over a part of the block is a threshold that the k + 1 best of all reach
+            part = postings.lists[:, : 8 * k]
+            rough = np.sort(vs @ part, axis=1)[:, -k - 1] if part.shape[1] > k else np.full(len(ids), -(1 << 62))
+            for me, v, n, low in zip(ids, vs, times, rough, strict=True):
+                at, score = postings.search(v, k + 1, int(low))
+                size = len(at)
+                asked_by = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * len(v)), pa.array(np.tile(v, size)))
+                columns = [pa.array(np.full(size, me)), asked_by, pa.array(np.full(size, n, np.int32)), pa.array(postings.ids[at]), pa.array(score)]
+                yield pa.record_batch(columns, names=["query_id", "v", "times", "vec_id", "score"])
 
         for batch in batches:
             width = batch.column("width").to_numpy().astype(np.int64)
-            ids, asks = batch.column("vec_id").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
-            shard, block = batch.column("shard").to_numpy().astype(np.int64), batch.column("block").to_numpy()
-            turn = (shard << 22 | block) << 22 | width
-            starts = np.flatnonzero(np.r_[True, (turn[1:] != turn[:-1]) | (asks[1:] != asks[:-1])])
-            for i, j in zip(starts, np.r_[starts[1:], len(turn)], strict=True):
+            ids, times = batch.column("vec_id").to_numpy(), batch.column("times").to_numpy()
+            turn = np.stack([batch.column("shard").to_numpy(), batch.column("block").to_numpy(), width])
+            starts = np.flatnonzero(np.r_[True, (turn[:, 1:] != turn[:, :-1]).any(axis=0) | ((times[1:] > 0) != (times[:-1] > 0))])
+            for i, j in zip(starts, np.r_[starts[1:], len(ids)], strict=True):
                 vs = batch.column("v").slice(i, j - i).flatten().to_numpy().reshape(j - i, width[i])
-                if turn[i] != now:
-                    now, held, postings = turn[i], [], None
-                if not asks[i]:
+                if tuple(turn[:, i]) != now:
+                    now, held, postings = tuple(turn[:, i]), [], None
+                if not times[i]:
                     held.append((ids[i:j], vs))
                 elif held:
                     postings = postings or Postings(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    yield from answers(ids[i:j], vs)
-
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    yield from answers(ids[i:j], vs, times[i:j])
+
+    found = dealt.mapInArrow(run, "query_id long, v array<long>, times int, vec_id long, score long")
+    query, own = ["query_id", "v"], F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    # the query itself is the first of the rows with its id and its own product
+    mine = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == own)
+    best = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id"))
+    first = F.min(F.when(mine, F.col("at"))).over(Window.partitionBy(*query))
+    ranked = found.withColumn("at", best).where(F.col("at") <= k + 1).withColumn("self", first)
+    rank = F.col("at") - F.when(F.col("at") > F.col("self"), 1).otherwise(0)
+    kept = ranked.where("self is null or at <> self").withColumn("rank", rank).where(F.col("rank") <= k)
+    return kept.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).drop("copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
