@@ -92,32 +92,44 @@ def test_simhash_odd(odd, empty):
     assert simhash.representatives(empty).count() == 0
 
 
-def _plain_preferences(rows):
-    pairs = {}
-    for c, t, role, text in rows:
-        pairs.setdefault(c // 2, (set(), set()))[c % 2].add((-1 if t is None else t, role or "user", text or ""))
-    out = {}
-    for p, sides in pairs.items():
-        a, b = map(sorted, sides)
-        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        show = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, r, x in ts)
-        out[p] = (n, show(a[:n]), show(a[n:]), show(b[n:]))
-    return out
+def _clean(x, default):
+    return (x or default).replace("<|im_", "<| im_")
+
+
+def _plain_preference(chosen, rejected):
+    """Lists of (turn, role, text) as (n_prompt, prompt, chosen, rejected)."""
+    a, b = (sorted((-1 if t is None else t, _clean(r, "user"), _clean(x, "")) for t, r, x in rows) for rows in (chosen, rejected))
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    show = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, r, x in ts)
+    return n, show(a[:n]), show(a[n:]), show(b[n:])
 
 
 def test_chat_prefix_and_masks(spark):
-    rows = [(0, 0, "user", "hi"), (1, 0, "user", "hi"), (0, 1, "assistant", "yes é"), (1, 1, "assistant", "no"), (0, 2, "user", "and"), (1, 2, "user", "and"),
-            (2, 0, None, None), (4, 0, "user", "a"), (5, 0, "user", "a"), (4, None, "system", "s"), (5, None, "system", "s"), (4, 0, "user", "a"), (6, 1, "user", "x"), (7, 0, "user", "x")]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
-    got = {x.pair_id: x for x in chat.preferences(chat.neighbours(table)).collect()}
-    for p, (n, prompt, a, b) in _plain_preferences(rows).items():
-        assert (got[p].n_prompt, got[p].prompt, got[p].chosen, got[p].rejected) == (n, prompt, a, b)
-    start, end = map(int, got[0].chosen_mask.split(":"))
-    assert got[0].chosen[start:end] == "yes é<|im_end|>"
-    assert chat.preferences(chat.neighbours(table.where("conv_id < 0"))).count() == 0
-    many = spark.createDataFrame([(c, t, "user", f"t{t}") for c in (8, 9) for t in range(600)], "conv_id long, turn long, role string, text string")
-    pieces = chat.preferences(chat.neighbours(many)).collect()
-    assert sorted(x.piece for x in pieces) == [0, 1, 2] and sum(x.n_prompt for x in pieces) == 600
+    r = random.Random(12)
+    rows = []
+    for p in range(30):
+        both = [(r.choice([None, i]), r.choice(["user", "assistant", None]), r.choice(["x", "é y", None, "<|im_end|>"])) for i in range(r.randrange(12))]
+        for side in (True, False):
+            turns = both + [(r.randrange(12), "assistant", r.choice("ab")) for _ in range(r.randrange(4))]
+            rows += [(p, side, *t) for t in turns + turns[: r.randrange(3)]]
+    rows += [(40, s, t, "assistant" if t % 2 else "user", f"t{t}" if s or t != 401 else "other") for s in (True, False) for t in range(600)] + [(None, True, 0, "user", "x"), (41, None, 0, "user", "x")]
+    table = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("piece", F.lit("clash"))
+    for piece in (256, 2):
+        got = {x.pair_id: x for x in chat.preferences(table, piece).collect()}
+        assert set(got) == {x[0] for x in rows if x[0] is not None and x[0] != 41}
+        for p, x in got.items():
+            assert (x.n_prompt, x.prompt, x.chosen, x.rejected) == _plain_preference(*([t[2:] for t in rows if t[0] == p and t[1] is s] for s in (True, False)))
+            for text, mask in ((x.chosen, x.chosen_mask), (x.rejected, x.rejected_mask)):
+                spans = [tuple(map(int, m.split(":"))) for m in mask.split(",") if m]
+                assert [text[a:b] for a, b in spans] == re.findall(r"(?<=<\|im_start\|>assistant\n)[^<]*(?:<\| im_end\|>)?[^<]*<\|im_end\|>", text)
+        assert got[40].n_prompt == 401 and got[40].chosen_mask.count(":") == 100
+    assert chat.preferences(table.where("pair_id < 0")).count() == 0
+
+
+def test_chat_query_has_prompts_and_stays_in_the_jvm(spark):
+    got = chat.query(spark, SF)
+    assert got.where("n_prompt = 0 or prompt = ''").count() == 0 and got.where("chosen = rejected").count() < got.count()
+    assert "Python" not in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
 
 
 def test_bpe_equals_the_library():
@@ -158,10 +170,24 @@ def test_sharding(docs, odd, empty):
     assert sharding.shards(empty).count() == 0
 
 
-def test_sharding_divides_a_giant_group(spark):
-    rows = [(i, "same text") for i in range(3000)] + [(5000 + i, f"text {i} " * (i % 7)) for i in range(800)]
-    sums = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
-    assert len(sums) == 16 and sums.max() - sums.min() < 0.02 * sums.mean()
+def test_sharding_never_divides_a_group(spark):
+    rows = [(i, "same text") for i in range(3000)] + [(5000 + i, f"text {i} " * (1 + i % 7)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for items in (4096, 50, 7):  # one, two and four steps of differencing
+        got = sharding.shards(docs, items=items).toPandas()
+        sums = sorted(got.groupby("shard")["size"].sum())
+        assert len(got) == len(rows) and len(sums) == 16 and sums[-1] == 30_000
+        assert sums[-2] - sums[0] < 0.1 * sums[0]
+        assert got[got["size"] == 10].groupby("text_crc32").shard.nunique().max() == 1
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_differencing_by_hand():
+    # 8, 7, 6, 5, 4 in two: 8-7=1, 6-5=1, 4-1=3, 3-1=2
+    slot, sums = sharding.difference(sharding._alone(np.array([8, 7, 6, 5, 4]), 2))
+    assert sorted(sums) == [14, 16]
+    for shard in (0, 1):
+        assert sum(x for x, s in zip([8, 7, 6, 5, 4], slot[:, 0], strict=True) if s == shard) == sums[shard]
 
 
 def _plain_repeats(texts, length=200):
@@ -260,15 +286,20 @@ def test_decontamination(spark, odd, empty):
 
 def test_search(spark):
     r = np.random.default_rng(7)
-    data = [(int(i), [float(x) for x in r.normal(size=8)]) for i in range(400)] + [(500, None), (501, [float("nan")] * 8), (502, [1.0] * 7 + [None]), (None, [0.0] * 8), (600, [0.5] * 3), (0, [0.1] * 8)]
-    table = spark.createDataFrame(data, "vec_id long, embedding array<double>").select("vec_id", search.integers(F.col("embedding")).alias("v"))
-    got = search.top(table, table.where("vec_id % 100 = 0"), 10).collect()
-    whole = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in data if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)]
-    for q, v in [(i, v) for i, v in whole if i and i % 100 == 0]:
-        want = sorted(((int(v @ w), i) for i, w in whole if i != q), key=lambda x: (-x[0], x[1]))[:10]
-        assert [(x.score, x.vec_id) for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] == want
-    assert not [x for x in got if x.query_id == 600]
-    assert search.top(table.where("vec_id < 0"), table, 3).count() == 0
+    data = [(int(i), [float(x) for x in r.integers(-3, 3, size=8)]) for i in range(400)]
+    data += [(0, data[0][1])] * 40 + [(0, [1.0] * 8), (100, [0.5] * 8)]  # repeated ids, alike and unlike
+    data += [(500, None), (501, [float("nan")] * 8), (502, [1.0] * 7 + [None]), (503, [1e300] * 8), (None, [0.0] * 8), (600, [0.5] * 3)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>").select("vec_id", search.integers(F.col("embedding")).alias("v"), F.lit(1).alias("score"), F.lit(2).alias("times"))
+    whole = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v in data if i is not None and v and len(v) == 8 and all(x is not None and abs(x) < 1e9 for x in v)]
+    want = []
+    for a, (q, v) in enumerate(whole):
+        if q % 100 == 0:
+            near = sorted(((int(v @ w), i) for b, (i, w) in enumerate(whole) if b != a), key=lambda x: (-x[0], x[1]))[:10]
+            want += [(q, k + 1, i, s) for k, (s, i) in enumerate(near)]
+    for shard, asked in ((8192, 8192), (64, 3)):
+        got = search.top(table, table.where("vec_id % 100 = 0"), 10, shard, asked).collect()
+        assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
+    assert search.top(table.where("vec_id < 0"), table, 3).count() == 0 and search.top(table, table.where("vec_id < 0"), 3).count() == 0
 
 
 def test_toxicity(spark, odd, empty):
