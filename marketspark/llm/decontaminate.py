@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import mixed, slices, table, words
+from marketspark.llm.common import cut, mixed, slices, table, words
 
+#: Cells of the table of bounds by term and range of items, at most.
+CELLS = 1 << 23
+NAMES = ("item_id", "score", "question_overlap", "answer_overlap")
 LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
@@ -20,7 +26,8 @@ LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer
 class Settings:
     """k1, b: of BM25. least: retrieved items reach this share of their own full score. shingle: words of a shingle;
     question: share of an item's shingles, answer: share of its answer's words, that a passage must hold. block: postings
-    under one bound; groups: about as many ranges of items have a bound of their own. items_mb: MB of item text in one broadcast index; more items are looked up in further blocks."""
+    under one bound; groups: as many ranges of items have a bound of their own at most. items_kb: KB of item text in one
+    broadcast index, about; more items are looked up in further blocks."""
 
     k1: float = 1.2
     b: float = 0.75
@@ -30,7 +37,7 @@ class Settings:
     answer: float = 0.5
     block: int = 32
     groups: int = 64
-    items_mb: int = 16
+    items_kb: int = 4096
 
 
 def _shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -44,29 +51,47 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words, whatever block they are in: their number, mean and greatest length in words."""
+
+    items: int
+    mean: float
+    longest: int
+
+
+def _item_words(text: str | None) -> tuple[str, np.ndarray]:
+    """The text in lower case and the hashes of its words."""
+    low = pc.utf8_lower(pa.scalar(text or "")).as_py()
+    raw = low.encode()
+    return low, words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
+
 class Index:
     """Postings of a block of items: per term the items, their BM25 shares of the item's full score, and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], s: Settings):
+    def __init__(self, items: list[tuple[int, str]], s: Settings, known: Statistics | None = None, frequency: dict[int, int] | None = None):
+        """known, frequency: statistics of all items and how many of them hold each term; those of this block if left out."""
         self.s, self.ids, self.shingles, self.answers = s, [], [], []
         texts, sizes = [], []
-        for item, text in sorted((i, pc.utf8_lower(pa.scalar(t or "")).as_py()) for i, t in items):
-            raw = text.encode()
-            h, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for item, text in sorted((i, t or "") for i, t in items):
+            low, h = _item_words(text)
             if len(h):
                 self.ids.append(item)
                 texts.append(h)
                 sizes.append(len(h))
                 self.shingles.append(_shingles(h, s.shingle))
-                self.answers.append(np.unique(h[-_answer_words(text) :]))
-        self.sizes, self.longest = sizes, max(sizes, default=1)
+                self.answers.append(np.unique(h[-_answer_words(low) :]))
+        known = known or Statistics(len(sizes), float(np.mean(sizes or [1])), max(sizes, default=1))
+        self.sizes, self.longest = sizes, known.longest
         lists: dict[int, list[tuple[int, float]]] = {}
         for i, h in enumerate(texts):
             for term, tf in zip(*np.unique(h, return_counts=True), strict=True):
-                lists.setdefault(int(term), []).append((i, tf / (tf + s.k1 * (1 - s.b + s.b * sizes[i] / np.mean(sizes)))))
+                lists.setdefault(int(term), []).append((i, tf / (tf + s.k1 * (1 - s.b + s.b * sizes[i] / known.mean))))
         whole = np.zeros(len(texts))
         for term, posting in lists.items():
-            idf = np.log(1 + (len(texts) - len(posting) + 0.5) / (len(posting) + 0.5))
+            df = frequency[term] if frequency else len(posting)
+            idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
             lists[term] = [(i, idf * x) for i, x in posting]
             for i, x in lists[term]:
                 whole[i] += x
@@ -74,7 +99,7 @@ class Index:
         self.docs = [[i for i, _ in lists[t]] for t in self.terms.tolist()]
         self.share = [[x / whole[i] for i, x in lists[t]] for t in self.terms.tolist()]
         self.most = np.array([max(x) for x in self.share])
-        width = max(4, -(-len(texts) // s.groups))
+        width = max(4, -(-len(texts) // max(1, min(s.groups, CELLS // max(1, len(self.terms))))))
         self.group_most = np.zeros((len(self.terms), -(-len(texts) // width)), dtype=np.float32)
         for t, (docs, share) in enumerate(zip(self.docs, self.share, strict=True)):
             np.maximum.at(self.group_most[t], np.array(docs) // width, share)
@@ -171,9 +196,9 @@ class Index:
                     made[size] = _shingles(passage, size)
                 q = float(np.isin(self.shingles[i], made[size]).mean())
                 a = float(np.isin(self.answers[i], present).mean())
-                if q >= self.s.question and a >= self.s.answer and (self.ids[i] not in out[r] or out[r][self.ids[i]][1] < score):
-                    out[r][self.ids[i]] = (self.ids[i], float(score), q, a)
-        return [[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for _, x in sorted(o.items())] for o in out]
+                if q >= self.s.question and a >= self.s.answer and (i not in out[r] or out[r][i][1] < score):
+                    out[r][i] = (self.ids[i], float(score), q, a)
+        return [[dict(zip(NAMES, x, strict=True)) for x in sorted(o.values())] for o in out]
 
 
 def _answer_words(text: str) -> int:
@@ -183,20 +208,52 @@ def _answer_words(text: str) -> int:
     return last if len(sentences) > 1 and last >= 4 else max(min(4, n), n // 4)
 
 
-def _marker(items, s: Settings, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value, s)
+KIND = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.float64()) for n in NAMES[1:])]))
+#: The index that this worker last built, and the key of its block.
+_BUILT: dict[str, Index] = {}
+
+
+def _built(key: str, block, s: Settings) -> Index:
+    """A worker keeps the index of the block it looked at last, so that not every task builds it again."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        items, known, terms, counts = block.value
+        _BUILT[key] = Index(items, s, known, dict(zip(terms.tolist(), counts.tolist(), strict=True)))
+    return _BUILT[key]
+
+
+def _blocks(items: DataFrame, s: Settings) -> Iterator[tuple[str, object]]:
+    """Broadcast blocks of about s.items_kb of item text, each with the statistics of all items and its own terms' counts."""
+    spark = items.sparkSession
+    items = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (s.items_kb << 10)))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block")
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
-            done = 0
-            for part, data, at in slices(low, "text"):
-                raw = batch.slice(done, part.num_rows)
-                done += part.num_rows
-                before = part.column("leaks")
-                leaks = [a + b for a, b in zip(before.to_pylist(), index.leaks(data, at), strict=True)]
-                yield pa.record_batch([*(raw.column(c) for c in keep), pa.array(leaks, before.type)], names=[*keep, "leaks"])
+            hashes = [_item_words(t)[1] for t in batch.column("text").to_pylist()]
+            distinct = pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("block"), pa.array([len(h) for h in hashes]), distinct], names=["block", "size", "terms"])
+
+    read = cut(items.select("text", block).mapInArrow(terms, "block long, size long, terms array<long>").where("size > 0"))
+    count, mean, longest = read.agg(F.count("*"), F.avg("size"), F.max("size")).first()
+    known = Statistics(count, mean or 1.0, longest or 1)
+    each = read.select("block", F.explode("terms").alias("term"))
+    frequency = cut(each.distinct().join(each.groupBy("term").agg(F.count("*").alias("n")), "term")) if blocks > 1 else each.groupBy("block", "term").agg(F.count("*").alias("n"))
+    for k in range(blocks):
+        # about items_kb of text and its terms, whatever the number of items
+        part = [tuple(x) for x in items.select("item_id", "text", block).where(F.col("block") == k).select("item_id", "text").collect()]
+        counts = frequency.where(F.col("block") == k).select("term", "n").toArrow()
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast((part, known, counts.column("term").to_numpy().view(np.uint64), counts.column("n").to_numpy()))
 
-    return run
+
+def _leaks(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[pa.RecordBatch, list]]:
+    low = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
+    done = 0
+    for part, data, at in slices(low, "text"):
+        yield batch.slice(done, part.num_rows), index.leaks(data, at)
+        done += part.num_rows
 
 
 def marked(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -204,24 +261,46 @@ def marked(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataF
     passage of the text holds, by item_id.
 
     items(item_id, text): the last sentence is taken as the answer. Case is ignored. Null and wordless texts and
-    items match nothing; an item_id that repeats is reported once for each of its texts; rows, other columns and repeated
-    rows of docs stay; a column named leaks is replaced. No shuffle: documents meet each broadcast block of items."""
-    return _looked_up(docs.drop("leaks"), items, s, docs.drop("leaks").columns)
+    items match nothing; an item_id that repeats is reported once for each of its texts that is found; rows, other columns
+    and repeated rows of docs stay; a column named leaks is replaced. Document frequencies, lengths and passages are those
+    of all items, so a score does not depend on the blocks. One block of items needs no shuffle; of several, each is met by
+    all texts in tasks of its own, and what they find is joined to docs by the text's digest."""
+    docs = docs.drop("leaks")
+    return _looked_up(docs, items, s, docs.columns)
 
 
 def _looked_up(docs: DataFrame, items: DataFrame, s: Settings, keep: list[str]) -> DataFrame:
-    spark = docs.sparkSession
-    items = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (s.items_mb << 20)))
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        # about items_mb of text, whatever the number of items
-        index = spark.sparkContext.broadcast([tuple(x) for x in part.collect()])
-        columns = keep if k == blocks - 1 else docs.columns
-        out = out.mapInArrow(_marker(index, s, columns), out.select(*columns, "leaks").schema)
-    return out
+    blocks = list(_blocks(items, s))
+    kept = docs.select(*keep)
+    if len(blocks) == 1:
+        key, block = blocks[0]
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, leaks in _leaks(batch, _built(key, block, s)):
+                    yield pa.record_batch([*(part.column(c) for c in keep), pa.array(leaks, KIND)], names=[*keep, "leaks"])
+
+        schema = kept.withColumn("leaks", F.array().cast(LEAKS)).schema
+        return docs.mapInArrow(mark, schema)
+
+    def finder(key: str, block):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, leaks in _leaks(batch, _built(key, block, s)):
+                    hit = [i for i, x in enumerate(leaks) if x]
+                    digests = [hashlib.sha256(part.column("text")[i].as_py().encode()).digest() for i in hit]
+                    yield pa.record_batch([pa.array(digests, pa.binary()), pa.array([leaks[i] for i in hit], KIND)], names=["digest", "leaks"])
+
+        return find
+
+    found = [docs.select("text").mapInArrow(finder(*b), f"digest binary, leaks {LEAKS}").dropDuplicates(["digest"]) for b in blocks]
+    digest = "_digest"
+    while digest in docs.columns:
+        digest += "_"
+    all_found = reduce(DataFrame.union, found).groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    each = docs.select(*keep, F.unhex(F.sha2("text", 256)).alias(digest))
+    joined = each.join(all_found.withColumnRenamed("digest", digest), digest, "left")
+    return joined.select(*keep, F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))
 
 
 def matches(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
