@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
-#: Words that, within the 40 code points before a span, raise its score by 0.3; and words that lower it by 0.3.
+#: Words near a span that raise its score by 0.3, and words that lower it by 0.3. Near is what stands between a match and
+#: its neighbours of the same pattern, 40 code points on either side at most.
 CONTEXT = {
     "email": r"(?i)e-?mail|contact|write|correo|courriel",
     "ip": r"(?i)\bip\b|address|host|server|adresse",
@@ -29,7 +32,7 @@ CONTEXT = {
 DOUBT = r"(?i)version|isbn|order no|serial|example"
 NEAR = 40
 #: Score of a confirmed span before its context: checksums are strong evidence, bare shapes are not.
-PRIOR = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+PRIOR = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.7, "ssn": 0.4}
 ACCEPTED = 0.5
 
 
@@ -81,37 +84,64 @@ _RULES = {
 }
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is evaluated once, however often body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_runs(items: Column, fold: Callable[[Column, Column], Column], reach: Callable[[Column, Column], Column]) -> Column:
+    """fold(run, where it begins) of runs of about sqrt(n) items, as an array; reach(at, run) is where a run that begins at
+    `at` ends. An array is never built element by element over its whole size, which would be quadratic."""
+
+    def by_runs(items: Column) -> Column:
+        size = F.size(items)
+        step = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), step), lambda i: F.slice(items, i + 1, step))
+
+    def folded(runs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(runs, start, lambda acc, run: F.struct(reach(acc["at"], run).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.zip_with(runs, begins, fold)
+
+    return _let(items, lambda x: _let(by_runs(x), folded))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Confirmed matches of one kind: array of (kind, start, end, score), code points, end exclusive.
 
-    The text is split at the pattern; the lengths of what lies between and of the matches give the places."""
+    The text is split at the pattern; the lengths of what lies between and of the matches give the places, and what lies
+    between is all that is looked at for context."""
     pattern, likely, confirm = _RULES[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    lengths = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("match")))
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["match"].alias("match"))))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    if confirm:
-        placed = F.filter(placed, lambda s: confirm(s["match"]))
-    scored = F.transform(placed, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(text, s, kind).alias("score")))
-    if kind in ADDED:
-        scored = F.filter(scored, lambda s: s["score"] >= ACCEPTED)
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    return F.when(likely(text), scored).otherwise(empty)
-
-
-def _score(text: Column, span: Column, kind: str) -> Column:
-    first = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.substring(text, first + 1, span["start"] - first)
-    moved = F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), 0.3).otherwise(0.0) - F.when(before.rlike(DOUBT), 0.3).otherwise(0.0)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+
+    def pieces(between: Column) -> Column:
+        beside = F.zip_with(found, F.slice(between, F.lit(2), F.size(between)), lambda m, a: F.struct(m.alias("match"), a.alias("after")))
+        return F.zip_with(between, beside, piece)
+
+    def piece(gap: Column, x: Column) -> Column:
+        near = F.concat_ws("\n", F.right(gap, F.lit(NEAR)), F.left(x["after"], F.lit(NEAR)))
+        fine = x["match"].isNotNull() & (confirm(x["match"]) if confirm else F.lit(True))
+        score = F.when(fine, _score(near, kind))  # null: no match, or one that its check rejects
+        return F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("size"), score.alias("score"))
+
+    def fold(run: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
+            span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["score"].alias("score")))
+            kept = x["score"] >= (ACCEPTED if kind in ADDED else 0.0)
+            return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(begin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def reach(at: Column, run: Column) -> Column:
+        return at + F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+
+    return F.when(likely(text), F.flatten(_in_runs(_let(F.split(text, pattern, -1), pieces), fold, reach))).otherwise(none)
+
+
+def _score(near: Column, kind: str) -> Column:
+    moved = F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.3).otherwise(0.0) - F.when(near.rlike(DOUBT), 0.3).otherwise(0.0)
     return F.round(F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0)), 2)
 
 
@@ -120,8 +150,8 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     then start.
 
     Matches are leftmost and do not overlap within a kind; a match that its check rejects is dropped without another try.
-    email, ip, card and phone are kept whatever their score; iban and ssn need a score of 0.5 or more, so a bare ssn shape
-    counts only beside a word such as "social". A null or empty text has no spans. Rows, other columns and repeated rows
+    email, ip, card and phone are kept whatever their score, which callers can filter by; iban and ssn need a score of 0.5
+    or more: a bare ssn shape counts only beside a word such as "social", an iban not beside a word such as "example". A null or empty text has no spans. Rows, other columns and repeated rows
     stay as they are; a column named pii is replaced. JVM expressions only, no shuffle."""
     clean = F.coalesce(F.col(text), F.lit(""))
     # by kind in separate columns, so that no expression is evaluated twice
@@ -133,17 +163,29 @@ def redacted(docs: DataFrame) -> DataFrame:
     (then the longer) one names the gap, which covers all of them. n_chars, if there, is counted anew; a null text stays
     null and clean texts stay as they are. Column order is kept."""
     spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], -s["back"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"]).alias("out"),
-        )
+    def reach(at: Column, run: Column) -> Column:
+        return F.greatest(at, -F.array_min(F.transform(run, lambda s: s["back"])))
 
-    # each text is rebuilt from its pieces, joined once
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    # each run's part of the text is cut out once, its pieces from that part
+    def fold(run: Column, begin: Column) -> Column:
+        last = F.greatest(F.array_max(F.transform(run, lambda s: s["start"])), begin)
+        return F.struct(reach(begin, run).alias("end"), _let(F.substring(F.col("text"), begin + 1, last - begin), lambda part: shown(run, begin, part)).alias("shown"))
+
+    def shown(run: Column, begin: Column, part: Column) -> Column:
+        def one(acc: Column, s: Column) -> Column:
+            gap = F.substring(part, acc["at"] - begin + 1, s["start"] - acc["at"])
+            out = F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+            return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
+
+        first = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(run, first, one, lambda acc: F.array_join(acc["out"], ""))
+
+    def joined(runs: Column) -> Column:
+        rest = F.substring(F.col("text"), F.element_at(runs, -1)["end"] + 1, F.length("text"))
+        return F.concat(F.array_join(F.transform(runs, lambda r: r["shown"]), ""), rest)
+
+    whole = _let(_in_runs(spans, fold, reach), joined)
     out = found(docs).withColumn("text", F.when(F.size("pii") > 0, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -151,13 +193,16 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256, spans (kind:start:end) and their scores in the same order, one row per
+    row of docs; texts without spans have zeros and empty strings, an empty table gives no rows."""
+
     def joined(kinds: tuple[str, ...]) -> Column:
         return F.array_join(F.transform(F.filter("pii", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     def number(kind: str) -> Column:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", *map(number, BASE), F.sha2(joined(BASE), 256).alias("base_sha256"), joined(BASE + ADDED).alias("spans"))
+    return found(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", *map(number, BASE), F.sha2(joined(BASE), 256).alias("base_sha256"), joined(BASE + ADDED).alias("spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
