@@ -37,15 +37,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; null texts count as empty."""
+    """doc_id, fp (the 64 bits as a signed long) and digest (XXH64 of the text) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", size) for t in texts), dtype=np.uint64, count=batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest")).mapInArrow(run, "doc_id long, fp long, digest long")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -67,17 +67,15 @@ def postings(fps: DataFrame, hot: int = 20_000) -> DataFrame:
     return index.join(crowded, "key", "left").select(F.explode(split).alias("key"), "fp")
 
 
-def _forest(members: np.ndarray, bits: int, shared: int) -> tuple[list, list]:
-    """Links that span the members of one posting whose tally of shared bytes and whose differing bits allow it."""
+def _spanned(members: np.ndarray, bits: int) -> tuple[list, list]:
+    """Links that span what `bits` or fewer differing bits connect among the members."""
     left, to = [], []
     waiting = members
     while len(waiting):
         front, waiting = [waiting[0]], waiting[1:]
         while front and len(waiting):
             at = front.pop()
-            other = waiting ^ at
-            tally = (other.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = (tally >= shared) & (np.bitwise_count(other) <= bits)
+            near = np.bitwise_count(waiting ^ at) <= bits
             if near.any():
                 found = waiting[near]
                 left += [at] * len(found)
@@ -87,6 +85,30 @@ def _forest(members: np.ndarray, bits: int, shared: int) -> tuple[list, list]:
     return left, to
 
 
+def _tallied(members: np.ndarray, bits: int) -> tuple[list, list]:
+    """Links that span the members of one posting. All share the bytes of its key, fewer than the guaranteed number of
+    matches; a byte position more must match, so each other position where the members differ has an inverted list for
+    each of its bytes, and only members that meet there are compared bit by bit. A list is divided in the same way while
+    its members can still differ in more positions than `bits` allows and it is large."""
+    if len(members) < 64:
+        return _spanned(members, bits)
+    cells = members.view(np.uint8).reshape(-1, 8)
+    open_ = np.flatnonzero((cells != cells[0]).any(axis=0))
+    if len(open_) <= bits:  # the guaranteed number of bytes is the same for all
+        return _spanned(members, bits)
+    left, to = [], []
+    for position in open_:
+        order = np.argsort(cells[:, position], kind="stable")
+        value = cells[order, position]
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        for i, j in zip(starts, np.r_[starts[1:], len(value)], strict=True):
+            if j - i > 1:
+                a, b = _tallied(members[order[i:j]], bits)
+                left += a
+                to += b
+    return left, to
+
+
 def links(fps: DataFrame, bits: int = 3, hot: int = 20_000) -> DataFrame:
     """Rows (a, b) that connect all distinct fp at `bits` or fewer differing bits: per posting a spanning forest of its
     verified pairs, never the pairs themselves. bits is at most 3: more could leave under five bytes in common."""
@@ -100,7 +122,7 @@ def links(fps: DataFrame, bits: int = 3, hot: int = 20_000) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes, left, to = np.diff(np.r_[starts, len(keys)]), [], []
             for i in np.flatnonzero(sizes > 1):
-                a, b = _forest(fps[starts[i] : starts[i] + sizes[i]], bits, 8 - bits)
+                a, b = _tallied(fps[starts[i] : starts[i] + sizes[i]], bits)
                 left += a
                 to += b
             return pa.record_batch([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (left, to)], names=["a", "b"])
@@ -119,6 +141,14 @@ def links(fps: DataFrame, bits: int = 3, hot: int = 20_000) -> DataFrame:
     return index.repartition(parts(fps.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _components(docs: DataFrame, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp, digest of each row; and fp, root (a fingerprint) of each distinct fingerprint."""
+    each = cut(fingerprints(docs, size))
+    nodes = each.select("fp").distinct()
+    roots = components(links(nodes, bits))
+    return each, nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the least doc_id that
     links of `bits` or fewer differing bits reach, itself included).
@@ -126,21 +156,30 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     Null and wordless texts have the fingerprint zero and link like any other. Equal fingerprints are one node, so copies
     cost nothing more; rows that repeat stay; a null doc_id keeps its row and never names a component. An empty table
     gives no rows. Other columns are ignored."""
-    each = cut(fingerprints(docs, size))
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes, bits))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    each, rooted = _components(docs, size, bits)
+    least = each.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id and digest (XXH64 of the text) are in kept(doc_id, digest), repeated rows once, and those
+    with a null doc_id. Columns and their order stay."""
+    digest = "_digest"
+    while digest in docs.columns:
+        digest += "_"
+    known = docs.where("doc_id is not null").withColumn(digest, F.xxhash64("text"))
+    found = known.join(kept.withColumnRenamed("digest", digest), ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest])
+    return found.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def representatives(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each component of near_duplicates(): the one with the least doc_id. doc_id names a document,
-    so of rows that repeat it one stays; rows with a null doc_id stay. Columns and their order are kept; an empty table
-    stays empty."""
-    found = near_duplicates(docs, size, bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """docs with one row of each component of near_duplicates(): the one with the least doc_id. Rows that repeat a doc_id
+    with unlike texts are documents of their own; rows with a null doc_id stay. Columns and their order are kept; an empty
+    table stays empty."""
+    each, rooted = _components(docs.where("doc_id is not null"), size, bits)
+    least = each.join(rooted, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    return chosen(docs, least.select("least.doc_id", "least.digest"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

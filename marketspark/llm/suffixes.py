@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.llm.common import cut, mixed, slices, table
 
 LENGTH, GRAM = 200, 50
-#: Distinct fragments of one anchor from which its windows are counted by hash instead of sorted in one task.
+#: Distinct fragments of one anchor that one task sorts; beyond, its windows are counted by hash and verified by bytes.
 CROWDED = 4096
 #: Bytes of fragments that are sorted at once (and the whole of one anchor's).
 SORTED = 1 << 18
@@ -20,7 +21,9 @@ SORTED = 1 << 18
 SIEVE = 1 << 23
 _BASE = np.uint64(0xB5AD4ECEDA1CE2A9)
 _INVERSE = np.uint64(pow(0xB5AD4ECEDA1CE2A9, -1, 1 << 64))
-_PLACE = 28
+#: Bits of a place within a block of windows.
+_PLACE = 24
+BLOCK = 1 << 22
 
 
 class Prefixes:
@@ -42,9 +45,21 @@ class Prefixes:
         return (self.sums[end] - self.sums[start]) * Prefixes.inverses[start]
 
 
-def fragments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def fragments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK):
     """Runs of windows (strings of `length` bytes) that share their anchor, the gram of least hash: row, first window's
-    place in its text, number of windows, anchor's hash, fragment's hash. Equal windows have equal anchors."""
+    place in its text, number of windows, anchor's hash, fragment's hash. Equal windows have equal anchors. Windows are
+    looked at in blocks, so the working memory does not grow with a text; a run that goes on in the next block is two."""
+    found = []
+    for start in range(0, max(len(data), 1), block):
+        part = data[start : start + block + length - 1]
+        found.append(_fragments(part, np.clip(at - start, 0, len(part)), length, gram))
+        found[-1][0][:] += start
+    first, number, ah, fh = (np.concatenate(x) for x in zip(*found, strict=True))
+    row = np.searchsorted(at, first, "right") - 1
+    return row, first - at[row], number, ah, fh
+
+
+def _fragments(data: np.ndarray, at: np.ndarray, length: int, gram: int):
     n, reach = len(data), length - gram + 1
     inside = np.zeros(n + 1, dtype=np.int8)
     long = np.flatnonzero(np.diff(at) >= length)
@@ -52,7 +67,7 @@ def fragments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int
     inside[at[long + 1] - length + 1] -= 1
     windows = np.flatnonzero(np.cumsum(inside))
     if not len(windows):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     prefixes, places = Prefixes(data), np.arange(n - gram + 1)
     hashes = mixed(prefixes.of(places, places + gram))
     mask = np.uint64((1 << _PLACE) - 1)
@@ -61,12 +76,12 @@ def fragments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int
         least, width = np.minimum(least[:-width], least[width:]), width * 2
     least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
     anchor = (least[windows] & mask).astype(np.int64)
+    # a run ends where the anchor changes, where windows stop, and where another text begins
     begins = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(windows) != 1)])
     first, number, anchor = windows[begins], np.diff(np.r_[begins, len(windows)]), anchor[begins]
     whole = prefixes.of(first, first + number - 1 + length)
     form = (number.astype(np.uint64) << np.uint64(32)) | (anchor - first).astype(np.uint64)
-    row = np.searchsorted(at, first, "right") - 1
-    return row, first - at[row], number, hashes[anchor], mixed(whole + mixed(form))
+    return first, number, hashes[anchor], mixed(whole + mixed(form))
 
 
 def suffix_order(data: np.ndarray, suffixes: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +150,22 @@ def suffix_order(data: np.ndarray, suffixes: np.ndarray, groups: np.ndarray, len
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """ah, fh, rid, pos, number of every fragment of docs(rid, text)."""
+    """ah, fh, vh, rid, pos, number of every fragment of docs(rid, text): hashes of its anchor and of its bytes (one
+    polynomial, one XXH3, which have nothing in common), text, place and number of windows. Texts under LENGTH bytes have
+    none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in slices(batch, "text", 1 << 20):
                 row, pos, number, ah, fh = fragments(data, at)
                 rid = part.column("rid").to_numpy()[row]
-                yield pa.record_batch([pa.array(ah.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(rid), pa.array(pos), pa.array(number.astype(np.int32))], names=["ah", "fh", "rid", "pos", "number"])
+                begin, view = at[row] + pos, memoryview(np.ascontiguousarray(data))
+                ends = begin + number - 1 + LENGTH
+                vh = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(begin.tolist(), ends.tolist(), strict=True)), np.uint64, len(row))
+                columns = [ah.view(np.int64), fh.view(np.int64), vh.view(np.int64), rid, pos, number.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["ah", "fh", "vh", "rid", "pos", "number"])
 
-    return docs.select("rid", "text").mapInArrow(run, "ah long, fh long, rid long, pos long, number int")
+    return docs.select("rid", "text").mapInArrow(run, "ah long, fh long, vh long, rid long, pos long, number int")
 
 
 def _sieved(docs: DataFrame, rids: DataFrame) -> DataFrame:
@@ -223,39 +244,51 @@ def _sorted_out(pieces: DataFrame) -> DataFrame:
     return pieces.select("ah", "rid", "pos", "copies", "bytes").repartition("ah").sortWithinPartitions("ah").mapInArrow(run, "rid long, s long, e long")
 
 
-def _counted_out(pieces: DataFrame) -> DataFrame:
-    """The same for crowded anchors: every window by two hashes, counted with partial sums, so no task holds a group."""
+def _windows(pieces: DataFrame) -> DataFrame:
+    """one (hash), rid, s, copies, window (its bytes) of every window of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, pos, copies, data in zip(*(batch.column(c).to_pylist() for c in ("rid", "pos", "copies", "bytes")), strict=True):
                 data = np.frombuffer(data, dtype=np.uint8)
                 start = np.arange(len(data) - LENGTH + 1)
-                prefixes = Prefixes(data)
-                one = prefixes.of(start, start + LENGTH)
-                two = mixed(one ^ mixed(prefixes.of(start + 7, start + 101) + mixed(prefixes.of(start + 101, start + 190))))
                 size = len(start)
-                yield pa.record_batch([pa.array(mixed(one).view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(size, rid)), pa.array(pos + start), pa.array(np.full(size, copies))], names=["one", "two", "rid", "s", "copies"])
+                cells = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH))
+                window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), size, [None, pa.py_buffer(cells)]).cast(pa.binary())
+                columns = [mixed(Prefixes(data).of(start, start + LENGTH)).view(np.int64), np.full(size, rid), pos + start, np.full(size, copies)]
+                yield pa.record_batch([*map(pa.array, columns), window], names=["one", "rid", "s", "copies", "window"])
+
+    return pieces.mapInArrow(run, "one long, rid long, s long, copies long, window binary")
 
-    windows = pieces.mapInArrow(run, "one long, two long, rid long, s long, copies long")
-    repeated = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-    return windows.where("copies = 1").join(repeated, ["one", "two"]).select("rid", "s", (F.col("s") + LENGTH).alias("e"))
+
+def _counted_out(pieces: DataFrame) -> DataFrame:
+    """The same for crowded anchors, which no task could sort: windows are counted by their hash with partial sums, and
+    what repeats is verified by its bytes. Least and greatest bytes of a hash are partial aggregates too, so no task holds
+    the windows of a hash; only where they differ (a collision) are windows counted by their bytes."""
+    windows = _windows(cut(pieces))
+    repeated = cut(windows.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"))
+    again = windows.join(repeated, "one", "left_semi")
+    told = cut(again.groupBy("one").agg((F.min("window") == F.max("window")).alias("alike")))
+    single = windows.where("copies = 1").select("one", "rid", "s").join(told.where("alike"), "one").select("rid", "s")
+    clash = windows.join(told.where("not alike"), "one", "left_semi")
+    apart = clash.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    return single.union(clash.where("copies = 1").join(apart, "window").select("rid", "s")).select("rid", "s", (F.col("s") + LENGTH).alias("e"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """rid, s, e: byte ranges of docs(rid, text) that together are all bytes within a repeated string of LENGTH bytes."""
     found = anchors(docs)
-    groups = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("fh").alias("f0"), F.max("fh").alias("f1")).where("n > 1")
+    same = [f(c).alias(f"{c}{k}") for c in ("fh", "vh") for k, f in enumerate((F.min, F.max))]
+    groups = found.groupBy("ah").agg(F.count("*").alias("n"), *same).where("n > 1")
     groups = cut(groups)  # else the join would share the count's partitions, and one anchor's rows could not be spread
-    shared = cut(found.join(groups, "ah").select("ah", "fh", "rid", "pos", "number", (F.col("f0") != F.col("f1")).alias("mixed")))
+    differ = (F.col("fh0") != F.col("fh1")) | (F.col("vh0") != F.col("vh1"))
+    shared = cut(found.join(groups, "ah").select("ah", "fh", "vh", "rid", "pos", "number", differ.alias("mixed")))
     mixed_ = shared.where("mixed")
     # one fragment stands for its copies, which are repeated throughout
-    kinds = mixed_.groupBy("ah", "fh").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "pos", "number")).alias("one"))
-    kinds = cut(kinds)
+    kinds = cut(mixed_.groupBy("ah", "fh", "vh").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "pos", "number")).alias("one")))
     crowds = kinds.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWDED).select("ah", F.lit(True).alias("crowded"))
-    whole = shared.where("not mixed").select("rid", "pos", "number").union(
-        mixed_.join(kinds.where("copies > 1").select("ah", "fh"), ["ah", "fh"]).select("rid", "pos", "number")
-    )
+    copied = kinds.where("copies > 1").select("ah", "fh", "vh")
+    whole = shared.where("not mixed").select("rid", "pos", "number").union(mixed_.join(copied, ["ah", "fh", "vh"]).select("rid", "pos", "number"))
     whole = whole.select("rid", F.col("pos").alias("s"), (F.col("pos") + F.col("number") - 1 + LENGTH).alias("e"))
     wanted = kinds.join(crowds, "ah", "left").select("one.rid", "one.pos", "one.number", "ah", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     pieces = _cut_out(docs, wanted)
@@ -297,8 +330,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A byte goes if a string of LENGTH bytes around it also starts anywhere else, in the same text or another; strings are
     judged on the input. Null texts count as empty; shorter texts stay whole; repeated rows are texts of their own; other
     columns are ignored; an empty table gives no rows. docs must give the same rows in the same order when it is read
-    again, as a stored table does. Fragments that are equal as a whole are told by two 64-bit hashes; windows of differing
-    fragments are verified byte by byte."""
+    again, as a stored table does. Fragments that are equal as a whole are told by two unlike 64-bit hashes of all their
+    bytes; windows of differing fragments are verified byte by byte."""
     rows = _numbered(docs)
     return rows.join(_changed(rows), "rid", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *_counts(), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
 
