@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,21 +63,23 @@ def order_reasons(orders: DataFrame, bars: DataFrame, lot: int = 5, limit: float
 
 def average_cost(trades: DataFrame) -> DataFrame:
     """book, symbol, holding, cost: average cost of the open holding, which starts anew when the holding returns to zero or
-    changes sign. It depends on the path, so one (book, symbol)'s trades go to a helper."""
+    changes sign; selling part of it changes nothing.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = cost = 0.0
-        for side, q, price in pdf.sort_values("seq")[["side", "quantity", "price"]].itertuples(index=False):
-            signed = -q if side == "sell" else q
-            after = held + signed
-            if held == 0 or held * after < 0:
-                cost = price
-            elif held * signed > 0:
-                cost = (held * cost + signed * price) / after
-            held, cost = after, cost if after else 0.0
-        return pd.DataFrame({"book": pdf["book"].iloc[:1], "symbol": pdf["symbol"].iloc[:1], "holding": [held], "cost": [cost]})
-
-    return trades.select("book", "symbol", "seq", "side", "quantity", "price").groupBy("book", "symbol").applyInPandas(run, "book string, symbol string, holding double, cost double")
+    The running holding cuts a line into episodes of one sign. Within one, a buy of a share of what is held afterwards
+    moves the cost by that share: cost = sum of price * share * product of the later (1 - share). Running sums of
+    ln(1 - share) give the products, so windows and one aggregate do it, and nothing is collected."""
+    w = Window.partitionBy("book", "symbol").orderBy("seq")
+    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    rows = trades.withColumn("signed", signed).withColumn("after", F.round(F.sum("signed").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
+    rows = rows.withColumn("before", F.coalesce(F.lag("after", 1).over(w), F.lit(0.0)))
+    opens = (F.col("before") == 0) | (F.col("before") * F.col("after") < 0)
+    share = F.when(opens, 1.0).when(F.col("before") * F.col("signed") > 0, F.col("signed") / F.col("after")).otherwise(0.0)
+    rows = rows.withColumns({"opens": opens, "share": share}).withColumn("last_open", F.max(F.when(F.col("opens"), F.col("seq"))).over(Window.partitionBy("book", "symbol")))
+    back = Window.partitionBy("book", "symbol").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.coalesce(F.sum(F.when(~F.col("opens"), F.ln(1 - F.col("share")))).over(back), F.lit(0.0))
+    episode = rows.where("seq >= last_open").withColumn("weight", F.col("share") * F.exp(later))
+    costs = episode.groupBy("book", "symbol").agg(F.max_by("after", "seq").alias("holding"), F.sum(F.col("price") * F.col("weight")).alias("cost"))
+    return costs.select("book", "symbol", "holding", F.when(F.col("holding") != 0, F.col("cost")).otherwise(0.0).alias("cost"))
 
 
 def holdings_at(trades: DataFrame, time: Column) -> DataFrame:
@@ -142,4 +143,113 @@ def experiment_reasons(s: dict[str, Column]) -> Column:
     """Names of the rules that an experiment breaks, comma-joined: at least 126 sessions, Sharpe of 0.5 or more, a drawdown
     of at most 20 % and a positive return."""
     tests = {"sessions": s["sessions"] >= 126, "sharpe": s["sharpe"] >= 0.5, "drawdown": s["max_drawdown"] >= -0.2, "return": s["net_return"] > 0}
+    return failed_rules(tests)
+
+
+def failed_rules(tests: dict[str, Column]) -> Column:
+    """Names of the tests that do not hold, comma-joined; a test of something missing does not hold."""
     return F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()])), ",")
+
+
+def marked_positions(holdings: DataFrame, bars: DataFrame, day: Column) -> DataFrame:
+    """holdings(book, symbol, quantity) at the last close up to a day: book, symbol, quantity, close, price_date, value,
+    stale (the bar is not of the day or had no volume). Without any bar the price is null and the mark is stale."""
+    last = bars.where(F.col("date") <= day).where("close is not null").groupBy("symbol").agg(F.max_by(F.struct("close", "date", "volume"), "date").alias("m"))
+    stale = ~F.coalesce((F.col("m.date") == day) & (F.col("m.volume") > 0), F.lit(False))
+    return holdings.join(last, "symbol", "left").select("book", "symbol", "quantity", F.col("m.close").alias("close"), F.col("m.date").alias("price_date"), (F.col("quantity") * F.col("m.close")).alias("value"), stale.alias("stale"))
+
+
+def close_before(bars: DataFrame, when: Column) -> DataFrame:
+    """instrument, close: the last close before a day, else the first on or after it."""
+    known = bars.where("close is not null")
+    before = F.max_by("close", F.when(F.col("date") < when, F.col("date")))
+    after = F.min_by("close", F.when(F.col("date") >= when, F.col("date")))
+    return known.groupBy("instrument").agg(F.coalesce(before, after).alias("close"))
+
+
+def closed_sessions(bars: DataFrame, now: Column, zone: str, close_hour: int) -> DataFrame:
+    """bars without a session that is not over: a day counts from five minutes after its close. now: a moment in UTC
+    (timestamp_ntz); zone: of the exchange."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), now)
+    over = F.hour(local) * 60 + F.minute(local) >= close_hour * 60 + 5
+    return bars.where(F.col("date") <= F.date_sub(F.to_date(local), F.when(over, 0).otherwise(1)))
+
+
+def reconciled(days: DataFrame, trades: DataFrame, initial: Column, tolerance: float = 1e-6) -> DataFrame:
+    """Differences between a stored ledger and its trades: book, day, field, stored, computed; none if all is right.
+
+    days(book, day, cash, fees, fills, positions map<symbol, quantity>, closes map<symbol, close>, equity, drawdown),
+    trades(book, day, symbol, side, quantity, price, fee). Cash, holdings, fees, fills, equity and drawdown from the running
+    peak are computed anew; a day that one side lacks differs in `fills`."""
+    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    flows = trades.groupBy("book", "day").agg(F.sum(-signed * F.col("price") - F.col("fee")).alias("flow"), F.sum("fee").alias("c_fees"), F.count("*").alias("c_fills"))
+    w = Window.partitionBy("book").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    both = days.join(flows, ["book", "day"], "full").withColumn("c_cash", initial + F.sum(F.coalesce("flow", F.lit(0.0))).over(w))
+    moves = trades.groupBy("book", "symbol", "day").agg(F.sum(signed).alias("moved"))
+    held = Window.partitionBy("book", "symbol").orderBy("day")
+    since = moves.withColumn("holding", F.sum("moved").over(held.rowsBetween(Window.unboundedPreceding, 0)))
+    # what is stored of each day's symbols beside the latest holding up to that day
+    stored = days.select("book", "day", F.explode("positions").alias("symbol", "quantity"), "closes")
+    line = stored.select("book", "symbol", "day", "quantity", F.col("closes")[F.col("symbol")].alias("close"), F.lit(None).cast("double").alias("holding"), F.lit(1).alias("asked"))
+    line = line.unionByName(since.select("book", "symbol", "day", F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("double").alias("close"), "holding", F.lit(0).alias("asked")))
+    upto = Window.partitionBy("book", "symbol").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("computed", F.coalesce(F.last("holding", ignorenulls=True).over(upto), F.lit(0.0))).where("asked = 1")
+    value = line.groupBy("book", "day").agg(F.sum(F.col("computed") * F.col("close")).alias("c_value"))
+    both = both.join(value, ["book", "day"], "left").withColumn("c_equity", F.col("c_cash") + F.coalesce("c_value", F.lit(0.0)))
+    both = both.withColumn("c_drawdown", F.col("c_equity") / F.greatest(initial, F.max("c_equity").over(w)) - 1)
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("stored"), F.coalesce(F.col(f"c_{f}"), F.lit(0)).cast("double").alias("computed")) for f in ("cash", "fees", "fills", "equity", "drawdown")]
+    fields = both.select("book", "day", F.inline(F.array(*pairs)))
+    holdings = line.select("book", "day", F.concat(F.lit("position "), "symbol").alias("field"), F.col("quantity").cast("double").alias("stored"), "computed")
+    apart = F.coalesce(F.abs(F.col("stored") - F.col("computed")) > tolerance, F.lit(True))
+    return fields.union(holdings).where(apart)
+
+
+def strategy_summary(days: DataFrame) -> DataFrame:
+    """Per book of days(book, day, equity, total_return, drawdown, fees, fills, stale): last day and its equity and return,
+    worst drawdown, fees, fills, days with stale marks, sessions."""
+    last = F.max_by(F.struct("equity", "total_return"), "day")
+    return days.groupBy("book").agg(
+        F.max("day").alias("last_day"), last.alias("l"), F.least(F.lit(0.0), F.min("drawdown")).alias("max_drawdown"), F.sum("fees").alias("fees"), F.sum("fills").alias("fills"),
+        F.sum(F.col("stale").cast("long")).alias("stale_days"), F.count("*").alias("sessions"),
+    ).select("book", "last_day", "l.equity", "l.total_return", "max_drawdown", "fees", "fills", "stale_days", "sessions")
+
+
+def listing(rows: DataFrame, book: str, newest: str, held: str | None = None, n: int = 100) -> DataFrame:
+    """A book's rows, newest first, of positions only those that are held; one page."""
+    mine = rows.where(F.col("book") == book)
+    return (mine.where(F.col(held) > 0) if held else mine).orderBy(F.desc(newest)).limit(n)
+
+
+def model_orders(targets: DataFrame, holdings: DataFrame, equity: float, k: int, turnover: float, lot: int = 100, invested: float = 0.98) -> DataFrame:
+    """targets(instrument, price) of the k chosen names, holdings(instrument, quantity, price): orders towards `invested` / k
+    of the equity each. Amounts are scaled down together so that they turn over at most `turnover` of the equity, then
+    rounded to lots; a name that is no target is sold whole if nothing was scaled."""
+    both = targets.select("instrument", "price", F.lit(equity * invested / k).alias("wanted")).join(holdings.select("instrument", "quantity", F.col("price").alias("mark")), "instrument", "full")
+    price = F.coalesce("price", "mark")
+    rows = both.select("instrument", price.alias("price"), F.coalesce("quantity", F.lit(0)).alias("held"), F.col("wanted").isNull().alias("leaves"), (F.coalesce("wanted", F.lit(0.0)) - F.coalesce("quantity", F.lit(0)) * price).alias("amount"))
+    whole = Window.partitionBy(F.lit(1))  # the names of one book
+    scale = F.least(F.lit(1.0), F.try_divide(F.lit(turnover * equity), F.sum(F.abs("amount")).over(whole)))
+    rows = rows.withColumn("scale", scale)
+    size = F.floor(F.abs("amount") * F.col("scale") / F.col("price") / lot) * lot
+    size = F.when(F.col("leaves") & (F.col("scale") == 1), F.col("held")).otherwise(size)
+    return rows.select("instrument", F.when(F.col("amount") < 0, "sell").otherwise("buy").alias("side"), size.cast("long").alias("quantity")).where("quantity > 0")
+
+
+def share_deltas(weights: DataFrame, holdings: DataFrame, quotes: DataFrame, equity: float, cash: float, lot: int = 100, cost: float = 0.001) -> DataFrame:
+    """weights(instrument, weight), holdings(instrument, quantity, sellable), quotes(instrument, price, volume, fresh) as
+    orders of whole lots: names that are no members are sold as far as they are sellable, quotes without volume or that are
+    stale are skipped, buys go in order of weight while the cash lasts."""
+    rows = weights.join(holdings, "instrument", "full").join(quotes, "instrument").where("volume > 0 and fresh and price > 0")
+    unit = F.col("price") * (1 + cost)
+    wanted = F.coalesce(F.floor(F.lit(equity) * F.col("weight") / unit / lot) * lot, F.lit(0))
+    delta = wanted - F.coalesce("quantity", F.lit(0))
+    rows = rows.select("instrument", "weight", unit.alias("unit"), F.greatest(delta, -F.coalesce("sellable", F.lit(0))).cast("long").alias("delta")).where("delta <> 0")
+    line = Window.partitionBy(F.lit(1)).orderBy(F.desc("weight"), "instrument").rowsBetween(Window.unboundedPreceding, 0)  # the names of one book
+    spent = F.sum(F.when(F.col("delta") > 0, F.col("delta") * F.col("unit")).otherwise(0.0)).over(line)
+    return rows.withColumn("spent", spent).where((F.col("delta") < 0) | (F.col("spent") <= cash)).select("instrument", "delta")
+
+
+def searched(instruments: DataFrame, text: str, n: int = 20) -> DataFrame:
+    """instruments(symbol, name) whose symbol or name holds the text, letter case ignored; the first n by symbol."""
+    q = text.strip().upper()
+    return instruments.where(F.contains(F.upper("symbol"), F.lit(q)) | F.contains(F.upper("name"), F.lit(q))).orderBy("symbol").limit(n)

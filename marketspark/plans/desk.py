@@ -328,4 +328,12 @@ def _rest() -> None:
 ), m AS (SELECT book, bin, avg(forward) AS m FROM bins GROUP BY book, bin), sp AS (SELECT book, arg_max(m, bin) - arg_min(m, bin) AS spread FROM m GROUP BY book)""", f"SELECT main.book, n, {_show('ic', 'on_share', 'on_mean', 'off_mean', 'spread')} FROM main JOIN sp ON main.book = sp.book")
 
 
+def _average_cost_sql() -> str:
+    """The path of a line as a fold of its trades: h is the holding, c its cost."""
+    step = """CASE WHEN a.h = 0 OR a.h * (a.h + x.h) < 0 THEN x.c WHEN a.h * x.h > 0 THEN (a.h * a.c + x.h * x.c) / (a.h + x.h) ELSE a.c END"""
+    fold = f"list_reduce(list({{'h': signed, 'c': price}} ORDER BY seq), lambda a, x: {{'h': a.h + x.h, 'c': {step}}})"
+    return sql(_DATED + f", f AS (SELECT book, symbol, {fold} AS r FROM costs GROUP BY book, symbol), g AS (SELECT book, symbol, r.h AS holding, CASE WHEN r.h <> 0 THEN r.c ELSE 0.0 END AS cost FROM f)", f"SELECT book, symbol, holding, {shown_sql('cost')} FROM g")
+
+
 _rest()
+ORACLES["average_costs"] = _average_cost_sql()

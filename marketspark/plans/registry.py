@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.plans import desk, factors, market, records
+from marketspark.plans import books, desk, factors, files, market, records
 
-MODULES = (factors, market, records, desk)
+MODULES = (factors, market, records, desk, files, books)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

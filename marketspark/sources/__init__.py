@@ -1 +1 @@
-
+"""Files in, files out."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.lineage import cut
@@ -31,20 +32,38 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _marked(spark: SparkSession, folder: str, number: int | None = None) -> None:
+    """Notes that a version is whole; without a number only makes the table of notes."""
+    rows = spark.range(0 if number is None else 1).select(F.lit(number or 0).alias("version"))
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}-marks")
+
+
+def _newest(spark: SparkSession, folder: str, below: int = 1 << 30) -> str | None:
+    """Path of the newest whole version, of those before `below`."""
+    number = spark.read.schema("version int").parquet(f"{folder}-marks").where(F.col("version") < below).agg(F.max("version")).first()[0]
+    return None if number is None else f"{folder}/version={number}"
+
+
 def upserted(stream: DataFrame, folder: str, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key over all batches. Every batch writes its own version folder from the one before, so a
-    batch that is run again writes the same and readers see whole versions."""
-    spark, last = stream.sparkSession, {}
+    """The last row of each key over all batches, restarts included.
+
+    Every batch writes its own version folder from the newest whole one before it, which its own mark, written last, tells; a
+    batch that is run again writes the same, and readers see whole versions. Without new data the newest version is
+    returned; before any, there are no rows."""
+    spark = stream.sparkSession
+
+    _marked(spark, folder)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if number == 0 or "path" not in last else batch.unionByName(spark.read.parquet(last["path"]))
+        before = _newest(spark, folder, number)
+        rows = batch.unionByName(spark.read.parquet(before)) if before else batch
         best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-        path = f"{folder}/version={number}"
-        rows.withColumn("_best", best).where("_best = 1").drop("_best").write.mode("overwrite").parquet(path)
-        last["path"] = path
+        rows.withColumn("_best", best).where("_best = 1").drop("_best").write.mode("overwrite").parquet(f"{folder}/version={number}")
+        _marked(spark, folder, number)
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last["path"])
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
+    newest = _newest(spark, folder)
+    return spark.read.parquet(newest) if newest else spark.createDataFrame([], stream.schema)
 
 
 def counted(stream: DataFrame, key: str, time: str = "ts", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -53,14 +72,49 @@ def counted(stream: DataFrame, key: str, time: str = "ts", width: str = "1 hour"
 
 
 def marked_once(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """Rows whose key was not seen in an earlier batch, each batch a folder of its own that a rerun overwrites whole."""
-    spark = stream.sparkSession
+    """Each key once, whatever batch it comes in. Seen keys are one table of versions as in upserted(), so a batch reads one
+    folder however many came before it."""
+    return upserted(stream.select(*keys, F.lit(0).alias("_n")), folder, keys, "_n").select(*keys)
+
+
+def by_day(stream: DataFrame, folder: str, day: str) -> DataFrame:
+    """Rows in a folder for each day, which a batch replaces as a whole: a day is there completely or not, and the same
+    batch again changes nothing. The stream brings whole days (an upstream that closes a day before it delivers it)."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(folder)
 
-    def mark(batch: DataFrame, number: int) -> None:
-        fresh = batch.select(*keys).distinct()
-        for k in range(number):
-            fresh = fresh.join(spark.read.parquet(f"{folder}/batch={k}"), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def answered(stream: DataFrame, folder: str, key: str, answer: Callable[[DataFrame], DataFrame], skip: Column | None = None) -> DataFrame:
+    """An inbox of requests and its outbox: each new key is answered once, by answer(requests) -> rows with the key; skipped
+    requests never are. A request without an answer is recorded with the error "no answer"; if a batch fails as a whole,
+    each of its requests is recorded with the error's type and the stream goes on. A batch that runs again overwrites its
+    own folder of the outbox."""
+    spark = stream.sparkSession
 
-    stream.writeStream.foreachBatch(mark).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(folder).select(*keys)
+    _marked(spark, folder)
+
+    def serve(batch: DataFrame, number: int) -> None:
+        done = _newest(spark, folder, number)
+        asked = batch.where(~F.coalesce(skip, F.lit(False))) if skip is not None else batch
+        asked = asked.dropDuplicates([key])
+        if done:
+            asked = asked.join(spark.read.parquet(done), key, "left_anti")
+        asked = cut(asked)
+        try:
+            rows = cut(answer(asked))
+            failed = asked.join(rows, key, "left_anti").select(key, F.lit("no answer").alias("error"))
+            rows.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}-out/batch={number}")
+        except Exception as e:  # a bad request must not stop the inbox
+            asked.select(key, F.lit(type(e).__name__).alias("error")).write.mode("overwrite").parquet(f"{folder}-out/batch={number}")
+        seen = asked.select(key)
+        if done:
+            seen = seen.union(spark.read.parquet(done))
+        seen.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        _marked(spark, folder, number)
+
+    stream.writeStream.foreachBatch(serve).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("mergeSchema", True).parquet(f"{folder}-out").drop("batch")
