@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.algebra import cross, evaluate, parse
+from marketspark.operators.lineage import cut
 from marketspark.operators.panel import line
 
 HORIZONS = (1, 5, 10)
@@ -75,7 +76,9 @@ def turnover(clean: DataFrame) -> DataFrame:
 
 
 def gates(clean: DataFrame, period: int = 1, ic_mean: float = 0.02, ic_ir: float = 0.5) -> DataFrame:
-    """One record per alpha: passed, ic_mean, ic_ir, quantile_spread, turnover, reasons."""
+    """One record per alpha: passed, ic_mean, ic_ir, quantile_spread, turnover, reasons. The clean factors are read by all
+    parts, so they are cut once."""
+    clean = cut(clean.select("alpha_id", "date", "instrument", "factor", "quantile", f"fwd_{period}"))
     ic = ic_series(clean, period).groupBy("alpha_id").agg(F.avg("ic").alias("ic_mean"), F.try_divide(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))).alias("ic_ir"))
     out = clean.select("alpha_id").distinct()
     for part in (ic, quantile_spread(clean, period), turnover(clean)):
@@ -87,7 +90,8 @@ def gates(clean: DataFrame, period: int = 1, ic_mean: float = 0.02, ic_ir: float
 
 def retried(panel_clean: DataFrame) -> DataFrame:
     """Gate records of every alpha and, where it fails, of its negation; the sign kept is the one that passes."""
-    first = gates(panel_clean).withColumn("sign", F.lit(1))
+    panel_clean = cut(panel_clean.select("alpha_id", "date", "instrument", "factor", "quantile", "fwd_1"))
+    first = cut(gates(panel_clean).withColumn("sign", F.lit(1)))
     failed = panel_clean.join(first.where("not passed").select("alpha_id"), "alpha_id", "left_semi")
     turned = failed.withColumn("factor", -F.col("factor")).withColumn("quantile", quantile_labels(F.col("factor"), ["alpha_id", "date"]))
     second = gates(turned).withColumn("sign", F.lit(-1))

@@ -51,7 +51,7 @@ def theme_weights(score: Column, keys: list[str], cash: float = -0.5, invested:
 def zscore_window(x: Column, by: str, window: int = 252, least: int = 40) -> Column:
     w = Window.partitionBy(by).orderBy("date").rowsBetween(1 - window, 0)
     z = F.try_divide(x - F.avg(x).over(w), F.nullif(F.round(F.stddev_samp(x).over(w), 12), F.lit(0.0)))
-    return F.when(F.count(x).over(w) >= least, F.greatest(F.least(z, F.lit(2.0)), F.lit(-2.0)))
+    return F.when((F.count(x).over(w) >= least) & z.isNotNull(), F.greatest(F.least(z, F.lit(2.0)), F.lit(-2.0)))
 
 
 def weighted_score(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -213,9 +213,9 @@ def snapshot_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.freshness(bars(spark, sf_dir), F.lit("1998-12-31").cast("date"))
 
 
-@query(sql(BARS, "SELECT instrument, count(*) AS stored_rows, CASE WHEN instrument <> 'NATION_5' THEN count(*) END AS rows FROM bars WHERE instrument IN ('NATION_3', 'NATION_5') GROUP BY instrument"))
+@query(sql(BARS, "SELECT instrument, count(*) AS stored_rows, CASE WHEN instrument <> 'NATION_5' THEN count(*) ELSE 0 END AS rows FROM bars WHERE instrument IN ('NATION_3', 'NATION_5') GROUP BY instrument"))
 def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a manifest tells of a delivery in which one name changed by a cent and one is gone."""
     b = bars(spark, sf_dir)
     now = b.where("instrument <> 'NATION_5'").withColumn("close", F.when((F.col("instrument") == "NATION_3") & (F.col("date") == F.lit("1997-01-06").cast("date")), F.col("close") + 0.01).otherwise(F.col("close")))
-    return stores.changed(stores.manifest(b), stores.manifest(now))
+    return stores.changed(stores.manifest(b), stores.manifest(now)).withColumn("rows", F.coalesce("rows", F.lit(0)))
