@@ -73,7 +73,7 @@ def freshness(bars: DataFrame, today: Column, most: int = 7) -> DataFrame:
 def report_rows(library: DataFrame) -> DataFrame:
     """A library's records as they are printed: rank, name and figures of fixed width; missing figures are dashes."""
     def fixed(c: str, digits: int) -> Column:
-        return F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("-")).alias(c)
+        return F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))).otherwise("-").alias(c)
 
     numbers = [f.name for f in library.schema.fields if f.dataType.simpleString() == "double"]
     return library.select(*[fixed(c, 4) if c in numbers else F.col(c) for c in library.columns])
