@@ -86,15 +86,13 @@ def _spanned(members: np.ndarray, bits: int) -> tuple[list, list]:
 
 
 def _tallied(members: np.ndarray, bits: int) -> tuple[list, list]:
-    """Links that span the members of one posting. All share the bytes of its key, fewer than the guaranteed number of
-    matches; a byte position more must match, so each other position where the members differ has an inverted list for
-    each of its bytes, and only members that meet there are compared bit by bit. A list is divided in the same way while
-    its members can still differ in more positions than `bits` allows and it is large."""
-    if len(members) < 64:
-        return _spanned(members, bits)
+    """Links that span the members of one posting, which share the four (or five) bytes of its key.
+
+    A pair needs 8 - bits matching positions. Where the key alone does not give as many, each other position has an
+    inverted list for each of its bytes: members that meet there reach the tally, and only they are compared bit by bit."""
     cells = members.view(np.uint8).reshape(-1, 8)
     open_ = np.flatnonzero((cells != cells[0]).any(axis=0))
-    if len(open_) <= bits:  # the guaranteed number of bytes is the same for all
+    if len(members) < 16 or len(open_) <= bits:
         return _spanned(members, bits)
     left, to = [], []
     for position in open_:
@@ -103,7 +101,7 @@ def _tallied(members: np.ndarray, bits: int) -> tuple[list, list]:
         starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
         for i, j in zip(starts, np.r_[starts[1:], len(value)], strict=True):
             if j - i > 1:
-                a, b = _tallied(members[order[i:j]], bits)
+                a, b = _spanned(members[order[i:j]], bits)
                 left += a
                 to += b
     return left, to
