@@ -253,3 +253,56 @@ def searched(instruments: DataFrame, text: str, n: int = 20) -> DataFrame:
     """instruments(symbol, name) whose symbol or name holds the text, letter case ignored; the first n by symbol."""
     q = text.strip().upper()
     return instruments.where(F.contains(F.upper("symbol"), F.lit(q)) | F.contains(F.upper("name"), F.lit(q))).orderBy("symbol").limit(n)
+
+
+def filled(orders: DataFrame, profiles: DataFrame) -> DataFrame:
+    """orders(venue, side, kind, quantity, price) with fill_price and fee by profiles(venue, slippage, commission, stamp,
+    all_in, minimum): buys pay and sells lose the slippage; a venue with all_in charges it on both sides, others their
+    commission, and stamp duty on sold equities; the commission is `minimum` at least; options count a hundredfold."""
+    rows = orders.join(F.broadcast(profiles), "venue")  # one row a venue
+    fill = F.col("price") * (1 + F.when(F.col("side") == "buy", F.col("slippage")).otherwise(-F.col("slippage")))
+    amount = fill * F.col("quantity") * multiplier(F.col("kind"))
+    stamp = F.when((F.col("side") == "sell") & (F.col("kind") == "equity"), F.col("stamp")).otherwise(0.0)
+    rate = F.coalesce(F.col("all_in"), F.col("commission") + stamp)
+    short = F.greatest(F.lit(0.0), F.col("minimum") - amount * F.col("commission"))
+    return rows.select(*orders.columns, fill.alias("fill_price"), (amount * rate + short).alias("fee"))
+
+
+def period_results(trades: DataFrame, bars: DataFrame, day: Column) -> DataFrame:
+    """book, period (day, week, month), result: what holdings and cash are worth on a day less what they were worth at the
+    start of the period, at the last close before it; null if a held symbol has no price then or now."""
+    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    parts = []
+    for period in ("day", "week", "month"):
+        start = F.to_date(F.date_trunc(period, day.cast("timestamp")))
+        held = trades.where(F.col("date") <= day).groupBy("book", "symbol").agg(
+            F.sum(F.when(F.col("date") < start, signed).otherwise(0.0)).alias("q0"), F.sum(signed).alias("q1"),
+            F.sum(F.when(F.col("date") >= start, -signed * F.col("price") - F.col("fee")).otherwise(0.0)).alias("flow"),
+        )
+        marks = bars.where("close is not null").groupBy("symbol").agg(
+            F.max_by("close", F.when(F.col("date") < start, F.col("date"))).alias("p0"), F.max_by("close", F.when(F.col("date") <= day, F.col("date"))).alias("p1")
+        )
+        value = lambda q, p: F.when(F.col(q) == 0, 0.0).otherwise(F.col(q) * F.col(p))
+        one = held.join(marks, "symbol", "left").withColumn("r", value("q1", "p1") - value("q0", "p0") + F.col("flow"))
+        parts.append(one.groupBy("book").agg(F.lit(period).alias("period"), F.when(F.count("r") == F.count("*"), F.sum("r")).alias("result")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def equity_ledger(trades: DataFrame, bars: DataFrame, initial: float) -> DataFrame:
+    """book, date, cash, value, equity, pnl, drawdown of each of a book's trading days: holdings at the last close so far."""
+    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    days = trades.groupBy("book", "date").agg(F.sum(-signed * F.col("price") - F.col("fee")).alias("flow"))
+    moves = trades.groupBy("book", "symbol", "date").agg(F.sum(signed).alias("moved"))
+    # holdings and closes of a symbol on each of the book's days, both carried forward on one line
+    names = moves.select("book", "symbol").distinct()
+    asked = days.select("book", "date").join(names, "book").select("book", "symbol", "date", F.lit(0.0).alias("moved"), F.lit(None).cast("double").alias("close"), F.lit(1).alias("asked"))
+    line = asked.unionByName(moves.select("book", "symbol", "date", "moved", F.lit(None).cast("double").alias("close"), F.lit(0).alias("asked")))
+    line = line.unionByName(names.join(bars.select("symbol", "date", "close"), "symbol").select("book", "symbol", "date", F.lit(0.0).alias("moved"), "close", F.lit(0).alias("asked")))
+    w = Window.partitionBy("book", "symbol").orderBy("date", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumns({"held": F.sum("moved").over(w), "mark": F.last("close", ignorenulls=True).over(w)}).where("asked = 1")
+    value = line.groupBy("book", "date").agg(F.sum(F.col("held") * F.coalesce("mark", F.lit(0.0))).alias("value"))
+    all_ = Window.partitionBy("book").orderBy("date")
+    upto = all_.rowsBetween(Window.unboundedPreceding, 0)
+    rows = days.join(value, ["book", "date"]).withColumn("cash", initial + F.sum("flow").over(upto)).withColumn("equity", F.col("cash") + F.col("value"))
+    pnl = F.col("equity") - F.coalesce(F.lag("equity", 1).over(all_), F.lit(initial))
+    return rows.select("book", "date", "cash", "value", "equity", pnl.alias("pnl"), (F.col("equity") / F.greatest(F.lit(initial), F.max("equity").over(upto)) - 1).alias("drawdown"))

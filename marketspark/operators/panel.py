@@ -129,3 +129,25 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str])
     for f in fields:
         reason = reason.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), f"{f} differs")
     return both.select(*keys, reason.alias("reason")).where("reason is not null")
+
+
+def composite(primary: DataFrame, live: DataFrame, start: str, end: str, pad: int = 5) -> DataFrame:
+    """Per instrument the primary's rows alone if they cover start to end (`pad` days short is still covered), else both
+    sources' rows, the primary's where both have one."""
+    spans = primary.groupBy("instrument").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    covered = spans.where((F.col("first") <= F.date_add(F.lit(start).cast("date"), pad)) & (F.col("last") >= F.date_sub(F.lit(end).cast("date"), pad))).select("instrument")
+    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return prefer([primary, live.join(covered, "instrument", "left_anti")], ["instrument", "date"]).where(inside)
+
+
+def session_bars(rows: DataFrame, at: str, zone: str = "UTC") -> DataFrame:
+    """rows(instrument, at timestamp_ntz in a zone) by their date in UTC, the last of each: date instead of at."""
+    moment = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col(at))
+    last = keep_last(rows.withColumn("date", F.to_date(moment)), ["instrument", "date"], [F.desc(at)])
+    return last.drop(at)
+
+
+def carried_industries(days: DataFrame, industries: DataFrame) -> DataFrame:
+    """date, instrument, industry: industries(instrument, date, industry) on all of days(date), the last known one carried
+    to later dates."""
+    return carried(industries, days, "instrument", "industry").select("date", "instrument", "industry")

@@ -103,3 +103,19 @@ def signal_backtest(rows: DataFrame, cost: float = 0.001) -> DataFrame:
 def folds(sessions: int, train: int = 104, test: int = 26, step: int = 26) -> list[tuple[int, int, int]]:
     """fold, first and last session ordinal of its test window; each trains on the `train` sessions before."""
     return [(i, s, s + test - 1) for i, s in enumerate(range(train, sessions - test + 1, step))]
+
+
+def quality_targets(rows: DataFrame, keys: list[str], sleeve: Column, mode: str = "inv_vol", vol: str = "vol", mom: str = "mom") -> DataFrame:
+    """weight: the sleeve(of each key) split evenly (equal), by inverse volatility (inv_vol) or by momentum and volatility
+    (dual_mom); without a sleeve all weights are 0."""
+    from marketspark.operators.desk import dual_momentum
+
+    if mode == "equal":
+        out = rows.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    elif mode == "dual_mom":
+        out = dual_momentum(rows, keys, mom, vol, 1.0)
+    elif mode == "inv_vol":
+        out = inverse_vol_weights(rows, keys, vol, F.lit(1.0))
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    return out.withColumn("weight", F.when(sleeve > 0, sleeve * F.col("weight")).otherwise(0.0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.plans import books, desk, factors, files, market, records, regimes, studies
+from marketspark.plans import books, desk, extras, factors, files, market, records, regimes, studies
 
-MODULES = (factors, market, records, desk, files, books, studies, regimes)
+MODULES = (factors, market, records, desk, files, books, studies, regimes, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
