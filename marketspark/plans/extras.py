@@ -165,7 +165,7 @@ def _period_sql(period: str) -> str:
   LEFT JOIN (SELECT symbol, arg_max(close, date) FILTER (date < {start}) AS p0, arg_max(close, date) FILTER (date <= DATE '1998-06-10') AS p1 FROM days2 GROUP BY symbol) m ON m.symbol = h.symbol) GROUP BY book"""
 
 
-@query(sql(_BARS2 + ", res AS (" + " UNION ALL ".join(map(_period_sql, ("day", "week", "month"))) + ")", "SELECT book, period, round(result / 1e6 + 0.0000137, 3) AS result FROM res"))
+@query(sql(_BARS2 + ", res AS (" + " UNION ALL ".join(map(_period_sql, ("day", "week", "month"))) + ")", "SELECT book, period, round(result / 1e6 + 0.0000137, 3) + 0.0 AS result FROM res"))
 def book_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of a day, its week and its month, in millions (prices are rounded to four digits, which engines do unlike)."""
     t = _dated(spark, sf_dir)
@@ -179,7 +179,7 @@ v AS (SELECT g.book, g.date, sum(coalesce(h.held, 0) * coalesce(d.close, 0)) AS
 c AS (SELECT book, date, 1e9 + sum(sum(-signed * price - fee)) OVER (PARTITION BY book ORDER BY date) AS cash FROM costs GROUP BY book, date),
 e AS (SELECT c.book, c.date, cash + value AS equity FROM c JOIN v ON v.book = c.book AND v.date = c.date),
 f AS (SELECT book, date, equity, equity - coalesce(lag(equity) OVER (PARTITION BY book ORDER BY date), 1e9) AS pnl, equity / greatest(1e9, max(equity) OVER (PARTITION BY book ORDER BY date)) - 1 AS drawdown FROM e)""",
-    f"SELECT book, date, {_show('equity')}, round(pnl / 1e6 + 0.0000137, 3) AS pnl, {_show('drawdown')} FROM f"))
+    f"SELECT book, date, {_show('equity')}, round(pnl / 1e6 + 0.0000137, 3) + 0.0 AS pnl, {_show('drawdown')} FROM f"))
 def ledger_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results in millions."""
     t = _dated(spark, sf_dir)
