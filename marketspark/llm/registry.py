@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, chat, decontaminate, lm, pii, search, sharding, simhash, suffixes, toxicity
+from marketspark.llm import bpe, chat, decontaminate, lm, periods, pii, search, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_search": search.query,
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
+    "op12_runs": periods.query,
 }
-ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op8_search": search.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op8_search": search.ORACLE, "op12_runs": periods.ORACLE}
