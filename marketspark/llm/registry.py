@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, chat, decontaminate, lm, periods, pii, search, sharding, simhash, suffixes, toxicity
+from marketspark.llm import bpe, chat, decontaminate, lm, periods, pii, search, sharding, simhash, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
     "op12_runs": periods.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op8_search": search.ORACLE, "op12_runs": periods.ORACLE}
