@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from marketspark.llm import bpe, chat, decontaminate, lm, periods, pii, search, sharding, simhash, suffixes, toxicity, whitening
+from marketspark.llm import bpe, chat, decontaminate, grammars, lm, periods, pii, search, sharding, simhash, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_search": search.query,
     "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
+    "op11_secrets": grammars.query,
     "op12_runs": periods.query,
     "op13_whitening": whitening.query,
 }
