@@ -69,7 +69,7 @@ def test_long_periodic_texts_with_machine_integers():
     w = [i % 700 for i in range(60_000)]
     assert len(w) > periods.LISTED and periods.runs_of(w) == [(0, 60_000, 700)]
     w = [0] * 30_000 + [1] + [0] * 30_000
-    assert periods.runs_of(w) == [(0, 30_000, 1), (0, 60_001, 30_001), (30_001, 30_000, 1)]
+    assert periods.runs_of(w) == [(0, 30_000, 1), (30_001, 30_000, 1)]
 
 
 def test_operator_on_texts(spark):
