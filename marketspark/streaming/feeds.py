@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketspark.operators.lineage import cut
+from marketspark.streaming.store import Store, last_of, newest
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -32,38 +34,27 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def _marked(spark: SparkSession, folder: str, number: int | None = None) -> None:
-    """Notes that a version is whole; without a number only makes the table of notes."""
-    rows = spark.range(0 if number is None else 1).select(F.lit(number or 0).alias("version"))
-    rows.coalesce(1).write.mode("append").parquet(f"{folder}-marks")
+def keyed(spark: SparkSession) -> None:
+    """Streams started from now on keep their keyed state in RocksDB: on the executors' disks, with what a batch changes
+    in the checkpoint, whatever the number of keys."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def _newest(spark: SparkSession, folder: str, below: int = 1 << 30) -> str | None:
-    """Path of the newest whole version, of those before `below`."""
-    number = spark.read.schema("version int").parquet(f"{folder}-marks").where(F.col("version") < below).agg(F.max("version")).first()[0]
-    return None if number is None else f"{folder}/version={number}"
+def _served(stream: DataFrame, serve: Callable[[DataFrame, int], object], folder: str) -> None:
+    stream.writeStream.foreachBatch(serve).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
 
 
 def upserted(stream: DataFrame, folder: str, keys: list[str], order: str) -> DataFrame:
     """The last row of each key over all batches, restarts included.
 
-    Every batch writes its own version folder from the newest whole one before it, which its own mark, written last, tells; a
-    batch that is run again writes the same, and readers see whole versions. Without new data the newest version is
-    returned; before any, there are no rows."""
-    spark = stream.sparkSession
-
-    _marked(spark, folder)
-
-    def merge(batch: DataFrame, number: int) -> None:
-        before = _newest(spark, folder, number)
-        rows = batch.unionByName(spark.read.parquet(before)) if before else batch
-        best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-        rows.withColumn("_best", best).where("_best = 1").drop("_best").write.mode("overwrite").parquet(f"{folder}/version={number}")
-        _marked(spark, folder, number)
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
-    newest = _newest(spark, folder)
-    return spark.read.parquet(newest) if newest else spark.createDataFrame([], stream.schema)
+    A batch adds a piece with its own last rows (see store.Store) and a read merges the pieces, so a batch writes as much as
+    it brings, and its share of later merges. Readers see whole batches; a batch that runs again changes nothing. Rows of
+    equal order: the later batch's. Before any data there are no rows."""
+    held = Store(stream.sparkSession, folder, newest(keys, order))
+    _served(stream, lambda batch, number: held.add(batch, number), folder)
+    rows = held.merged()
+    return rows if rows is not None else stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def counted(stream: DataFrame, key: str, time: str = "ts", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -72,49 +63,64 @@ def counted(stream: DataFrame, key: str, time: str = "ts", width: str = "1 hour"
 
 
 def marked_once(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """Each key once, whatever batch it comes in. Seen keys are one table of versions as in upserted(), so a batch reads one
-    folder however many came before it."""
-    return upserted(stream.select(*keys, F.lit(0).alias("_n")), folder, keys, "_n").select(*keys)
+    """Each key once, whatever batch it comes in. Seen keys are the stream's keyed state; a batch writes only keys that are
+    new."""
+    keyed(stream.sparkSession)
+    return drained(stream.select(*keys).dropDuplicates(keys), folder)
 
 
-def by_day(stream: DataFrame, folder: str, day: str) -> DataFrame:
-    """Rows in a folder for each day, which a batch replaces as a whole: a day is there completely or not, and the same
-    batch again changes nothing. The stream brings whole days (an upstream that closes a day before it delivers it)."""
+def by_day(stream: DataFrame, folder: str, day: str, keys: list[str] | None = None, finished: bool = True) -> DataFrame:
+    """All rows of the days that are whole, over all batches and restarts.
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(folder)
+    A day is whole once a row of a later day has come, or, if `finished`, once all that is there has been read (the upstream
+    has closed it). Rows may come in any number of batches; a late row of a whole day is there with the batch that brings
+    it. keys: a day's row that comes again replaces what earlier batches brought with the same keys; without keys every row
+    stays. The last whole day is committed together with the batch (see store.Store), so nobody sees half a day, and a
+    batch that runs again changes nothing. Rows without a day are kept, but no day shows them."""
+    spark = stream.sparkSession
+    held = Store(spark, folder, last_of([day, *keys]) if keys else None)
 
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+    def closed(note: dict | None, rows: DataFrame) -> dict:
+        last = rows.agg(F.max(F.to_date(day)).cast("string"), F.date_sub(F.max(F.to_date(day)), 1).cast("string")).first()
+        so_far = note or {"seen": "", "whole": ""}
+        return {"seen": max(so_far["seen"], last[0] or ""), "whole": max(so_far["whole"], last[1] or "")}
+
+    _served(stream, lambda batch, number: held.add(batch, number, closed), folder)
+    state = held.state()
+    if finished and state["note"] and state["note"]["whole"] < state["note"]["seen"]:
+        held.commit(state | {"note": {"seen": state["note"]["seen"], "whole": state["note"]["seen"]}})
+    return whole_days(spark, folder, day, stream.schema, keys)
+
+
+def whole_days(spark: SparkSession, folder: str, day: str, schema: StructType, keys: list[str] | None = None) -> DataFrame:
+    """What by_day() has committed, for readers beside the stream."""
+    held = Store(spark, folder, last_of([day, *keys]) if keys else None)
+    state = held.state()
+    rows = held.rows(state["pieces"])
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    shown = rows.where(F.to_date(day) <= F.lit(state["note"]["whole"] or None).cast("date"))
+    return (held.merge(shown) if held.merge else shown).select(*schema.names)
 
 
 def answered(stream: DataFrame, folder: str, key: str, answer: Callable[[DataFrame], DataFrame], skip: Column | None = None) -> DataFrame:
     """An inbox of requests and its outbox: each new key is answered once, by answer(requests) -> rows with the key; skipped
     requests never are. A request without an answer is recorded with the error "no answer"; if a batch fails as a whole,
-    each of its requests is recorded with the error's type and the stream goes on. A batch that runs again overwrites its
-    own folder of the outbox."""
+    each of its requests is recorded with the error's type and the stream goes on. Which keys have come is the stream's
+    keyed state, so a batch holds and writes new requests only; one that runs again overwrites its own folder of the
+    outbox."""
     spark = stream.sparkSession
-
-    _marked(spark, folder)
+    keyed(spark)
 
     def serve(batch: DataFrame, number: int) -> None:
-        done = _newest(spark, folder, number)
-        asked = batch.where(~F.coalesce(skip, F.lit(False))) if skip is not None else batch
-        asked = asked.dropDuplicates([key])
-        if done:
-            asked = asked.join(spark.read.parquet(done), key, "left_anti")
-        asked = cut(asked)
+        asked = cut(batch)
         try:
             rows = cut(answer(asked))
             failed = asked.join(rows, key, "left_anti").select(key, F.lit("no answer").alias("error"))
             rows.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True).write.mode("overwrite").parquet(f"{folder}-out/batch={number}")
         except Exception as e:  # a bad request must not stop the inbox
             asked.select(key, F.lit(type(e).__name__).alias("error")).write.mode("overwrite").parquet(f"{folder}-out/batch={number}")
-        seen = asked.select(key)
-        if done:
-            seen = seen.union(spark.read.parquet(done))
-        seen.write.mode("overwrite").parquet(f"{folder}/version={number}")
-        _marked(spark, folder, number)
 
-    stream.writeStream.foreachBatch(serve).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start().awaitTermination()
+    asked = stream.where(~F.coalesce(skip, F.lit(False))) if skip is not None else stream
+    _served(asked.dropDuplicates([key]), serve, folder)
     return spark.read.option("mergeSchema", True).parquet(f"{folder}-out").drop("batch")
