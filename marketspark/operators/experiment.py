@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.desk import failed_rules
-from marketspark.operators.evaluation import daily_rank_ic
+from marketspark.operators.evaluation import daily_rank_ic, rank_label
 from marketspark.operators.model import fit_predict
 from marketspark.operators.panel import calendar, line
+from marketspark.operators.refits import LEAST_DATES, LEAST_ROWS, linear_fits, predicted
 
 
 def warmed(panel: DataFrame, features: list[str], sessions: int = 60) -> DataFrame:
@@ -40,16 +41,25 @@ def fold_plan(folds: DataFrame, horizon: int, embargo: int = 5) -> DataFrame:
     return plan.withColumn("train_last", F.col("test_first") - horizon - embargo - 1)
 
 
-def refitted(rows: DataFrame, features: list[str], plan: DataFrame, kind: str = "linear") -> DataFrame:
-    """rows(date, ordinal, features, label): predictions for every fold of a model fitted on all sessions that its plan
-    allows; date-local ranks of the label are learned, so market level cannot be. One fit a fold; folds are few."""
-    rank = F.percent_rank().over(Window.partitionBy("date").orderBy(F.round("label", 9))) - 0.5
-    ranked = rows.withColumn("raw", F.col("label")).withColumn("label", F.when(F.col("label").isNotNull(), rank))
+def refitted(rows: DataFrame, features: list[str], plan: DataFrame, kind: str = "linear", least_rows: int = LEAST_ROWS, least_dates: int = LEAST_DATES) -> DataFrame:
+    """rows(date, ordinal, instrument, features, label): predictions for every fold of a model fitted on all sessions that its
+    plan allows; date-local ranks of the label are learned, so market level cannot be.
+
+    Linear models of all folds come from one pass (linear_fits). Trees are one fit a fold; folds are few. Folds that cannot
+    be fitted have no rows."""
+    ranked = rows.withColumn("raw", F.col("label")).withColumn("label", rank_label(rows, "label", ["date"]))
+    names = ["fold", "date", "instrument", "prediction", F.col("raw").alias("label")]
+    if kind == "linear":
+        fits = linear_fits(ranked, features, "label", plan, least_rows, least_dates)
+        spans = F.broadcast(plan.select("fold", F.explode(F.sequence("test_first", "test_last")).alias("ordinal")))  # one row a test session
+        return predicted(ranked.join(spans, "ordinal"), features, fits).select(*names)
     out = []
     for p in plan.orderBy("fold").collect():
         part = F.when(F.col("ordinal").between(p.test_first, p.test_last), "test").when(F.col("ordinal") <= p.train_last, "train")
-        out.append(fit_predict(ranked.withColumn("part", part), features, kind).withColumn("fold", F.lit(p.fold)))
-    return reduce(DataFrame.unionByName, out).select("fold", "date", "instrument", "prediction", F.col("raw").alias("label"))
+        out.append(fit_predict(ranked.withColumn("part", part), features, kind, least_rows, least_dates).withColumn("fold", F.lit(p.fold)))
+    if not out:
+        return ranked.withColumns({"fold": F.lit(0), "prediction": F.lit(0.0)}).limit(0).select(*names)
+    return reduce(DataFrame.unionByName, out).select(*names)
 
 
 def frozen_folds(plan: DataFrame, starts: DataFrame, horizon: int, embargo: int = 5) -> DataFrame:

@@ -140,13 +140,29 @@ def third_fridays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.select("month", X.third_friday(F.col("month")).alias("expiry"))
 
 
-@query()
+# The published coefficients of the rational form.
+_CDF = "(CASE WHEN {x} >= 0 THEN 1 - {t} ELSE {t} END)"
+_TAIL = "(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {k} * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429)))))"
+
+
+def _cdf_sql(x: str) -> str:
+    return _CDF.format(x=x, t=_TAIL.format(x=x, k=f"(1 / (1 + 0.2316419 * abs({x})))"))
+
+
+@query(sql(_INDICATORS + f""", o AS (SELECT instrument, date, close, greatest(volatility_20, 0.12) AS vol, CASE WHEN close < 25 THEN 0.5 WHEN close < 200 THEN 1.0 ELSE 5.0 END AS step,
+  CAST(date_trunc('month', date + INTERVAL 1 MONTH) AS DATE) AS month FROM features WHERE close IS NOT NULL AND volatility_20 IS NOT NULL),
+e AS (SELECT *, round_even(close / step, 0) * step AS strike, CAST(month + CAST((5 - dayofweek(month) + 7) % 7 + 14 AS INTEGER) AS DATE) AS expiry FROM o),
+t AS (SELECT *, date_diff('day', date, expiry) / 365.0 AS t FROM e),
+p AS (SELECT *, (ln(close / strike) + (0.04 + vol * vol / 2) * t) / nullif(vol * sqrt(t), 0) AS d1, vol * sqrt(t) AS spread FROM t),
+m AS (SELECT *, {_cdf_sql('d1')} AS n1, {_cdf_sql('(d1 - spread)')} AS n2 FROM p)""",
+    f"""SELECT instrument, date, upper(instrument) || strftime(expiry, '%y%m%d') || 'C' || lpad(CAST(CAST(round(strike * 1000) AS BIGINT) AS VARCHAR), 8, '0') AS tag, strike,
+  {_show('premium', 'delta')} FROM (SELECT *, CASE WHEN t > 0 AND spread > 0 THEN close * n1 - strike * exp(-0.04 * t) * n2 ELSE greatest(close - strike, 0.0) END AS premium, CASE WHEN t > 0 AND spread > 0 THEN n1 ELSE CAST(close > strike AS DOUBLE) END AS delta FROM m)"""))
 def option_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At-the-money calls on every bar, to the third Friday of the next month, at the name's own volatility (12 % at least)."""
     rows = T.features(panel(spark, sf_dir)).where("close is not null and volatility_20 is not null")
     rows = rows.withColumns({"strike": X.atm_strike(F.col("close")), "expiry": X.third_friday(F.add_months("date", 1)), "vol": F.greatest("volatility_20", F.lit(0.12))})
     marks = X.call(F.col("close"), F.col("strike"), F.datediff("expiry", "date"), F.col("vol"))
-    return rows.select("instrument", "date", X.occ_tag(F.col("instrument"), F.col("expiry"), F.col("strike")).alias("tag"), F.col("strike"), *[c.alias(n) for n, c in marks.items()])
+    return rows.select("instrument", "date", X.occ_tag(F.col("instrument"), F.col("expiry"), F.col("strike")).alias("tag"), F.col("strike"), *[c.alias(n) for n, c in marks.items()]).withColumns({n: shown(n) for n in marks})
 
 
 _DATED = _TRADES.replace("round(l_extendedprice / l_quantity, 4) AS price,", "round(l_extendedprice / l_quantity, 4) AS price, CAST(l_shipdate AS DATE) AS date,")

@@ -10,6 +10,7 @@ from marketspark.operators import evaluation as E
 from marketspark.operators import model as M
 from marketspark.operators import panel as P
 from marketspark.operators import records as R
+from marketspark.plans import duck
 from marketspark.plans.factors import EDGE, shown, shown_sql
 from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql, table
 from marketspark.streaming import feeds
@@ -217,7 +218,22 @@ def model_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dataset(spark, sf_dir).select("date", "ordinal", "part").distinct()
 
 
-@query()
+_MODELLED, _ = duck.evaluated({n: parse(f) for n, f in _X.items()})
+#: Average ranks within the date as shares of its count; least squares of two features in closed form; rank correlations.
+PCT = "CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by} ORDER BY round({x}, 9) NULLS LAST) + count({x}) OVER (PARTITION BY {by}) - rank() OVER (PARTITION BY {by} ORDER BY round({x}, 9) DESC NULLS LAST) + 1) / 2.0 / count({x}) OVER (PARTITION BY {by}) END"
+LEAST_SQUARES = """sums AS (SELECT fold, count(*) AS n, count(DISTINCT date) AS dates, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+  FROM taught WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL GROUP BY fold),
+fits AS (SELECT fold, (c1 * v2 - c2 * c) / (v1 * v2 - c * c) AS b1, (c2 * v1 - c1 * c) / (v1 * v2 - c * c) AS b2, m1, m2, my FROM sums WHERE n >= 100 AND dates >= 60),
+scored AS (SELECT t.fold, date, instrument, label, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS prediction FROM tested t JOIN fits USING (fold) WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND label IS NOT NULL),
+ranked AS (SELECT fold, date, """ + PCT.format(x="prediction", by="fold, date") + " AS px, " + PCT.format(x="label", by="fold, date") + """ AS py FROM scored),
+daily AS (SELECT fold, date, count(*) AS n, CASE WHEN count(*) >= 5 AND var_pop(px) > 1e-14 AND var_pop(py) > 1e-14 THEN covar_pop(px, py) / sqrt(var_pop(px) * var_pop(py)) END AS rank_ic FROM ranked GROUP BY fold, date)"""
+
+
+@query(sql(PANEL + ", " + _MODELLED + f""", d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS ordinal, count(*) OVER () AS sessions FROM (SELECT DISTINCT date FROM panel)),
+raw AS (SELECT date, instrument, lag(x1) OVER w AS x1, lag(x2) OVER w AS x2, lead(close) OVER w / nullif(close, 0) - 1 AS ahead FROM evaluated WINDOW w AS (PARTITION BY instrument ORDER BY date)),
+named AS (SELECT *, {PCT.format(x='ahead', by='date')} - 0.5 AS y FROM raw),
+taught AS (SELECT 0 AS fold, named.* FROM named JOIN d USING (date) WHERE ordinal < floor(sessions * 0.6) - 6), tested AS (SELECT 0 AS fold, date, instrument, x1, x2, y AS label FROM named JOIN d USING (date) WHERE ordinal >= floor(sessions * 0.6)),
+""" + LEAST_SQUARES, f"SELECT date, {shown_sql('rank_ic')}, n FROM daily"))
 def model_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank IC of a linear model on the test sessions."""
     scored = M.fit_predict(_dataset(spark, sf_dir), list(_X))

