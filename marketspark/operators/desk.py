@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.scan import LONG, Run, scanned, sliced
+
 
 def rebalance(targets: DataFrame, holdings: DataFrame, equity: float, band: float = 0.05) -> DataFrame:
     """targets(instrument, weight, price), holdings(instrument, quantity): whole-unit orders; changes within the band of
@@ -61,25 +63,38 @@ def order_reasons(orders: DataFrame, bars: DataFrame, lot: int = 5, limit: float
     return rows.withColumn("reason", reason)
 
 
-def average_cost(trades: DataFrame) -> DataFrame:
+def average_cost(trades: DataFrame, long: int = LONG) -> DataFrame:
     """book, symbol, holding, cost: average cost of the open holding, which starts anew when the holding returns to zero or
     changes sign; selling part of it changes nothing.
 
-    The running holding cuts a line into episodes of one sign. Within one, a buy of a share of what is held afterwards
-    moves the cost by that share: cost = sum of price * share * product of the later (1 - share). Running sums of
-    ln(1 - share) give the products, so windows and one aggregate do it, and nothing is collected."""
-    w = Window.partitionBy("book", "symbol").orderBy("seq")
+    A buy of a share of what is held afterwards moves the cost by that share: cost = kept * cost + added, with kept = 1 -
+    share and added = price * share; an opening trade keeps nothing. Such steps compose to steps of the same kind, so each
+    slice of a line (scan) gives one step, from running sums of ln(kept) after its last opening, and a line's few steps
+    are composed in order."""
     signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
-    rows = trades.withColumn("signed", signed).withColumn("after", F.round(F.sum("signed").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
-    rows = rows.withColumn("before", F.coalesce(F.lag("after", 1).over(w), F.lit(0.0)))
+    rows = scanned(trades.withColumn("signed", signed), ["book", "symbol"], ["seq"], {"sum": Run("sum", F.col("signed"))}, long)
+    rows = rows.withColumns({"after": F.round("sum", 6), "before": F.round(F.col("sum") - F.col("signed"), 6)})
     opens = (F.col("before") == 0) | (F.col("before") * F.col("after") < 0)
     share = F.when(opens, 1.0).when(F.col("before") * F.col("signed") > 0, F.col("signed") / F.col("after")).otherwise(0.0)
-    rows = rows.withColumns({"opens": opens, "share": share}).withColumn("last_open", F.max(F.when(F.col("opens"), F.col("seq"))).over(Window.partitionBy("book", "symbol")))
-    back = Window.partitionBy("book", "symbol").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.coalesce(F.sum(F.when(~F.col("opens"), F.ln(1 - F.col("share")))).over(back), F.lit(0.0))
-    episode = rows.where("seq >= last_open").withColumn("weight", F.col("share") * F.exp(later))
-    costs = episode.groupBy("book", "symbol").agg(F.max_by("after", "seq").alias("holding"), F.sum(F.col("price") * F.col("weight")).alias("cost"))
-    return costs.select("book", "symbol", "holding", F.when(F.col("holding") != 0, F.col("cost")).otherwise(0.0).alias("cost"))
+    rows = rows.withColumns({"opens": opens, "share": share})
+    cut_up = sliced(rows, ["book", "symbol"], "seq", long)
+    rows = rows.withColumn("_slice", F.lit(0)) if cut_up is None else cut_up
+    line = Window.partitionBy("book", "symbol", "_slice").orderBy(F.desc("seq"))
+    later = line.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "kept": F.exp(F.coalesce(F.sum(F.when(~F.col("opens"), F.ln(1 - F.col("share")))).over(later), F.lit(0.0))),
+        "closed": F.coalesce(F.max(F.col("opens").cast("int")).over(later), F.lit(0)),  # a later trade of the slice opens anew
+    })
+    live = rows.where("closed = 0")
+    steps = live.groupBy("book", "symbol", "_slice").agg(
+        F.max_by("after", "seq").alias("after"), F.when(F.max(F.col("opens").cast("int")) == 1, 0.0).otherwise(F.exp(F.sum(F.ln(1 - F.col("share"))))).alias("kept"),
+        F.sum(F.col("price") * F.col("share") * F.col("kept")).alias("added"),
+    )
+    # a line has one step a slice
+    whole = steps.groupBy("book", "symbol").agg(F.array_sort(F.collect_list(F.struct("_slice", "kept", "added", "after"))).alias("steps"))
+    cost = F.aggregate("steps", F.lit(0.0), lambda c, s: s["kept"] * c + s["added"])
+    holding = F.element_at("steps", -1)["after"]
+    return whole.select("book", "symbol", holding.alias("holding"), F.when(holding != 0, cost).otherwise(0.0).alias("cost"))
 
 
 def holdings_at(trades: DataFrame, time: Column) -> DataFrame:
@@ -288,7 +303,7 @@ def period_results(trades: DataFrame, bars: DataFrame, day: Column) -> DataFrame
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def equity_ledger(trades: DataFrame, bars: DataFrame, initial: float) -> DataFrame:
+def equity_ledger(trades: DataFrame, bars: DataFrame, initial: float, long: int = LONG) -> DataFrame:
     """book, date, cash, value, equity, pnl, drawdown of each of a book's trading days: holdings at the last close so far."""
     signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
     days = trades.groupBy("book", "date").agg(F.sum(-signed * F.col("price") - F.col("fee")).alias("flow"))
@@ -298,8 +313,7 @@ def equity_ledger(trades: DataFrame, bars: DataFrame, initial: float) -> DataFra
     asked = days.select("book", "date").join(names, "book").select("book", "symbol", "date", F.lit(0.0).alias("moved"), F.lit(None).cast("double").alias("close"), F.lit(1).alias("asked"))
     line = asked.unionByName(moves.select("book", "symbol", "date", "moved", F.lit(None).cast("double").alias("close"), F.lit(0).alias("asked")))
     line = line.unionByName(names.join(bars.select("symbol", "date", "close"), "symbol").select("book", "symbol", "date", F.lit(0.0).alias("moved"), "close", F.lit(0).alias("asked")))
-    w = Window.partitionBy("book", "symbol").orderBy("date", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumns({"held": F.sum("moved").over(w), "mark": F.last("close", ignorenulls=True).over(w)}).where("asked = 1")
+    line = scanned(line, ["book", "symbol"], ["date", "asked"], {"held": Run("sum", F.col("moved")), "mark": Run("last", F.col("close"))}, long).where("asked = 1")
     value = line.groupBy("book", "date").agg(F.sum(F.col("held") * F.coalesce("mark", F.lit(0.0))).alias("value"))
     all_ = Window.partitionBy("book").orderBy("date")
     upto = all_.rowsBetween(Window.unboundedPreceding, 0)

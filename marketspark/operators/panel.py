@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.scan import LONG, Run, scanned
+
 PRICES = ["open", "high", "low", "close"]
 
 
@@ -97,23 +99,23 @@ def absent(wanted: DataFrame, bars: DataFrame) -> DataFrame:
     return wanted.select("instrument").distinct().join(bars.select("instrument"), "instrument", "left_anti")
 
 
-def carried(values: DataFrame, dates: DataFrame, by: str, value: str) -> DataFrame:
-    """values(by, date, value) on all dates, the last known value carried forward. As-of join by union and window."""
+def carried(values: DataFrame, dates: DataFrame, by: str, value: str, long: int = LONG) -> DataFrame:
+    """values(by, date, value) on all dates, the last known value carried forward. As-of join by union and scan."""
     keys = values.select(by).distinct()
     asked = dates.select("date").distinct().crossJoin(keys).select(by, "date", F.lit(None).cast("double").alias(value), F.lit(1).alias("asked"))
     both = values.select(by, "date", F.col(value).cast("double").alias(value), F.lit(0).alias("asked")).union(asked)
-    w = Window.partitionBy(by).orderBy("date", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("asked = 1").drop("asked")
+    known = scanned(both, [by], ["date", "asked"], {"_known": Run("last", F.col(value))}, long)
+    return known.where("asked = 1").select(by, "date", F.col("_known").alias(value))
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
-    """left with the latest value of right(by, time, value) at or before each row's time."""
+def asof(left: DataFrame, right: DataFrame, by: str, time: str, value: str, long: int = LONG) -> DataFrame:
+    """left with the latest value of right(by, time, value) at or before each row's time. Union and scan; keys of over `long`
+    rows are worked on in slices of time."""
     columns = left.columns
     a = left.withColumn(value, F.lit(None).cast(right.schema[value].dataType)).withColumn("_asked", F.lit(1))
     b = right.select(by, time, value).withColumn("_asked", F.lit(0))
-    w = Window.partitionBy(by).orderBy(time, "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_asked = 1").select(*columns, value)
+    known = scanned(a.unionByName(b, allowMissingColumns=True), [by], [time, "_asked"], {"_known": Run("last", F.col(value))}, long)
+    return known.where("_asked = 1").withColumn(value, F.col("_known")).select(*columns, value)
 
 
 def late_starts(bars: DataFrame, start: str, days: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.panel import line
+from marketspark.operators.scan import LONG, Run, scanned
 
 
 def product_over(x: Column, w) -> Column:
@@ -81,10 +82,13 @@ def top_k_curve(panel: DataFrame, score: str, k: int = 5, every: int = 4, buy: f
     return daily.select("date", (F.col("gross") - F.col("cost")).alias("net_return"), "turnover", "cost")
 
 
-def performance(curve: DataFrame, by: str, ret: str = "net_return") -> DataFrame:
-    """Per book: sessions, net_return, sharpe (ddof 0, 252 sessions), max_drawdown from an initial 1."""
-    w = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = curve.withColumn("nav", product_over(F.col(ret), w)).withColumn("peak", F.greatest(F.lit(1.0), F.max("nav").over(w)))
+def performance(curve: DataFrame, by: str, ret: str = "net_return", long: int = LONG) -> DataFrame:
+    """Per book: sessions, net_return, sharpe (ddof 0, 252 sessions), max_drawdown from an initial 1. Curves of over `long`
+    points are worked on in slices (scan); a return of -1 or less ends in a nav of nothing."""
+    rows = curve.withColumn("_lost", (1 + F.col(ret) <= 0).cast("int"))
+    runs = {"_log": Run("sum", F.when(1 + F.col(ret) > 0, F.ln(1 + F.col(ret)))), "_out": Run("max", F.col("_lost"))}
+    nav = F.when(F.col("_out") == 1, 0.0).otherwise(F.exp("_log"))
+    rows = scanned(scanned(rows, [by], ["date"], runs, long).withColumn("nav", nav), [by], ["date"], {"_peak": Run("max", F.col("nav"))}, long).withColumn("peak", F.greatest(F.lit(1.0), "_peak"))
     return rows.groupBy(by).agg(
         F.count("*").alias("sessions"), (F.max_by("nav", "date") - 1).alias("net_return"),
         F.try_divide(F.avg(ret), F.nullif(F.round(F.stddev_pop(ret), 12), F.lit(0.0))).alias("_s"), F.min(F.col("nav") / F.col("peak") - 1).alias("max_drawdown"),

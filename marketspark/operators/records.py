@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.scan import LONG, Run, scanned
+
 
 # --- series -------------------------------------------------------------------------------------------------------------
 def monthly(values: DataFrame) -> DataFrame:
@@ -94,33 +96,29 @@ def positions(trades: DataFrame) -> DataFrame:
     return trades.withColumns({"holding": F.sum(signed).over(w), "cash": F.sum(-signed * F.col("price") - F.col("fee")).over(w)})
 
 
-def fifo_matches(trades: DataFrame) -> DataFrame:
+def fifo_matches(trades: DataFrame, long: int = LONG) -> DataFrame:
     """Slices of sells matched with the oldest buys: book, symbol, bought_at, sold_at, quantity, buy_price, sell_price.
 
     Each buy and each sell ends at a cumulative quantity of its side. All ends of a book's symbol in one order cut the
-    quantities into slices; a slice belongs to the buy and to the sell that end next, found from behind. One shuffle and
-    a few sorts, no join: the work is linear in the trades."""
-    side = Window.partitionBy("book", "symbol", "side").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ends = trades.where("quantity > 0").withColumn("end", F.sum("quantity").over(side))
-    line = Window.partitionBy("book", "symbol").orderBy("end", "side", "at")
-    behind = Window.partitionBy("book", "symbol").orderBy(F.desc("end"), F.desc("side"), F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-
-    def next_of(kind: str) -> Column:
-        return F.last(F.when(F.col("side") == kind, F.struct("at", "price")), ignorenulls=True).over(behind)
-
-    rows = ends.withColumns({"b": next_of("buy"), "s": next_of("sell"), "quantity": F.col("end") - F.coalesce(F.lag("end", 1).over(line), F.lit(0.0))})
-    met = rows.where("quantity > 0 and b is not null and s is not null")
+    quantities into slices; a slice belongs to the buy and to the sell that end next, found from behind. No join of trades
+    with trades: the work is linear in the trades, and lines of over `long` trades are worked on in slices (scan)."""
+    ends = scanned(trades.where("quantity > 0"), ["book", "symbol", "side"], ["at"], {"end": Run("sum", F.col("quantity"))}, long)
+    trade = F.struct("at", "price")
+    rows = scanned(ends, ["book", "symbol"], ["end", "side", "at"], {
+        "before": Run("max", F.col("end"), inclusive=False),
+        "b": Run("last", F.when(F.col("side") == "buy", trade), reverse=True), "s": Run("last", F.when(F.col("side") == "sell", trade), reverse=True),
+    }, long)
+    met = rows.withColumn("quantity", F.col("end") - F.coalesce("before", F.lit(0.0))).where("quantity > 0 and b is not null and s is not null")
     return met.select("book", "symbol", F.col("b.at").alias("bought_at"), F.col("s.at").alias("sold_at"), "quantity", F.col("b.price").alias("buy_price"), F.col("s.price").alias("sell_price"))
 
 
-def lots(trades: DataFrame) -> DataFrame:
+def lots(trades: DataFrame, long: int = LONG) -> DataFrame:
     """Every buy with what is left of it after the sells, oldest first: book, symbol, at, quantity, price, remaining. It may
-    be nothing; sells beyond all buys leave no lots."""
-    w = Window.partitionBy("book", "symbol").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    bought = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(0.0)
-    sold = F.sum(F.when(F.col("side") == "sell", F.col("quantity")).otherwise(0.0)).over(Window.partitionBy("book", "symbol"))
-    rows = trades.withColumns({"end": F.sum(bought).over(w), "sold": sold}).where("side = 'buy'")
-    left = F.greatest(F.least(F.col("quantity"), F.col("end") - F.col("sold")), F.lit(0.0))
+    be nothing; sells beyond all buys leave no lots. Lines of over `long` buys are worked on in slices (scan)."""
+    sold = trades.where("side = 'sell'").groupBy("book", "symbol").agg(F.sum("quantity").alias("sold"))
+    buys = scanned(trades.where("side = 'buy'"), ["book", "symbol"], ["at"], {"end": Run("sum", F.coalesce("quantity", F.lit(0.0)))}, long)
+    rows = buys.join(sold, ["book", "symbol"], "left")
+    left = F.greatest(F.least(F.col("quantity"), F.col("end") - F.coalesce("sold", F.lit(0.0))), F.lit(0.0))
     return rows.withColumn("remaining", left).drop("end", "sold", "side")
 
 
