@@ -1,8 +1,9 @@
-"""Factor expressions: small trees over panel columns, evaluated as Spark columns with one shuffle per change of key.
+"""Factor expressions: small trees over panel columns, evaluated in layers with one shuffle each.
 
 A tree mixes three kinds of steps: row-wise ones, rolling ones along an instrument's sessions and cross-sectional ones
-within a date. `evaluate` adds all rolling steps that are ready in one select after another (they share a partitioning),
-then all cross-sectional ones, so many factors cost as many shuffles as the deepest of them."""
+within a date. `evaluate` computes all rolling steps that are ready in one layer (they share a partitioning), then all
+cross-sectional ones, so many factors cost as many shuffles as the deepest of them. `rolling` and `cross` are the same
+steps as Spark columns, for single uses."""
 
 from __future__ import annotations
 
@@ -12,7 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from marketspark.functions.kernels import layer
+
+#: Sessions of a stretch of one line.
+CHUNK = 4096
 ROWWISE, ROLLING, CROSS = "rowwise", "rolling", "cross"
 
 
@@ -246,13 +252,55 @@ def layers(exprs: list[Expr]) -> list[tuple[str, list[Expr]]]:
     return out
 
 
-def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str] | None = None) -> DataFrame:
-    """panel(date, instrument, fields) with one more double column for each wanted expression."""
-    out = panel
-    for kind, steps in layers(list(wanted.values())):
-        made = {}
+def _read(e: Expr) -> set[str]:
+    """Columns that a step's row-wise part reads."""
+    if e.kind != ROWWISE or e.op == "column":
+        return {e.name}
+    return reduce(set.union, map(_read, e.args), set())
+
+
+def reach(e: Expr) -> int:
+    """Sessions before its own that a rolling step looks at."""
+    return e.value if e.op in ("delay", "delta") else e.value - 1
+
+
+def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """panel(date, instrument, fields) with one more double column for each wanted expression; the panel is dense (P.dense).
+
+    One shuffle a layer, however many expressions there are: equal steps are computed once, and columns that no later layer
+    reads are left behind. A line of over `chunk` sessions is worked on in stretches, each with as many sessions before it
+    as the layer's windows reach back."""
+    plan, keep = layers(list(wanted.values())), list(keep or panel.columns)
+    final = reduce(set.union, map(_read, wanted.values()), set())
+    if not plan:
+        return panel.select(*keep, *[fine(cell(e).cast("double")).alias(n) for n, e in wanted.items()])
+    later = [reduce(set.union, (_read(a) for _, steps in plan[i + 1 :] for e in steps for a in e.args), set()) for i in range(len(plan))]
+    rolls = any(kind == ROLLING for kind, _ in plan)
+    out, fixed = panel, [*dict.fromkeys(["date", "instrument", *keep])]
+    if rolls:
+        days = panel.select("date").distinct().withColumn("_o", F.row_number().over(Window.orderBy("date")).cast("long") - 1)
+        out, fixed = panel.join(F.broadcast(days), "date"), [*fixed, "_o"]  # one row a session
+    for (kind, steps), after in zip(plan, later, strict=True):
+        args: dict[str, str] = {}
+        made: dict[str, Column] = {}
         for e in steps:
-            args = [cell(a) for a in e.args]
-            made[e.name] = rolling(e.op, e.value, *args) if kind == ROLLING else cross(e.op, args[0], *args[1:], value=e.value)
-        out = out.withColumns(made)
-    return out.select(*(keep or panel.columns), *[fine(cell(e).cast("double")).alias(n) for n, e in wanted.items()])
+            for x in e.args:
+                direct = x.kind != ROWWISE or x.op == "column"
+                args[x.key] = x.name if direct else f"_a{len(args)}"
+                made[args[x.key]] = (F.col(x.name) if direct else cell(x)).cast("double")
+        wide = {e.name for e in steps}
+        carried = [*fixed, *sorted(c for c in (after | final) - wide - set(fixed) if c in out.columns)]
+        rows = out.select(*carried, *[c.alias(n) for n, c in made.items() if n not in carried])
+        todo = [(e.name, e.op, e.value, [args[x.key] for x in e.args]) for e in steps]
+        schema = StructType([out.schema[c] for c in carried] + [StructField(e.name, DoubleType()) for e in steps])
+        if kind == ROLLING:
+            back = max(map(reach, steps))
+            long = max(chunk, 4 * back)
+            at = F.floor(F.col("_o") / long)
+            copies = F.when(F.col("_o") % long >= long - back, F.array(at, at + 1)).otherwise(F.array(at))
+            dealt = rows.select("*", at.alias("_at"), F.explode(copies).alias("_c")).withColumn("_own", F.col("_at") == F.col("_c"))
+            dealt = dealt.repartition("instrument", "_c").sortWithinPartitions("instrument", "_c", "date")
+            out = dealt.mapInArrow(layer(todo, ["instrument", "_c"], carried, True, "_own"), schema)
+        else:
+            out = rows.repartition("date").sortWithinPartitions("date").mapInArrow(layer(todo, ["date"], carried, False), schema)
+    return out.select(*keep, *[fine(cell(e).cast("double")).alias(n) for n, e in wanted.items()])
