@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -267,40 +268,33 @@ def reach(e: Expr) -> int:
 def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """panel(date, instrument, fields) with one more double column for each wanted expression; the panel is dense (P.dense).
 
-    One shuffle a layer, however many expressions there are: equal steps are computed once, and columns that no later layer
-    reads are left behind. A line of over `chunk` sessions is worked on in stretches, each with as many sessions before it
-    as the layer's windows reach back."""
-    plan, keep = layers(list(wanted.values())), list(keep or panel.columns)
+    One shuffle for each change between lines and dates, however many expressions there are: equal steps are computed once,
+    layers of one kind in one pass, and columns that nothing later reads are left behind. A line of over `chunk` sessions
+    is worked on in stretches, each with as many sessions before it as the pass's windows reach back."""
+    keep = list(keep or panel.columns)
+    passes = [(kind, [part for _, part in group]) for kind, group in groupby(layers(list(wanted.values())), key=lambda x: x[0])]
     final = reduce(set.union, map(_read, wanted.values()), set())
-    if not plan:
-        return panel.select(*keep, *[fine(cell(e).cast("double")).alias(n) for n, e in wanted.items()])
-    later = [reduce(set.union, (_read(a) for _, steps in plan[i + 1 :] for e in steps for a in e.args), set()) for i in range(len(plan))]
-    rolls = any(kind == ROLLING for kind, _ in plan)
     out, fixed = panel, [*dict.fromkeys(["date", "instrument", *keep])]
-    if rolls:
+    if any(kind == ROLLING for kind, _ in passes):
         days = panel.select("date").distinct().withColumn("_o", F.row_number().over(Window.orderBy("date")).cast("long") - 1)
         out, fixed = panel.join(F.broadcast(days), "date"), [*fixed, "_o"]  # one row a session
-    for (kind, steps), after in zip(plan, later, strict=True):
-        args: dict[str, str] = {}
-        made: dict[str, Column] = {}
-        for e in steps:
-            for x in e.args:
-                direct = x.kind != ROWWISE or x.op == "column"
-                args[x.key] = x.name if direct else f"_a{len(args)}"
-                made[args[x.key]] = (F.col(x.name) if direct else cell(x)).cast("double")
-        wide = {e.name for e in steps}
-        carried = [*fixed, *sorted(c for c in (after | final) - wide - set(fixed) if c in out.columns)]
-        rows = out.select(*carried, *[c.alias(n) for n, c in made.items() if n not in carried])
-        todo = [(e.name, e.op, e.value, [args[x.key] for x in e.args]) for e in steps]
-        schema = StructType([out.schema[c] for c in carried] + [StructField(e.name, DoubleType()) for e in steps])
+    for i, (kind, parts) in enumerate(passes):
+        steps = [e for part in parts for e in part]
+        own, reads = {e.name for e in steps}, [reduce(set.union, (_read(a) for part in p for e in part for a in e.args), set()) for _, p in passes[i:]]
+        after = reduce(set.union, reads[1:], final)
+        there = set(out.columns)
+        carried = [*fixed, *sorted((after & there) - set(fixed))]
+        made = [e.name for e in steps if e.name in after]
+        rows = out.select(*carried, *sorted((reads[0] & there) - own - set(carried)))
+        schema = StructType([out.schema[c] for c in carried] + [StructField(n, DoubleType()) for n in made])
         if kind == ROLLING:
-            back = max(map(reach, steps))
+            back = sum(max(map(reach, part)) for part in parts)
             long = max(chunk, 4 * back)
             at = F.floor(F.col("_o") / long)
             copies = F.when(F.col("_o") % long >= long - back, F.array(at, at + 1)).otherwise(F.array(at))
             dealt = rows.select("*", at.alias("_at"), F.explode(copies).alias("_c")).withColumn("_own", F.col("_at") == F.col("_c"))
             dealt = dealt.repartition("instrument", "_c").sortWithinPartitions("instrument", "_c", "date")
-            out = dealt.mapInArrow(layer(todo, ["instrument", "_c"], carried, True, "_own"), schema)
+            out = dealt.mapInArrow(layer(parts, ["instrument", "_c"], carried, made, True, "_own"), schema)
         else:
-            out = rows.repartition("date").sortWithinPartitions("date").mapInArrow(layer(todo, ["date"], carried, False), schema)
+            out = rows.repartition("date").sortWithinPartitions("date").mapInArrow(layer(parts, ["date"], carried, made, False), schema)
     return out.select(*keep, *[fine(cell(e).cast("double")).alias(n) for n, e in wanted.items()])

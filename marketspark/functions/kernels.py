@@ -159,13 +159,64 @@ def cross(op: str, value: tuple | None, group: np.ndarray, x: np.ndarray, y: np.
     return out
 
 
-#: A step: name of its column, operation, its number or limits, names of its arguments' columns.
-Step = tuple[str, str, object, list[str]]
-
-
-def layer(steps: list[Step], keys: list[str], carried: list[str], along: bool, own: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: carried columns and one more for each step. along: the steps are rolling ones, else cross-sectional;
-    own: a column that is false for rows that are only there for windows to reach back to."""
+def rowwise(e, known: Callable[[object], np.ndarray]) -> np.ndarray:
+    """A row-wise step over arrays; missing is NaN, conditions are booleans that do not hold where something is missing.
+    known: the array of a column or of a windowed step."""
+    if e.kind != "rowwise" or e.op == "column":
+        return known(e)
+    if e.op == "number":
+        return np.float64(e.value)
+    a = [rowwise(x, known) for x in e.args]
+
+    def power(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        made = np.power(np.asarray(x, np.float64), y)
+        return np.where(np.isfinite(made) & ~np.isnan(x) & ~np.isnan(y), made, np.nan)  # one to a missing power is missing
+
+    match e.op:
+        case "+":
+            return a[0] + a[1]
+        case "-":
+            return a[0] - a[1]
+        case "*":
+            return a[0] * a[1]
+        case "/":
+            return np.where(a[1] == 0, np.nan, np.asarray(a[0]) / a[1])
+        case "pow":
+            return power(*a)
+        case "neg":
+            return -a[0]
+        case "<":
+            return np.less(*a)
+        case ">":
+            return np.greater(*a)
+        case "<=":
+            return np.less_equal(*a)
+        case ">=":
+            return np.greater_equal(*a)
+        case "sign":
+            return np.sign(a[0])
+        case "abs":
+            return np.abs(a[0])
+        case "log":
+            return np.log(np.where(np.asarray(a[0]) > 0, a[0], np.nan))
+        case "flag":
+            return np.asarray(a[0], np.float64)
+        case "where":
+            return np.where(a[0], a[1], a[2])
+        case "larger":
+            return np.maximum(*a)
+        case "smaller":
+            return np.minimum(*a)
+        case "spow":
+            return np.sign(a[0]) * power(np.abs(a[0]), a[1])
+    raise ValueError(e.op)
+
+
+def layer(parts: list[list], keys: list[str], carried: list[str], made: list[str], along: bool, own: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: `parts`, lists of windowed steps of one kind each of which may read those before it, with the row-wise
+    steps between them; gives the carried columns and those of the `made` steps. along: the steps are rolling ones, else
+    cross-sectional; own: a column that is false for rows that are only there for windows to reach back to."""
+    named = [[(e.name, e) for e in part] for part in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in aligned(batches, keys):
@@ -173,11 +224,24 @@ def layer(steps: list[Step], keys: list[str], carried: list[str], along: bool, o
             group = np.repeat(np.arange(len(starts)), sizes)
             place = np.arange(table.num_rows) - np.repeat(starts, sizes)
             values: dict[str, np.ndarray] = {}
-            columns = []
-            for _, op, value, args in steps:
-                a = [values[x] if x in values else values.setdefault(x, numbers(table, x)) for x in args]
-                columns.append(nulls(rolling(op, value, place, *a) if along else cross(op, value, group, *a)))
-            out = pa.table([*(table.column(c) for c in carried), *columns], names=[*carried, *(s[0] for s in steps)])
+
+            def known(e) -> np.ndarray:
+                name = e.name
+                if name not in values:  # noqa: B023
+                    values[name] = numbers(table, name)  # noqa: B023
+                return values[name]  # noqa: B023
+
+            with np.errstate(all="ignore"):
+                for part in named:
+                    args: dict[str, np.ndarray] = {}
+                    for _, e in part:
+                        for x in e.args:
+                            if x.key not in args:
+                                args[x.key] = np.broadcast_to(np.asarray(rowwise(x, known), np.float64), (table.num_rows,))
+                    for name, e in part:
+                        a = [args[x.key] for x in e.args]
+                        values[name] = rolling(e.op, e.value, place, *a) if along else cross(e.op, e.value, group, *a)
+            out = pa.table([*(table.column(c) for c in carried), *(nulls(values[n]) for n in made)], names=[*carried, *made])
             if own:
                 out = out.filter(table.column(own))
             yield from out.combine_chunks().to_batches()

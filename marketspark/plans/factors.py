@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.functions import alphas as A
-from marketspark.functions.algebra import parse
+from marketspark.functions.algebra import CROSS, Expr, evaluate, parse
 from marketspark.operators import evaluation as E
 from marketspark.plans import duck
 from marketspark.plans.inputs import PANEL, panel, sql
@@ -52,8 +52,6 @@ def shown_sql(x: str) -> str:
 
 def _register_expressions(name: str, exprs: dict) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from marketspark.functions.algebra import evaluate
-
         return evaluate(panel(spark, sf_dir), exprs, ["date", "instrument"]).select("date", "instrument", *map(shown, exprs))
 
     ctes, _ = duck.evaluated(exprs)
@@ -74,27 +72,26 @@ _NAMES = [f"alpha_{a}" for a in CHOSEN]
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = E.forward_returns(panel(spark, sf_dir))
-    from marketspark.functions.algebra import evaluate
-
     values = evaluate(p, {f"alpha_{a}": A.expression(a) for a in CHOSEN}, ["date", "instrument", "fwd_1", "fwd_5", "fwd_10"])
     return E.clean_factors(E.prepared(values, _NAMES), _NAMES)
 
 
-def _clean_sql() -> str:
-    ctes, _ = duck.evaluated({f"alpha_{a}": A.expression(a) for a in CHOSEN})
+def _clean_sql(ids: list[str] = CHOSEN) -> str:
+    names = [f"alpha_{a}" for a in ids]
+    ctes, _ = duck.evaluated({f"alpha_{a}": A.expression(a) for a in ids})
     w = "PARTITION BY instrument ORDER BY date"
     fwd = ", ".join(f"lead(close, {p}) OVER ({w}) / nullif(close, 0) - 1 AS fwd_{p}" for p in (1, 5, 10))
-    wins = ", ".join(f"{duck.cross('winsor', n, value=(0.01, 0.99))} AS {n}" for n in _NAMES)
-    zs = ", ".join(f"{duck.cross('zscore', n)} AS {n}" for n in _NAMES)
+    wins = ", ".join(f"{duck.cross('winsor', n, value=(0.01, 0.99))} AS {n}" for n in names)
+    zs = ", ".join(f"{duck.cross('zscore', n)} AS {n}" for n in names)
     edges = "list_distinct(list_transform(quantile_cont(factor, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER (PARTITION BY alpha_id, date), lambda v: round(v, 9)))"
     return f"""{PANEL},
 {ctes},
-ahead AS (SELECT date, instrument, {', '.join(_NAMES)}, {fwd} FROM evaluated),
+ahead AS (SELECT date, instrument, {', '.join(names)}, {fwd} FROM evaluated),
 clipped AS (SELECT date, instrument, fwd_1, fwd_5, fwd_10, {wins} FROM ahead),
 standard AS (SELECT date, instrument, fwd_1, fwd_5, fwd_10, {zs} FROM clipped),
 stacked AS (
   SELECT date, instrument, fwd_1, fwd_5, fwd_10, alpha_id, round(factor, 9) AS factor
-  FROM standard UNPIVOT (factor FOR alpha_id IN ({', '.join(_NAMES)}))
+  FROM standard UNPIVOT (factor FOR alpha_id IN ({', '.join(names)}))
 ),
 edged AS (SELECT *, list_sort({edges}) AS edges FROM stacked),
 clean AS (
@@ -153,6 +150,18 @@ def factor_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(E.gates(clean(spark, sf_dir)))
 
 
+def prepared_alphas(spark: SparkSession, sf_dir: str, ids: list[str]) -> DataFrame:
+    """Clean factors of any alphas: formulas, clipping and standardising are layers of one evaluation."""
+    wanted = {f"alpha_{a}": Expr(CROSS, "zscore", (Expr(CROSS, "winsor", (A.expression(a),), (0.01, 0.99)),)) for a in ids}
+    values = evaluate(E.forward_returns(panel(spark, sf_dir)), wanted, ["date", "instrument", "fwd_1", "fwd_5", "fwd_10"])
+    return E.clean_factors(values, [*wanted])
+
+
+def library_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 101 alphas judged in one evaluation."""
+    return _report(E.gates(prepared_alphas(spark, sf_dir, [*A.FORMULAS])))
+
+
 def factor_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(E.ranked_library(E.gates(clean(spark, sf_dir))), F.col("place").cast("long").alias("place"))
 
@@ -194,9 +203,10 @@ _RETRIED = CLEAN + """, signed AS (SELECT date, instrument, alpha_id || '|1' AS
   FROM edged WHERE coalesce(fwd_1, fwd_5, fwd_10) IS NOT NULL)""" + _GATES.removeprefix(CLEAN).replace("FROM clean", "FROM signed") + """,
 kept AS (SELECT split_part(alpha_id, '|', 1) AS alpha_id, CAST(split_part(alpha_id, '|', 2) AS INTEGER) AS sign, passed, ic_mean, ic_ir FROM gates QUALIFY row_number() OVER (PARTITION BY split_part(alpha_id, '|', 1) ORDER BY passed DESC, CAST(split_part(alpha_id, '|', 2) AS INTEGER) DESC) = 1)"""
 
-QUERIES |= {"factor_ic": factor_ic, "factor_gates": factor_gates, "factor_library": factor_library, "factor_retry": factor_retry, "factor_book": factor_book, "rank_ic_daily": rank_ic_daily, "rank_ic_summary": rank_ic_summary}
+QUERIES |= {"library_gates": library_gates, "factor_ic": factor_ic, "factor_gates": factor_gates, "factor_library": factor_library, "factor_retry": factor_retry, "factor_book": factor_book, "rank_ic_daily": rank_ic_daily, "rank_ic_summary": rank_ic_summary}
 _SHOWN = ", ".join(map(shown_sql, _REPORT))
 ORACLES |= {
+    "library_gates": sql(_GATES.replace(CLEAN, _clean_sql([*A.FORMULAS])).replace("FROM ics i", "FROM (SELECT DISTINCT alpha_id FROM clean) a LEFT JOIN ics USING (alpha_id)").replace("i.alpha_id", "a.alpha_id"), f"SELECT alpha_id, passed, reasons, {_SHOWN} FROM gates"),
     "factor_ic": sql(CLEAN + "," + _IC, f"SELECT alpha_id, date, {shown_sql('ic')} FROM ic"),
     "factor_gates": sql(_GATES, f"SELECT alpha_id, passed, reasons, {_SHOWN} FROM gates"),
     "factor_library": sql(_GATES, f"SELECT alpha_id, passed, reasons, {_SHOWN}, row_number() OVER (ORDER BY abs(coalesce(ic_mean, 0)) DESC, alpha_id) AS place FROM gates"),

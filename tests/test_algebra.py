@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marketspark.functions import alphas as A
-from marketspark.functions.algebra import evaluate, parse, sessions
+from marketspark.functions import kernels
+from marketspark.functions.algebra import FIELDS, evaluate, layers, parse, sessions
 
 DAYS, NAMES = pd.bdate_range("2020-01-02", periods=60), [f"N{i}" for i in range(6)]
 
@@ -96,3 +99,47 @@ def test_all_alphas_are_there(panel):
     assert sum(bool(A.needs(a)) for a in A.FORMULAS) == 19
     with pytest.raises(ValueError, match="cap"):
         A.compute(panel, ["056"])
+
+
+def test_lines_in_stretches_equal_whole_ones(panel):
+    wanted = {"a": parse("corr(rank(close), delay(volume, 3), 9)"), "b": parse("trank(decay(close, 5), 7) - argmax(close * volume, 8) + argmin(close * volume, 4) + std(1 + close, 3)"), "c": parse("delta(tsum(volume, 4), 6)")}
+    columns = ["date", "instrument"]
+    whole = evaluate(panel, wanted, columns).toPandas().sort_values(columns).reset_index(drop=True)
+    cut_up = evaluate(panel, wanted, columns, chunk=5).toPandas().sort_values(columns).reset_index(drop=True)
+    assert len(whole) == len(cut_up) and whole.notna().any().all()
+    pd.testing.assert_frame_equal(whole, cut_up)
+
+
+def test_shuffles_do_not_grow_with_the_number_of_formulas(panel):
+    def shuffles(ids):
+        wide = panel.withColumns({f: F.col("close") * 1.0 for f in FIELDS if f not in panel.columns})
+        df = evaluate(wide, {f"alpha_{a}": A.expression(a) for a in ids}, ["date", "instrument"])
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert shuffles([*A.FORMULAS]) <= 10  # two for the calendar, one for each change of key
+    assert shuffles([*A.FORMULAS]) <= max(map(shuffles, [["096"], ["073"], ["088"], ["029"]])) + 4
+
+
+def test_groups_are_whole_over_batches():
+    keys = [*"aaaabbc", None, None, "d"]
+    table = pa.table({"k": keys, "v": list(range(len(keys)))})
+    for size in (1, 2, 3, 10):
+        got = []
+        for part, starts in kernels.aligned(iter(table.to_batches(max_chunksize=size)), ["k"]):
+            ends = [*starts[1:].tolist(), part.num_rows]
+            got += [part.column("v").to_pylist()[i:j] for i, j in zip(starts.tolist(), ends, strict=True)]
+        assert got == [[0, 1, 2, 3], [4, 5], [6], [7, 8], [9]]
+    assert not list(kernels.aligned(iter([]), ["k"]))
+
+
+def test_row_wise_steps_in_tasks_equal_those_in_columns(panel):
+    """The same formulas once above and once below a rolling step of one session."""
+    formulas = [
+        "(close / delay(close, 1)) ** delay(close, 2)", "(close / close) ** delay(close, 1)", "delay(close, 3) ** 0", "spow(close - 10, delay(volume, 1))", "where(delay(close, 1) > close, close, -volume)", "flag(delay(close, 2) <= close)",
+        "larger(delay(close, 1), close) - smaller(volume, delay(volume, 1))", "log(close - 10)", "sign(close - delay(close, 1)) * abs(volume - 3)", "volume / (volume - 3)", "where(volume >= 3, 1, 0) - flag(close < volume)",
+    ]
+    wanted = {f"a{i}": parse(f) for i, f in enumerate(formulas)} | {f"b{i}": parse(f"tmin({f}, 1)") for i, f in enumerate(formulas)}
+    got = evaluate(panel, wanted, ["date", "instrument"]).toPandas()
+    for i, f in enumerate(formulas):
+        pd.testing.assert_series_equal(got[f"a{i}"], got[f"b{i}"], check_names=False, obj=f)
+        assert got[f"a{i}"].notna().any(), f
