@@ -133,6 +133,13 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str])
     return both.select(*keys, reason.alias("reason")).where("reason is not null")
 
 
+def multiset_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a and b (same columns, null equals null) that do not come equally often: the row, in_a, in_b. What exceptAll
+    gives both ways, with counts, from one shuffle of sums."""
+    both = a.withColumns({"in_a": F.lit(1), "in_b": F.lit(0)}).unionByName(b.withColumns({"in_a": F.lit(0), "in_b": F.lit(1)}))
+    return both.groupBy(*a.columns).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")).where("in_a <> in_b")
+
+
 def composite(primary: DataFrame, live: DataFrame, start: str, end: str, pad: int = 5) -> DataFrame:
     """Per instrument the primary's rows alone if they cover start to end (`pad` days short is still covered), else both
     sources' rows, the primary's where both have one."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.intervals import held_by
 from marketspark.operators.scan import LONG, Run, scanned
 
 
@@ -82,9 +83,9 @@ def first_seen(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def policy_scores(dates: DataFrame, regimes: DataFrame) -> DataFrame:
-    """date, theme, score: scores of all regimes that hold on a day, added and clipped to two. regimes(start, end, scores
-    map) are tens of rows by contract and are broadcast."""
-    open_ = dates.join(F.broadcast(regimes), F.col("date").between(F.col("start"), F.col("end")))
+    """date, theme, score: scores of all regimes(start, end, scores map) that hold on a day, added and clipped to two. Any
+    number of regimes: they meet their days in bins (held_by)."""
+    open_ = held_by(dates.select("date"), regimes.select("start", "end", "scores"), "date", "start", "end")
     return open_.select("date", F.explode("scores").alias("theme", "s")).groupBy("date", "theme").agg(F.greatest(F.least(F.sum("s"), F.lit(2)), F.lit(-2)).alias("score"))
 
 

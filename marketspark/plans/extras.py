@@ -12,6 +12,7 @@ from marketspark.operators import news as N
 from marketspark.operators import options as X
 from marketspark.operators import panel as P
 from marketspark.operators import portfolio as R
+from marketspark.operators.intervals import held_by
 from marketspark.plans.desk import _DATED, _DUAL, _dated
 from marketspark.plans.factors import shown, shown_sql
 from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql, table
@@ -155,6 +156,35 @@ def venue_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.filled(rows, profiles).groupBy("venue", "side", "kind").agg(F.count("*").alias("n"), F.sum("fill_price").alias("fill"), F.sum("fee").alias("fee")).select("venue", "side", "kind", "n", shown("fill"), shown("fee"))
 
 
+_PERIODS = "periods AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'hk' ELSE 'cn' END AS venue, s_suppkey AS id, DATE '1992-01-01' + CAST(s_suppkey * 37 % 2500 AS INTEGER) AS valid_from, DATE '1992-01-01' + CAST(s_suppkey * 37 % 2500 + s_suppkey % 97 AS INTEGER) AS valid_to, (s_suppkey % 7) / 10000.0 AS rate FROM supplier)"
+
+
+@query("WITH " + _PERIODS + f""", o AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'hk' ELSE 'cn' END AS venue, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS amount FROM lineitem)
+SELECT venue, id, count(*) AS n, {_rest('sum(amount * rate)')} AS fees FROM (SELECT o.venue, id, amount, rate FROM o JOIN periods p ON o.venue = p.venue AND day BETWEEN valid_from AND valid_to) GROUP BY venue, id""")
+def fees_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as orders under surcharges that each hold for a time; periods overlap and leave gaps."""
+    venue = lambda x: F.element_at(F.array(F.lit("us"), F.lit("hk"), F.lit("cn")), (x % 3 + 1).cast("int")).alias("venue")
+    start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("s_suppkey") * 37 % 2500).cast("int"))
+    periods = table(spark, sf_dir, "supplier").select(venue(F.col("s_suppkey")), F.col("s_suppkey").alias("id"), start.alias("valid_from"), F.date_add(start, (F.col("s_suppkey") % 97).cast("int")).alias("valid_to"), (F.col("s_suppkey") % 7 / 10000.0).alias("rate"))
+    orders = table(spark, sf_dir, "lineitem").select(venue(F.col("l_linenumber")), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("amount"))
+    met = held_by(orders, periods, "day", "valid_from", "valid_to", ["venue"])
+    return met.groupBy("venue", "id").agg(F.count("*").alias("n"), F.sum(F.col("amount") * F.col("rate")).alias("fees")).select("venue", "id", "n", shown("fees"))
+
+
+_SIDES = """a AS (SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS day, l_returnflag AS flag FROM lineitem WHERE l_linenumber < 4 UNION ALL SELECT l_suppkey, CAST(l_shipdate AS DATE), l_returnflag FROM lineitem WHERE l_orderkey % 50 = 0),
+b AS (SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS day, l_returnflag AS flag FROM lineitem WHERE l_linenumber < 4 AND l_orderkey % 40 <> 0)"""
+
+
+@query("WITH " + _SIDES + """, x AS (SELECT supplier, day, flag, count(*) AS n FROM a GROUP BY ALL), y AS (SELECT supplier, day, flag, count(*) AS n FROM b GROUP BY ALL)
+SELECT supplier, day, flag, coalesce(x.n, 0) AS in_a, coalesce(y.n, 0) AS in_b FROM x FULL JOIN y USING (supplier, day, flag) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""")
+def audit_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ledgers as multisets: rows repeat on both sides, some more often on one, some are missing."""
+    rows = table(spark, sf_dir, "lineitem")
+    made = [F.col("l_suppkey").alias("supplier"), F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("flag")]
+    a = rows.where("l_linenumber < 4").select(*made).unionByName(rows.where("l_orderkey % 50 = 0").select(*made))
+    return P.multiset_differences(a, rows.where("l_linenumber < 4 and l_orderkey % 40 <> 0").select(*made))
+
+
 _BARS2 = _DATED + ", days2 AS (SELECT symbol, date, arg_max(price, seq) AS close FROM costs GROUP BY symbol, date)"
 
 

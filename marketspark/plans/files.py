@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketspark.plans.factors import shown, shown_sql
 from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql, table
 from marketspark.plans.market import _show
-from marketspark.sources import stores, tables
+from marketspark.sources import matrices, stores, tables
 from marketspark.streaming import feeds
 
 QUERIES: dict = {}
@@ -219,3 +219,15 @@ def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     now = b.where("instrument <> 'NATION_5'").withColumn("close", F.when((F.col("instrument") == "NATION_3") & (F.col("date") == F.lit("1997-01-06").cast("date")), F.col("close") + 0.01).otherwise(F.col("close")))
     return stores.changed(stores.manifest(b), stores.manifest(now)).withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+@query(sql(BARS, f"SELECT date, instrument, {_show('close', 'volume')}, {_rest('CASE WHEN date >= DATE ' + chr(39) + '1997-01-01' + chr(39) + ' THEN high - low END')} AS spread FROM bars WHERE instrument < 'NATION_2' AND date >= DATE '1996-01-01'"))
+def read_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as another tool's matrix: features under one name, labels beside them, a feature that only later files have;
+    read for the names and dates of a smaller panel."""
+    path = _folder(spark)
+    b = bars(spark, sf_dir).withColumns({"datetime": F.col("date").cast("timestamp"), "label": F.struct(F.col("close").alias("LABEL0")), "LABEL1": F.col("open")})
+    for name, part, more in (("early", b.where("date < '1997-01-01'"), []), ("late", b.where("date >= '1997-01-01'"), [(F.col("high") - F.col("low")).alias("spread")])):
+        part.select("datetime", "instrument", F.struct("close", "volume", *more).alias("feature"), "label", "LABEL1").write.parquet(f"{path}/part={name}")
+    small = b.where("instrument < 'NATION_2' and date >= '1996-01-01'")
+    return matrices.read_matrix(spark, f"{path}/*", small).select("date", "instrument", *map(shown, ("close", "volume", "spread")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.lineage import cut
+
 # The names under which a table may bring each field, in order of preference.
 DATE_NAMES = ("date", "datetime", "trade_date", "日期")
 FIELD_NAMES = {
@@ -23,8 +25,6 @@ FEED_NAMES = {
     "close": ("close", "收盘", "收盘价", "净值"),
     "volume": ("volume", "成交量"),
 }
-#: Cells of a line that are read at most.
-CELLS = 64
 ZONE = "America/New_York"
 
 
@@ -55,36 +55,50 @@ def bars_from_table(rows: DataFrame, keep: tuple[str, ...] = ("instrument",)) ->
     return rows.select(*[c for c in keep if c in rows.columns], F.col(f"`{date}`").try_cast("date").alias("date"), *[c.alias(f) for f, c in found.items()])
 
 
-def csv_directory(spark: SparkSession, path: str, symbol: str = r"([^/]+)\.csv$") -> DataFrame:
-    """One CSV for each symbol, each with a header of its own: instrument, date and the fields of bars_from_table().
+def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """file, block, at, line: the lines of all files, which Spark may split anywhere; (block, at) grows along a file."""
+    read = spark.read.option("recursiveFileLookup", True)
+    rows = (read.option("pathGlobFilter", glob) if glob else read).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
 
-    symbol: a pattern whose first group in the file's path is the symbol, in capitals. Files are read in parallel; a file
-    is one row until its lines are taken apart, as befits the bars of one symbol."""
-    files = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True, recursiveFileLookup=True)
-    cells = ", ".join(f"c{i} string" for i in range(CELLS))
-    lines = files.select(F.upper(F.regexp_extract(F.col("_metadata.file_path"), symbol, 1)).alias("instrument"), F.split("value", r"\r?\n").alias("lines"))
+def cells(line: Column) -> Column:
+    """The cells of a line of CSV, any number of them: quoted ones without their quotes, others trimmed."""
+    # each match is a cell and the comma or end behind it; the empty match at the very end is dropped by its place
+    raw = F.regexp_extract_all(line, F.lit(r'(\s*"(?:[^"]|"")*"\s*|[^,]*)(?:,|$)'), F.lit(1))
+    return F.transform(raw, lambda c: F.when(F.trim(c).startswith('"'), F.regexp_replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), '""', '"')).otherwise(F.trim(c)))
 
-    def parts(line: Column) -> Column:
-        # through an array of one, so that a line is parsed once and not once a cell
-        return F.flatten(F.transform(F.array(F.from_csv(line, cells)), lambda row: F.array(*[row[f"c{i}"] for i in range(CELLS)])))
 
-    rows = lines.select("instrument", F.transform(parts(F.regexp_replace(F.element_at("lines", 1), "^﻿", "")), lambda c: F.lower(F.trim(c))).alias("names"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    rows = rows.where(F.trim("line") != "").select("instrument", "names", parts(F.col("line")).alias("cells"))
+def csv_directory(spark: SparkSession, path: str, symbol: str = r"([^/]+)\.csv$") -> DataFrame:
+    """One CSV for each symbol, each with a header of its own: instrument, date and the fields of bars_from_table().
 
-    def cell(names: tuple[str, ...]) -> Column:
+    symbol: a pattern whose first group in the file's path is the symbol, in capitals. A header may have any number of
+    columns; one without a date or a close is an error (headers are looked at when the reader is made). Headers are one
+    row a file and meet the lines by file, so files are split like any text; cells do not span lines; lines equal to
+    their header and blank ones are skipped."""
+    lines = _lines(spark, path, "*.csv")
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("line", "at").alias("head"))
+    heads = heads.withColumn("names", F.transform(cells(F.regexp_replace("head", "^\ufeff", "")), lambda c: F.lower(c)))
+
+    def place(names: tuple[str, ...]) -> Column:
         places = [F.array_position("names", F.lit(n)) for n in names]
-        place = F.coalesce(*[F.when(p > 0, p) for p in places])
-        return F.when(place.isNotNull(), F.try_element_at("cells", place.cast("int")))
+        return F.coalesce(*[F.when(p > 0, p) for p in places]).cast("int")
+
+    at = {f: place(n).alias(f"_{f}") for f, n in FIELD_NAMES.items()} | {"date": place(DATE_NAMES).alias("_date")}
+    heads = heads.select("file", "head", "names", *at.values())
+    if faults := [r.file for r in heads.where("_date is null or _close is null").limit(5).collect()]:
+        raise ValueError(f"a table of bars needs a date and a close: {faults}")
+    rows = lines.join(heads, "file").where((F.trim("line") != "") & (F.col("line") != F.col("head"))).withColumn("cells", cells(F.col("line")))
 
-    def has(names: tuple[str, ...]) -> Column:
-        return F.arrays_overlap("names", F.array(*map(F.lit, names)))
+    def cell(field: str) -> Column:
+        return F.when(F.col(f"_{field}").isNotNull(), F.try_element_at("cells", F.col(f"_{field}")))
 
-    close = number(cell(FIELD_NAMES["close"]))
-    value = {c: F.when(has(n), number(cell(n))).otherwise(close) for c, n in FIELD_NAMES.items() if c in ("open", "high", "low")}
-    volume = F.when(has(FIELD_NAMES["volume"]), number(cell(FIELD_NAMES["volume"]))).otherwise(1.0)
-    rows = rows.select("instrument", "names", "cells", cell(DATE_NAMES).try_cast("date").alias("date"), *[c.alias(n) for n, c in value.items()], close.alias("close"), volume.alias("volume"))
-    vwap = F.when(has(FIELD_NAMES["vwap"]), number(cell(FIELD_NAMES["vwap"]))).otherwise((F.col("high") + F.col("low") + F.col("close")) / 3.0)
-    return rows.select("instrument", "date", "open", "high", "low", "close", "volume", vwap.alias("vwap"))
+    close = number(cell("close"))
+    value = {c: F.when(F.col(f"_{c}").isNotNull(), number(cell(c))).otherwise(close) for c in ("open", "high", "low")} | {"close": close}
+    volume = F.when(F.col("_volume").isNotNull(), number(cell("volume"))).otherwise(1.0)
+    made = rows.select(F.upper(F.regexp_extract("file", symbol, 1)).alias("instrument"), cell("date").try_cast("date").alias("date"), *[c.alias(n) for n, c in value.items()], volume.alias("volume"), "_vwap", cell("vwap").alias("_v"))
+    vwap = F.when(F.col("_vwap").isNotNull(), number(F.col("_v"))).otherwise((F.col("high") + F.col("low") + F.col("close")) / 3.0)
+    return made.select("instrument", "date", "open", "high", "low", "close", "volume", vwap.alias("vwap"))
 
 
 def _keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -203,21 +217,20 @@ def yearly_json(payloads: DataFrame) -> DataFrame:
 
 def monthly_section(spark: SparkSession, path: str) -> DataFrame:
     """file, date, factor, value of the monthly section of factor files: the first run of `yyyymm,` lines after the header,
-    up to the first other line; -99.99 and -999 are null. A file is one row until its lines are taken apart."""
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("file"), F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line"))).alias("lines"))
-    header = F.filter("lines", lambda x: F.contains(x["line"], F.lit("Mkt-RF")) & F.contains(x["line"], F.lit("SMB")))
-    rows = lines.select("file", F.get(header, F.lit(0)).alias("h"), F.explode("lines").alias("x")).where("h is not null and x.at > h.at").select("file", "h", "x.*")
-    month = F.col("line").rlike(r"^\s*\d{6}\s*,")
-    rows = rows.withColumn("month", month)
-    first = rows.groupBy("file").agg(F.min(F.when(F.col("month"), F.col("at"))).alias("first"))
-    after = rows.join(first, "file").where("at >= first")
-    ends = after.groupBy("file").agg(F.min(F.when(~F.col("month"), F.col("at"))).alias("end"))
-    kept = after.join(ends, "file").where("month and (end is null or at < end)").select("file", F.transform(F.split("h.line", ","), lambda c: F.trim(c)).alias("names"), F.split("line", ",").alias("cells"))
-    date = F.to_date(F.concat(F.trim(F.col("cells")[0]), F.lit("01")), "yyyyMMdd")
-    pairs = F.explode(F.slice(F.arrays_zip("names", "cells"), 2, CELLS)).alias("p")
-    value = number(F.trim("p.cells"))
-    return kept.select("file", date.alias("date"), pairs).select("file", "date", F.col("p.names").alias("factor"), F.when(~value.isin(-99.99, -999.0), value).alias("value"))
+    up to the first other line; -99.99 and -999 are null. Any number of factors; the section's edges are aggregates over
+    lines by their place, so files are split like any text. Places are those of one reading, kept in the shared folder."""
+    lines = cut(_lines(spark, path).select("file", F.struct("block", "at").alias("at"), "line"))
+    head = F.contains("line", F.lit("Mkt-RF")) & F.contains("line", F.lit("SMB"))
+    heads = lines.where(head).groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
+    rows = lines.join(heads, "file").where("at > h.at").withColumn("month", F.col("line").rlike(r"^\s*\d{6}\s*,"))
+    first = rows.where("month").groupBy("file").agg(F.min("at").alias("first"))
+    ends = rows.where("not month").join(first, "file").where("at > first").groupBy("file").agg(F.min("at").alias("end"))
+    kept = rows.where("month").join(ends, "file", "left").where("end is null or at < end").select("file", cells(F.col("h.line")).alias("names"), cells(F.col("line")).alias("cells"))
+    date = F.to_date(F.concat(F.col("cells")[0], F.lit("01")), "yyyyMMdd")
+    size = F.least(F.size("names"), F.size("cells"))
+    pairs = F.explode(F.slice(F.arrays_zip("names", "cells"), F.lit(2), F.greatest(size - 1, F.lit(0)))).alias("p")
+    value = number(F.col("p.cells"))
+    return kept.select("file", date.alias("date"), pairs).where("p.names <> ''").select("file", "date", F.col("p.names").alias("factor"), F.when(~value.isin(-99.99, -999.0), value).alias("value"))
 
 
 def canonical_symbol(raw: Column) -> Column:

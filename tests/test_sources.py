@@ -3,8 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from marketspark.sources import stores, tables
+from marketspark.sources import matrices, stores, tables
 
 
 def test_csv_directory_reads_each_header(spark, tmp_path):
@@ -75,3 +76,61 @@ def test_trace_skips_bad_lines(spark, tmp_path):
     assert [x.x for x in stores.trace_tail(spark, str(tmp_path / "t.json"), "t long, x string", "t", 2).collect()] == ["c", "b"]
     rows = spark.createDataFrame([("a", 0.12345, None)], "alpha_id string, ic_mean double, ic_ir double")
     assert tuple(stores.report_rows(rows).first()) == ("a", "0.1235", "-") or tuple(stores.report_rows(rows).first()) == ("a", "0.1234", "-")
+
+
+def test_csv_directory_of_a_hundred_columns_in_many_splits(spark, tmp_path):
+    names = [f"c{i}" for i in range(98)]
+    with open(tmp_path / "wide.csv", "w") as f:
+        f.write(",".join(["Date", *names, "CLOSE"]) + "\r\n")
+        for i in range(2000):
+            f.write(",".join([str(dt.date(2015, 1, 1) + dt.timedelta(days=i)), *['"a,""b"""'] * 98, str(i)]) + "\r\n")
+    (tmp_path / "b.csv").write_text("close,date\n3,2020-01-01\n4,2020-01-02")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = tables.csv_directory(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5 or rows.where("instrument = 'WIDE'").select(F.spark_partition_id()).distinct().count() > 1
+        got = {x.date: x.close for x in rows.where("instrument = 'WIDE'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {dt.date(2015, 1, 1) + dt.timedelta(days=i): float(i) for i in range(2000)}
+    assert sorted(x.close for x in rows.where("instrument = 'B'").collect()) == [3.0, 4.0]
+
+
+@pytest.mark.parametrize("text", ["date,price\n2024-01-02,1\n", "close,open\n1,2\n", "2024-01-02,1\n"])
+def test_csv_directory_without_date_or_close_is_an_error(spark, tmp_path, text):
+    (tmp_path / "good.csv").write_text("date,close\n2024-01-02,1\n")
+    (tmp_path / "bad.csv").write_text(text)
+    with pytest.raises(ValueError, match="bad.csv"):
+        tables.csv_directory(spark, str(tmp_path))
+
+
+def test_monthly_section_of_many_factors_in_many_splits(spark, tmp_path):
+    names = ["Mkt-RF", "SMB", *(f"f{i}" for i in range(98))]
+    months = [f"{1900 + i // 12}{i % 12 + 1:02d}" for i in range(600)]
+    (tmp_path / "f.csv").write_text("preface 190001,\n" * 50 + "," + ",".join(names) + "\n" + "".join(m + "," + ",".join(str(k) for k in range(100)) + "\n" for m in months) + "\nyearly\n190001,9\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = tables.monthly_section(spark, str(tmp_path)).groupBy("factor").agg(F.count("*").alias("n"), F.min("value").alias("v")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {x.factor: (x.n, x.v) for x in got} == {n: (600, float(i)) for i, n in enumerate(names)}
+
+
+def test_matrices_are_flattened_and_checked(spark, tmp_path):
+    panel = spark.createDataFrame([("2024-01-02", "a"), ("2024-01-03", "a"), ("2024-01-02", "b")], "date string, instrument string").selectExpr("to_date(date) date", "instrument")
+    one = spark.sql("select timestamp '2024-01-02 00:00:00' as datetime, 'a' as instrument, named_struct('KMID', 1.5d, 'x y', '7') as feature, named_struct('LABEL0', 9d) as label, 3 as Label_1")
+    two = spark.sql("select timestamp '2024-01-03 00:00:00' as datetime, i as instrument, named_struct('KMID', 2.5d, 'ROC.5', 4f) as feature from values ('a'), ('zz') as t(i)")
+    late = spark.sql("select timestamp '2030-01-03 00:00:00' as datetime, 'a' as instrument, named_struct('KMID', 0d) as feature")
+    for i, part in enumerate((one, two, late)):
+        part.write.parquet(f"{tmp_path}/m/part={i}")
+    got = matrices.read_matrix(spark, f"{tmp_path}/m/*", panel).orderBy("date")
+    assert got.columns == ["date", "instrument", "KMID", "ROC.5", "x y"]
+    assert [tuple(r) for r in got.collect()] == [(dt.date(2024, 1, 2), "a", 1.5, None, 7.0), (dt.date(2024, 1, 3), "a", 2.5, 4.0, None)]
+    with pytest.raises(ValueError, match="one of"):
+        matrices.flat(one.drop("instrument"))
+    with pytest.raises(ValueError, match="one name"):
+        matrices.flat(spark.sql("select date '2024-01-01' as date, 'a' as asset, named_struct('f', 1) as p, named_struct('f', 2) as q"))
+    one.union(one).write.parquet(f"{tmp_path}/twice")
+    with pytest.raises(ValueError, match="repeated"):
+        matrices.read_matrix(spark, f"{tmp_path}/twice", panel)
+    assert [r.fault for r in matrices.key_faults(matrices.flat(one.withColumn("instrument", F.lit(None).cast("string")))).collect()] == ["missing"]
