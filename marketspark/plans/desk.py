@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from marketspark.operators import desk as K
 from marketspark.operators import indicators as T
 from marketspark.operators import options as X
+from marketspark.operators import overlays as V
 from marketspark.operators import panel as P
 from marketspark.operators import portfolio as R
 from marketspark.operators import records as C
+from marketspark.operators.lineage import cut
 from marketspark.plans.factors import EDGE, shown, shown_sql
 from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql, table
 from marketspark.plans.market import _INDEX, _INDICATORS, LINE, _ema, _index, _show
@@ -95,6 +97,43 @@ def exposure_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.exposure_gates(daily).select("year", "sessions", *map(shown, ("median", "p95")), "failed")
 
 
+_OVERLAY = _DUAL + f""", days AS (SELECT date, CAST(year(date) AS INTEGER) AS book, row_number() OVER (ORDER BY date) - 1 AS ordinal FROM (SELECT DISTINCT date FROM panel)),
+opened AS (SELECT book, date FROM days WHERE ordinal % 13 <> 5 AND NOT (book % 2 = 0 AND ordinal % 17 = 3)),
+marks AS (SELECT date, CASE WHEN round(avg(returns), 9) >= 0 THEN 1.0 WHEN avg(returns) IS NOT NULL THEN 0.0 END AS label FROM panel GROUP BY date),
+lagged AS (SELECT o.book, o.date, lag(label) OVER (PARTITION BY book ORDER BY o.date) AS label FROM opened o LEFT JOIN marks m ON m.date = o.date),
+daily AS (SELECT CAST(year(date) AS INTEGER) AS book, date, round(sum(abs(weight)), 6) AS gross, max(abs(weight)) AS peak FROM w WHERE weight IS NOT NULL GROUP BY date),
+held AS (SELECT d.book, max(gross - CASE WHEN label IS NULL THEN NULL WHEN label <> 0 THEN 0.95 ELSE 0.7 END) AS over, max(peak) AS peak FROM daily d JOIN opened o ON o.date = d.date LEFT JOIN lagged l ON l.date = d.date GROUP BY d.book),
+metric AS (SELECT book, round(gross / 0.9, 6) AS metric, CASE WHEN book % 3 = 0 THEN 0.008 ELSE gross END AS baseline, gross > 0 AS eligible FROM daily),
+figures AS (SELECT book, quantile_cont(metric, 0.5) AS median, quantile_cont(baseline, 0.5) AS base_median, quantile_cont(metric, 0.95) AS p95, quantile_cont(baseline, 0.95) AS base_p95, count(*) FILTER (eligible) AS days,
+  count(*) FILTER (eligible AND (metric < 0.5 - 1e-12 OR metric > 1.5 + 1e-12)) AS outside FROM metric GROUP BY book),
+all_ AS (SELECT b.book, over, peak, CASE WHEN b.book % 7 <> 0 THEN CASE WHEN b.book % 2 = 0 THEN 25 ELSE 3 END END AS n, median, CASE WHEN base_median < 0.01 THEN 0.05 ELSE 1.5 * base_median END AS median_limit, p95, CASE WHEN base_p95 < 0.02 THEN 0.1 ELSE 2.5 * base_p95 END AS p95_limit,
+  coalesce(days, 0) AS days, outside, CASE WHEN b.book % 4 = 1 THEN 1e-6 ELSE 0.0 END AS unlabeled, -(b.book % 5) / 10.0 AS max_drawdown
+  FROM (SELECT DISTINCT book FROM days) b LEFT JOIN held h ON h.book = b.book LEFT JOIN figures f ON f.book = b.book),
+capped AS (SELECT *, CASE WHEN n > 0 THEN least(1.0 / n + 0.05, 0.4) ELSE 0.0 END AS cap FROM all_)"""
+
+
+@query(sql(_OVERLAY, f"""SELECT book, array_to_string(list_filter([CASE WHEN abs(max_drawdown) > 0.2 + 1e-12 THEN 'halt' END, CASE WHEN over > 1e-12 THEN 'exposure' END, CASE WHEN peak IS NOT NULL AND n IS NULL THEN 'size' END, CASE WHEN n IS NOT NULL AND peak > cap + 1e-12 THEN 'weight' END,
+  CASE WHEN median > median_limit + 1e-12 THEN 'median' END, CASE WHEN p95 > p95_limit + 1e-12 THEN 'p95' END, CASE WHEN days < 40 THEN 'evidence' END, CASE WHEN days >= 40 AND outside > 0 THEN 'band' END, CASE WHEN unlabeled > 1e-12 THEN 'derivatives' END], lambda r: r IS NOT NULL), ',') AS failed,
+  {_show('over', 'peak', 'cap', 'median', 'median_limit', 'p95', 'p95_limit')}, days FROM capped"""))
+def overlay_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year's weights as a book: every 13th session is a holiday, even years are suspended on some, labels say whether
+    the mean return was not negative."""
+    p = panel(spark, sf_dir)
+    book = F.year("date").alias("book")
+    days = p.select("date").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("date")) - 1).select("*", book)  # one row a session
+    opened = V.open_sessions(days, days.where("ordinal % 13 = 5"), days.where("book % 2 = 0 and ordinal % 17 = 3"))
+    mean = F.avg("returns")
+    labels = p.groupBy("date").agg(F.when(F.round(mean, 9) >= 0, 1.0).when(mean.isNotNull(), 0.0).alias("label")).select("*", book)
+    weights = cut(K.dual_momentum(T.features(p), ["date"], "momentum_20", "volatility_20").select("date", "instrument", "weight", book))
+    daily = weights.where("weight is not null").groupBy("book", "date").agg(F.round(F.sum(F.abs("weight")), 6).alias("gross"))
+    daily = daily.select("book", "date", F.round(F.col("gross") / 0.9, 6).alias("metric"), F.when(F.col("book") % 3 == 0, 0.008).otherwise(F.col("gross")).alias("baseline"), (F.col("gross") > 0).alias("eligible"))
+    books = days.select("book").distinct()
+    targets = books.where("book % 7 <> 0").select("book", F.when(F.col("book") % 2 == 0, 25).otherwise(3).alias("n"))
+    totals = books.select("book", F.when(F.col("book") % 4 == 1, 1e-6).otherwise(0.0).alias("unlabeled"), (-(F.col("book") % 5) / 10.0).alias("max_drawdown"))
+    rows = V.overlay_gates(weights, opened, V.lagged_labels(opened, labels), targets, daily, totals)
+    return rows.select("book", "failed", *map(shown, ("over", "peak", "cap", "median", "median_limit", "p95", "p95_limit")), "days")
+
+
 @query(sql(PANEL + """, t AS (SELECT instrument, arg_max(close, date) AS price, arg_min(volume, date) AS held FROM bars GROUP BY instrument),
 r AS (SELECT instrument, CASE WHEN instrument < 'NATION_2' THEN CAST(floor(1e6 * 0.05 / price) AS BIGINT) ELSE 0 END AS wanted, CAST(held AS BIGINT) AS held FROM t)""",
     "SELECT instrument, wanted, held, wanted - held AS delta FROM r WHERE wanted <> held AND (held = 0 OR abs(wanted - held) / CAST(abs(held) AS DOUBLE) > 0.05 OR wanted = 0)"))
