@@ -13,6 +13,8 @@ from marketspark.llm.common import table
 
 #: Vectors of one block and queries of one block: both bound what a task holds.
 SHARD, QUERIES = 8192, 8192
+#: Rows of a block between which the threshold rises.
+CHUNK = 1024
 
 
 def integers(embedding: Column, scale: int = 1024) -> Column:
@@ -25,27 +27,51 @@ def integers(embedding: Column, scale: int = 1024) -> Column:
 
 
 class Postings:
-    """The vectors of one block as one posting list a component, each with its least and greatest value."""
+    """The vectors of one block, longest first, in chunks of CHUNK rows: for each component a posting list of a chunk, with its
+    least and greatest value there."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((ids, -(vectors * vectors).sum(axis=1)))
         self.ids, self.lists = ids[order], np.ascontiguousarray(vectors[order].T)
-        self.low, self.high = self.lists.min(axis=1), self.lists.max(axis=1)
+        self.starts = range(0, len(ids), CHUNK)
+        self.low = [self.lists[:, i : i + CHUNK].min(axis=1) for i in self.starts]
+        self.high = [self.lists[:, i : i + CHUNK].max(axis=1) for i in self.starts]
 
     def search(self, query: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best rows that score `least` or more, ties to the smaller id.
 
-        A term's contribution is counted from its lowest value here, so that all are zero or more. Terms are ordered by
-        their bound; those whose bounds together cannot lift a row to the threshold are non-essential. The essential lists
-        are traversed; rows that stay competitive are probed in the others, the largest bound first."""
-        ends = np.stack([query * self.low, query * self.high])
+        Chunks are searched in turn. Once k rows are found the k-th score is the threshold, so it rises as results come, and
+        each chunk splits its terms anew by it: chunks whose bounds stay under it are passed over."""
+        at, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i, low, high in zip(self.starts, self.low, self.high, strict=True):
+            found, scores = self._chunk(self.lists[:, i : i + CHUNK], low, high, query, least)
+            if not len(found):
+                continue
+            at, got = np.concatenate([at, found + i]), np.concatenate([got, scores])
+            if len(at) >= k:
+                top = np.lexsort((self.ids[at], -got))[:k]
+                at, got = at[top], got[top]
+                least = max(least, int(got[-1]))
+        top = np.lexsort((self.ids[at], -got))
+        return at[top], got[top]
+
+    @staticmethod
+    def _chunk(lists: np.ndarray, low: np.ndarray, high: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a chunk that score `least` or more, and their scores.
+
+        A term's contribution is counted from its lowest value in the chunk, so that all are zero or more. Terms are ordered
+        by their bound; those whose bounds together cannot lift a row to the threshold are non-essential. The essential
+        lists are traversed; rows that stay competitive are probed in the others, the largest bound first."""
+        ends = np.stack([query * low, query * high])
         floor, bounds = ends.min(axis=0), np.abs(ends[1] - ends[0])
         base, order = int(floor.sum()), np.argsort(bounds, kind="stable")
         reach = np.cumsum(bounds[order])
+        if base + int(bounds.sum()) < least:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         optional = int(np.searchsorted(base + reach, least, "left"))  # bounds[:optional] together stay under the threshold
         essential, others = order[optional:], order[:optional][::-1]
-        at = np.arange(len(self.ids))
-        got = query[essential] @ self.lists[essential] - floor[essential].sum() + base if len(essential) else np.full(len(at), base)
+        at = np.arange(lists.shape[1])
+        got = query[essential] @ lists[essential] - floor[essential].sum() + base if len(essential) else np.full(len(at), base)
         rest = int(reach[optional - 1]) if optional else 0
         for i, term in enumerate(others):
             if i % 4 == 0:  # drop what is out of reach
@@ -53,12 +79,10 @@ class Postings:
                 at, got = at[competitive], got[competitive]
                 if not len(at):
                     return at, got
-            got = got + query[term] * self.lists[term][at] - floor[term]
+            got = got + query[term] * lists[term][at] - floor[term]
             rest -= int(bounds[term])
         best = got >= least
-        at, got = at[best], got[best]
-        top = np.lexsort((self.ids[at], -got))[:k]
-        return at[top], got[top]
+        return at[best], got[best]
 
 
 def top(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, asked: int = QUERIES) -> DataFrame:

@@ -284,7 +284,7 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.where("item_id < 0")).count() == 0
 
 
-def test_search(spark):
+def test_search(spark, monkeypatch):
     r = np.random.default_rng(7)
     data = [(int(i), [float(x) for x in r.integers(-3, 3, size=8)]) for i in range(400)]
     data += [(0, data[0][1])] * 40 + [(0, [1.0] * 8), (100, [0.5] * 8)]  # repeated ids, alike and unlike
@@ -299,9 +299,32 @@ def test_search(spark):
     for shard, asked in ((8192, 8192), (64, 3)):
         got = search.top(table, table.where("vec_id % 100 = 0"), 10, shard, asked).collect()
         assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
+    monkeypatch.setattr(search, "CHUNK", 16)
+    got = search.top(table, table.where("vec_id % 100 = 0"), 10).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
     assert search.top(table.where("vec_id < 0"), table, 3).count() == 0 and search.top(table, table.where("vec_id < 0"), 3).count() == 0
 
 
+@pytest.mark.parametrize("spread", [1, 40])
+def test_thresholds_rise_and_lose_nothing(monkeypatch, spread):
+    """Any chunk size gives the same rows; short vectors are passed over once long ones have set the threshold."""
+    r = np.random.default_rng(9)
+    ids, v = r.permutation(500), r.integers(-50, 50, (500, 6)) * np.repeat([spread, 1], 250)[:, None]
+    touched = []
+    chunk = search.Postings._chunk
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(search, "CHUNK", size)
+        monkeypatch.setattr(search.Postings, "_chunk", staticmethod(lambda *a, size=size: touched.append((size, len(x := chunk(*a)) and len(x[0]))) or x))
+        block = search.Postings(ids, v)
+        for q in v[:40]:
+            at, got = block.search(q, 5, -(1 << 62))
+            want = sorted(zip((-(v @ q)).tolist(), ids.tolist(), strict=True))[:5]
+            assert list(zip((-got).tolist(), block.ids[at].tolist(), strict=True)) == want
+    # the number of rows that reach the threshold of their time falls with the size of a chunk
+    rows = {size: sum(n for s, n in touched if s == size) for size in (7, 64, 1000)}
+    assert rows[7] < rows[64] < rows[1000] == 40 * 500
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(8)
     words = [f"w{i}" for i in range(200)]
