@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -275,9 +276,32 @@ def _counted_out(pieces: DataFrame) -> DataFrame:
     return single.union(clash.where("copies = 1").join(apart, "window").select("rid", "s")).select("rid", "s", (F.col("s") + LENGTH).alias("e"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """rid, s, e: byte ranges of docs(rid, text) that together are all bytes within a repeated string of LENGTH bytes."""
-    found = anchors(docs)
+def _clashing(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """ah, fh, vh of copies(ah, fh, vh, rid, pos, number) whose bytes are not all the same, although their hashes are.
+
+    The bytes are read from the texts again and told by a cryptographic digest (BLAKE2b, 128 bits); its least and greatest
+    value for each group are sums that tasks make apart, so a group may have any number of copies."""
+    lists = copies.groupBy("rid").agg(F.collect_list(F.struct("pos", "number", "ah", "fh", "vh")).alias("wanted"))
+    joined = _sieved(docs, copies).join(lists, "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for i in range(batch.num_rows):
+                text, rows = memoryview(texts[i].as_buffer()), batch.column("wanted")[i].values.flatten()
+                told = [hashlib.blake2b(text[p : p + m - 1 + LENGTH], digest_size=16).digest() for p, m in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True)]
+                halves = np.frombuffer(b"".join(told), dtype=np.int64).reshape(-1, 2)
+                yield pa.record_batch([*rows[2:], *map(pa.array, halves.T.copy())], names=["ah", "fh", "vh", "d0", "d1"])
+
+    told = joined.mapInArrow(run, "ah long, fh long, vh long, d0 long, d1 long")
+    ends = told.groupBy("ah", "fh", "vh").agg(*[f(d).alias(f"{d}_{n}") for d in ("d0", "d1") for n, f in (("a", F.min), ("b", F.max))])
+    return ends.where("d0_a <> d0_b or d1_a <> d1_b").select("ah", "fh", "vh")
+
+
+def repeats(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """rid, s, e: byte ranges of docs(rid, text) that together are all bytes within a repeated string of LENGTH bytes. found:
+    the fragments, of anchors(docs) unless given; whatever their hashes fh and vh are, the result is the same."""
+    found = anchors(docs) if found is None else found
     same = [f(c).alias(f"{c}{k}") for c in ("fh", "vh") for k, f in enumerate((F.min, F.max))]
     groups = found.groupBy("ah").agg(F.count("*").alias("n"), *same).where("n > 1")
     groups = cut(groups)  # else the join would share the count's partitions, and one anchor's rows could not be spread
@@ -286,11 +310,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     mixed_ = shared.where("mixed")
     # one fragment stands for its copies, which are repeated throughout
     kinds = cut(mixed_.groupBy("ah", "fh", "vh").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "pos", "number")).alias("one")))
-    crowds = kinds.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWDED).select("ah", F.lit(True).alias("crowded"))
     copied = kinds.where("copies > 1").select("ah", "fh", "vh")
-    whole = shared.where("not mixed").select("rid", "pos", "number").union(mixed_.join(copied, ["ah", "fh", "vh"]).select("rid", "pos", "number"))
+    copies = shared.where("not mixed").drop("mixed").union(mixed_.drop("mixed").join(copied, ["ah", "fh", "vh"]).select("ah", "fh", "vh", "rid", "pos", "number"))
+    clash = cut(_clashing(docs, copies))  # none, as a rule
+    if clash.isEmpty():
+        whole, alone = copies, None
+    else:  # copies by hash alone are fragments of their own, to be sorted by their bytes
+        whole = copies.join(clash, ["ah", "fh", "vh"], "left_anti")
+        alone = copies.join(clash, ["ah", "fh", "vh"], "left_semi").select("ah", F.lit(1).cast("long").alias("copies"), F.struct("rid", "pos", "number").alias("one"))
+        kinds = kinds.join(clash, ["ah", "fh", "vh"], "left_anti")
+    single = kinds.select("ah", "copies", "one")
+    single = cut(single.union(alone)) if alone is not None else single
+    crowds = single.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWDED).select("ah", F.lit(True).alias("crowded"))
     whole = whole.select("rid", F.col("pos").alias("s"), (F.col("pos") + F.col("number") - 1 + LENGTH).alias("e"))
-    wanted = kinds.join(crowds, "ah", "left").select("one.rid", "one.pos", "one.number", "ah", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    wanted = single.join(crowds, "ah", "left").select("one.rid", "one.pos", "one.number", "ah", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     pieces = _cut_out(docs, wanted)
     return whole.union(_sorted_out(pieces.where("not crowded"))).union(_counted_out(pieces.where("crowded")))
 
@@ -330,8 +363,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A byte goes if a string of LENGTH bytes around it also starts anywhere else, in the same text or another; strings are
     judged on the input. Null texts count as empty; shorter texts stay whole; repeated rows are texts of their own; other
     columns are ignored; an empty table gives no rows. docs must give the same rows in the same order when it is read
-    again, as a stored table does. Fragments that are equal as a whole are told by two unlike 64-bit hashes of all their
-    bytes; windows of differing fragments are verified byte by byte."""
+    again, as a stored table does. Fragments that are equal as a whole by two hashes are read again and told by a
+    cryptographic digest of their bytes; windows of differing fragments are verified byte by byte."""
     rows = _numbered(docs)
     return rows.join(_changed(rows), "rid", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *_counts(), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
 

@@ -222,6 +222,22 @@ def test_repeated_strings(spark, tmp_path, monkeypatch, crowded):
     assert [got[i] for i in range(len(texts))] == _plain_repeats(texts)
 
 
+@pytest.mark.parametrize("forced", ["all", "some"])
+def test_repeated_strings_whose_hashes_collide(spark, forced):
+    """Fragments of one anchor that have equal hashes and other bytes: what goes is the same."""
+    r = random.Random(14)
+    base = "".join(r.choice("ab") for _ in range(900))
+    texts = [base, base, base[:500] + "c" + base[501:], "z" + base[100:], base[:450] + base[:450], "q" * 100, "".join(r.choice("ab") for _ in range(900))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(2).cache()
+    hashes = suffixes.anchors(rows)
+    low = F.lit(0).cast("long") if forced == "all" else F.col("fh") % 2
+    spans = suffixes.repeats(rows, hashes.withColumns({"fh": low, "vh": low})).collect()
+    gone = {i: {b for x in spans if x.rid == i for b in range(x.s, x.e)} for i in range(len(texts))}
+    plain = suffixes.repeats(rows).collect()
+    assert gone == {i: {b for x in plain if x.rid == i for b in range(x.s, x.e)} for i in range(len(texts))}
+    assert [len(gone[i]) for i in range(len(texts))] == [x[1] for x in _plain_repeats(texts)]
+
+
 def test_repeated_strings_odd(spark, odd, empty):
     got = suffixes.deduplicated(odd)
     assert got.count() == 13 and got.where("n_removed > 0").count() >= 3
