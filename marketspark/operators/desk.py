@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.panel import asof
 from marketspark.operators.scan import LONG, Run, scanned, sliced
 
 
@@ -320,3 +321,33 @@ def equity_ledger(trades: DataFrame, bars: DataFrame, initial: float, long: int
     rows = days.join(value, ["book", "date"]).withColumn("cash", initial + F.sum("flow").over(upto)).withColumn("equity", F.col("cash") + F.col("value"))
     pnl = F.col("equity") - F.coalesce(F.lag("equity", 1).over(all_), F.lit(initial))
     return rows.select("book", "date", "cash", "value", "equity", pnl.alias("pnl"), (F.col("equity") / F.greatest(F.lit(initial), F.max("equity").over(upto)) - 1).alias("drawdown"))
+
+
+def order_checks(orders: DataFrame, bars: DataFrame, rules: DataFrame, age: int = 7, share: float = 0.01, long: int = LONG) -> DataFrame:
+    """orders(venue, symbol, kind, date, at, side, quantity, held) with reason (ok or the first against it) and filled.
+
+    rules(venue, kind, lot, limit): the classes that a venue trades, with their lot and, if any, their daily limit; other
+    classes are "class". A quantity off the lot is "board lot" unless it sells all that is held. The quote is the symbol's
+    last bar(symbol, date, close, volume) up to the day: none is "no quote", one over `age` days old is "stale quote". A
+    close that moved by the limit or more since the bar before is "limit move", either way. What is left are fills, in
+    the order of `at`: all of a symbol's fills of a day stay within `share` of the volume of the last bar before that day,
+    in whole lots; orders that find nothing left are "volume cap", others may be filled in part."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    quotes = bars.select("symbol", "date", F.struct(F.col("date").alias("day"), "close", F.lag("close", 1).over(w).alias("before"), "volume", F.lag("volume", 1).over(w).alias("prior")).alias("q"))
+    rows = asof(orders, quotes, "symbol", "date", "q", long).join(rules, ["venue", "kind"], "left")  # rules: a few rows a venue
+    lot, q = F.coalesce("lot", F.lit(1)), F.col("q")
+    all_of_it = (F.col("side") == "sell") & (F.col("held") > 0) & (F.col("quantity") == F.col("held"))
+    reason = (
+        F.when(F.col("lot").isNull(), "class").when((F.col("quantity") % lot != 0) & ~F.coalesce(all_of_it, F.lit(False)), "board lot").when(q.isNull(), "no quote")
+        .when(F.datediff("date", q["day"]) > age, "stale quote").when(F.abs(F.try_divide(q["close"], q["before"]) - 1) >= F.col("limit"), "limit move")
+    )
+    # the bar before the day: the quote's own if that is older than the day
+    prior = F.coalesce(F.when(q["day"] < F.col("date"), q["volume"]).otherwise(q["prior"]), F.lit(0.0))
+    rows = rows.withColumns({"reason": reason, "_cap": (F.floor(F.floor(prior * share) / lot) * lot).cast("double")}).drop("q")
+    asked = F.when(F.col("reason").isNull(), F.col("quantity").cast("double")).otherwise(0.0)
+    # fills are taken in order until the cap is used up
+    rows = scanned(rows.withColumn("_asked", asked), ["symbol", "date"], ["at"], {"_upto": Run("sum", F.col("_asked"))}, long)
+    filled = F.least("_upto", "_cap") - F.least(F.col("_upto") - F.col("_asked"), F.col("_cap"))
+    rows = rows.withColumn("filled", F.when(F.col("reason").isNull(), filled).otherwise(0.0))
+    last = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("filled") <= 0, "volume cap").otherwise("ok")
+    return rows.select(*orders.columns, last.alias("reason"), "filled")

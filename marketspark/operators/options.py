@@ -46,3 +46,12 @@ def chosen_expiry(expiries: Column, day: Column, least: int = 21, most: int = 90
     """Of an array of dates the nearest with `least` to `most` days left, else the nearest that is not over."""
     open_ = F.filter(expiries, lambda e: F.datediff(e, day) >= 0)
     return F.coalesce(F.array_min(F.filter(open_, lambda e: F.datediff(e, day).between(least, most))), F.array_min(open_))
+
+
+def standard_expiry(expiries: Column, day: Column, least: int = 21, most: int = 90, longest: bool = False) -> Column:
+    """Of an array of dates one with `least` days left or more: of those up to `most` days the nearest or the longest, of
+    later ones, if there are no others, likewise; null if all are too near."""
+    far = F.filter(expiries, lambda e: F.datediff(e, day) >= least)
+    band = F.filter(far, lambda e: F.datediff(e, day) <= most)
+    pick = F.array_max if longest else F.array_min
+    return F.coalesce(pick(band), pick(far))

@@ -15,7 +15,7 @@ from marketspark.operators import portfolio as R
 from marketspark.operators.intervals import held_by
 from marketspark.plans.desk import _DATED, _DUAL, _dated
 from marketspark.plans.factors import shown, shown_sql
-from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql, table
+from marketspark.plans.inputs import BARS, PANEL, bars, fills, panel, sql, table
 from marketspark.plans.market import LINE, _show
 from marketspark.plans.records import _dataset
 
@@ -227,6 +227,41 @@ def expiries_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where("date < '1998-12-01'").select("date").distinct().crossJoin(F.broadcast(all_)).select("date", X.chosen_expiry(F.col("e"), F.col("date")).alias("expiry"))
 
 
+@query(sql(BARS, """SELECT date, coalesce(max(e) FILTER (e - date BETWEEN 21 AND 200), max(e) FILTER (e - date >= 21)) AS longest, coalesce(min(e) FILTER (e - date BETWEEN 21 AND 200), min(e) FILTER (e - date >= 21)) AS nearest FROM (SELECT DISTINCT date FROM bars) d,
+  (SELECT CAST(m + CAST((5 - dayofweek(m) + 7) % 7 + 14 AS INTEGER) AS DATE) AS e FROM (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS m FROM bars WHERE month(date) % 3 = 0 AND (date < DATE '1996-01-01' OR date > DATE '1997-01-01'))) x WHERE date < DATE '1998-06-01' GROUP BY date"""))
+def expiries_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the quarterly expiries, a year's missing, the longest and the nearest that standard rules allow."""
+    b = bars(spark, sf_dir)
+    months = b.where("month(date) % 3 = 0 and (date < '1996-01-01' or date > '1997-01-01')").select(F.trunc("date", "month").alias("m")).distinct()
+    all_ = months.agg(F.collect_set(X.third_friday(F.col("m"))).alias("e"))  # four a year
+    pick = lambda longest: X.standard_expiry(F.col("e"), F.col("date"), 21, 200, longest)
+    return b.where("date < '1998-06-01'").select("date").distinct().crossJoin(F.broadcast(all_)).select("date", pick(True).alias("longest"), pick(False).alias("nearest"))
+
+
+_CHECKS = BARS + """, quotes AS (SELECT instrument AS symbol, date, close, volume, lag(close) OVER (PARTITION BY instrument ORDER BY date) AS before, lag(volume) OVER (PARTITION BY instrument ORDER BY date) AS prior FROM bars WHERE month(date) % 5 <> 0),
+orders AS (SELECT instrument AS symbol, date, seq, quantity, CASE WHEN industry % 2 = 0 THEN 'us' ELSE 'cn' END AS venue, CASE WHEN CAST(quantity AS BIGINT) % 10 = 3 THEN 'option' ELSE 'equity' END AS kind, CASE WHEN CAST(quantity AS BIGINT) % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, 21.0 AS held FROM fills),
+rules AS (SELECT * FROM (VALUES ('us', 'equity', 1, NULL), ('us', 'option', 1, NULL), ('cn', 'equity', 5, 0.195)) r(venue, kind, lot, lim)),
+joined AS (SELECT o.*, q.date AS day, close, before, volume, prior, lot, lim FROM orders o ASOF LEFT JOIN quotes q ON o.symbol = q.symbol AND o.date >= q.date LEFT JOIN rules r ON o.venue = r.venue AND o.kind = r.kind),
+judged AS (SELECT *, CASE WHEN lot IS NULL THEN 'class' WHEN CAST(quantity AS BIGINT) % lot <> 0 AND NOT (side = 'sell' AND quantity = held) THEN 'board lot' WHEN day IS NULL THEN 'no quote' WHEN date - day > 7 THEN 'stale quote' WHEN abs(close / nullif(before, 0) - 1) >= lim THEN 'limit move' END AS reason,
+  floor(floor(coalesce(CASE WHEN day < date THEN volume ELSE prior END, 0) * 0.05) / coalesce(lot, 1)) * coalesce(lot, 1) AS cap FROM joined),
+summed AS (SELECT *, CASE WHEN reason IS NULL THEN quantity ELSE 0 END AS asked, sum(CASE WHEN reason IS NULL THEN quantity ELSE 0 END) OVER (PARTITION BY symbol, date ORDER BY seq) AS upto FROM judged),
+filled AS (SELECT *, CASE WHEN reason IS NULL THEN least(upto, cap) - least(upto - asked, cap) ELSE 0 END AS filled FROM summed)"""
+
+
+@query(sql(_CHECKS, "SELECT venue, kind, coalesce(reason, CASE WHEN filled <= 0 THEN 'volume cap' ELSE 'ok' END) AS reason, count(*) AS n, sum(filled) AS filled FROM filled GROUP BY 1, 2, 3"))
+def order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills read as orders at two venues with classes, lots and limits of their own; bars of some months are missing, so
+    quotes grow stale."""
+    whole = F.col("quantity").cast("long")
+    orders = fills(spark, sf_dir).select(
+        F.col("instrument").alias("symbol"), "date", "at", "quantity", F.when(F.col("industry") % 2 == 0, "us").otherwise("cn").alias("venue"), F.when(whole % 10 == 3, "option").otherwise("equity").alias("kind"),
+        F.when(whole % 3 == 0, "sell").otherwise("buy").alias("side"), F.lit(21.0).alias("held"),
+    )
+    rules = spark.createDataFrame([("us", "equity", 1, None), ("us", "option", 1, None), ("cn", "equity", 5, 0.195)], "venue string, kind string, lot int, limit double")
+    quotes = bars(spark, sf_dir).where("month(date) % 5 <> 0").withColumnRenamed("instrument", "symbol")
+    return K.order_checks(orders, quotes, rules, share=0.05).groupBy("venue", "kind", "reason").agg(F.count("*").alias("n"), F.sum("filled").alias("filled"))
+
+
 @query(sql(_DUAL.replace("w AS (SELECT date, instrument, 0.9 *", "w AS (SELECT date, instrument, 1.0 *") + ", q AS (SELECT date, instrument, 'dual_mom' AS mode, weight FROM w UNION ALL SELECT date, instrument, 'equal', 1.0 / count(*) OVER (PARTITION BY date) FROM v UNION ALL SELECT date, instrument, 'inv_vol', inv / nullif(sum(inv) OVER (PARTITION BY date), 0) FROM v), z AS (SELECT date, instrument, mode, CASE WHEN month(date) <> 5 THEN 0.9 * weight ELSE 0.0 END AS weight FROM q)",
     f"SELECT date, instrument, mode, {shown_sql('weight')} FROM z"))
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

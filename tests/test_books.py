@@ -121,3 +121,30 @@ def test_marks_are_stale_without_volume_or_today(spark):
     bars = spark.createDataFrame([("x", day, 2.0, 5.0), ("y", day, 2.0, 0.0), ("z", dt.date(2024, 1, 4), 3.0, 5.0), ("x", dt.date(2024, 1, 8), 9.0, 1.0)], "symbol string, date date, close double, volume double")
     held = spark.createDataFrame([("a", s, 10) for s in "xyzu"], "book string, symbol string, quantity long")
     assert {x.symbol: (x.value, x.stale) for x in K.marked_positions(held, bars, F.lit(day)).collect()} == {"x": (20.0, False), "y": (20.0, True), "z": (30.0, True), "u": (None, True)}
+
+
+def test_order_checks_one_by_one(spark):
+    D = "2024-01-"
+    bars = spark.createDataFrame([("a", D + "02", 10.0, 1000.0), ("a", D + "03", 10.5, 2000.0), ("a", D + "04", 12.6, 500.0), ("b", D + "02", 1.0, 1e6)], "symbol string, date string, close double, volume double").withColumn("date", F.to_date("date"))
+    rules = spark.createDataFrame([("cn", "equity", 5, 0.195), ("us", "equity", 1, None)], "venue string, kind string, lot int, limit double")
+    rows = [
+        (1, "us", "a", "option", D + "03", "buy", 1.0, 0.0), (2, "cn", "a", "equity", D + "03", "buy", 7.0, 0.0), (3, "cn", "a", "equity", D + "03", "sell", 7.0, 7.0), (4, "cn", "a", "equity", D + "01", "buy", 5.0, 0.0),
+        (5, "us", "b", "equity", D + "10", "buy", 5.0, 0.0), (6, "us", "b", "equity", D + "09", "buy", 5.0, 0.0), (7, "cn", "a", "equity", D + "04", "buy", 5.0, 0.0), (8, "us", "a", "equity", D + "04", "buy", 15.0, None),
+        (9, "us", "a", "equity", D + "04", "buy", 15.0, 0.0), (10, "us", "a", "equity", D + "04", "buy", 15.0, 0.0), (11, "us", "a", "equity", D + "05", "buy", 15.0, 0.0), (12, "us", "zz", "equity", D + "05", "buy", 1.0, 0.0),
+    ]
+    orders = spark.createDataFrame(rows, "at int, venue string, symbol string, kind string, date string, side string, quantity double, held double").withColumn("date", F.to_date("date"))
+    got = {x["at"]: (x.reason, x.filled) for x in K.order_checks(orders, bars, rules).collect()}
+    assert got == {
+        1: ("class", 0), 2: ("board lot", 0), 3: ("ok", 7), 4: ("no quote", 0), 5: ("stale quote", 0), 6: ("ok", 5), 7: ("limit move", 0), 8: ("ok", 15),
+        9: ("ok", 5), 10: ("volume cap", 0), 11: ("ok", 5), 12: ("no quote", 0),
+    }
+
+
+def test_standard_expiries(spark):
+    from marketspark.operators import options
+
+    days = ["2024-01-05", "2024-02-16", "2024-03-15", "2024-06-21", "2024-09-20"]
+    row = spark.createDataFrame([(days, "2024-01-01")], "e array<string>, d string").select(F.transform("e", lambda x: F.to_date(x)).alias("e"), F.to_date("d").alias("d"))
+    pick = lambda *a: str(row.select(options.standard_expiry(F.col("e"), F.col("d"), *a)).first()[0])
+    assert pick() == "2024-02-16" and pick(21, 90, True) == "2024-03-15"
+    assert pick(100, 120) == "2024-06-21" and pick(100, 120, True) == "2024-09-20" and pick(300) == "None"
