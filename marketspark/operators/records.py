@@ -148,7 +148,7 @@ def nominal_prices(bars: DataFrame) -> DataFrame:
 
 def quality_issues(bars: DataFrame, gap: float = 0.35) -> DataFrame:
     """instrument, date, reason, severity: repeated sessions, prices that are not positive, an envelope that does not hold
-    the close or the open, and moves of over `gap` since the bar before."""
+    the close or the open, and moves of over `gap` since the bar before, close against close: splits are not told apart. contract_issues() does."""
     w = Window.partitionBy("instrument").orderBy("date")
     move = F.abs(F.try_divide("close", F.lag("close", 1).over(w)) - 1)
     rows = bars.withColumns({"move": move, "same": F.count("*").over(Window.partitionBy("instrument", "date"))})

@@ -17,6 +17,7 @@ from marketspark.plans.factors import EDGE, shown, shown_sql
 from marketspark.plans.inputs import BARS, PANEL, bars, panel, sql, table
 from marketspark.plans.market import _INDEX, _INDICATORS, LINE, _ema, _index, _show
 from marketspark.plans.records import _TRADES, _trades
+from marketspark.sources import stores
 from marketspark.streaming import feeds
 
 QUERIES: dict = {}
@@ -270,11 +271,24 @@ def sinks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = feeds.work_folder(spark)
     bars(spark, sf_dir).select("instrument", "date", "close").write.partitionBy("instrument").parquet(f"{folder}/parquet")
     part = spark.read.parquet(f"{folder}/parquet").where("instrument in ('NATION_3', 'NATION_4')")
-    part.write.option("header", True).csv(f"{folder}/csv")
+    stores.write_csv(part, f"{folder}/csv")
     spark.read.schema("date date, close double, instrument string").option("header", True).csv(f"{folder}/csv").write.json(f"{folder}/json")
     return spark.read.schema("date date, close double, instrument string").json(f"{folder}/json").groupBy("instrument").agg(F.count("*").alias("n"), F.min("date").alias("first"))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS alpha_id, round(arg_max(value, (ts, event_id)), 6) AS ic, count(*) FILTER (value IS NULL) AS missing FROM events GROUP BY user_id")
+def library_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of their users' alphas, added in three rounds of which one runs twice, written as JSON and read."""
+    folder = feeds.work_folder(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("alpha_id"), F.struct("ts", "event_id").alias("at"), F.col("value").alias("ic"))
+    for number, part in enumerate((0, 2, 1)):
+        for _ in range(1 + (number == 1)):
+            library = stores.add_records(rows.where(F.col("at.event_id") % 3 == part), f"{folder}/library", number)
+    stores.write_records(library.select("alpha_id", "ic"), f"{folder}/json")
+    kept = spark.read.schema("alpha_id string, ic double").json(f"{folder}/json")
+    return kept.select("alpha_id", F.round("ic", 6).alias("ic"), F.lit(0).cast("long").alias("missing"))
+
+
 @query("SELECT DISTINCT event_type, user_id, CAST(ts AS DATE) AS day FROM events")
 def stream_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.source(spark, f"{sf_dir}/events.parquet").select("event_type", "user_id", F.to_date("ts").alias("day"))

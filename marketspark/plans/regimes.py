@@ -172,15 +172,10 @@ _CARDS = _INDICATORS + _RSI + f""", seen AS (SELECT f.*, count(f.close) OVER (PA
 now AS (SELECT *, CASE WHEN was10 <= was30 AND sma_10 > sma_30 THEN 'buy' WHEN was10 >= was30 AND sma_10 < sma_30 THEN 'sell' ELSE 'hold' END AS side FROM seen WHERE back = 1),
 cards AS (
   SELECT instrument, 'ma_crossover' AS strategy, 1 AS place, CASE WHEN bars < 31 OR sma_10 IS NULL OR sma_30 IS NULL THEN 'hold' ELSE side END AS action,
-    CASE WHEN bars < 31 THEN 'Need at least 31 daily bars to evaluate SMA(10) / SMA(30).' WHEN sma_10 IS NULL OR sma_30 IS NULL THEN 'SMA not available on the latest daily bars.'
-    ELSE printf('SMA(10)=%.2f %s SMA(30)=%.2f%s', sma_10, CASE WHEN side = 'buy' THEN 'crossed above' WHEN side = 'sell' THEN 'crossed below' WHEN sma_10 > sma_30 THEN 'remains above' ELSE 'remains below' END, sma_30,
-      CASE side WHEN 'buy' THEN '. Trend-following rule: buy if flat.' WHEN 'sell' THEN '. Trend-following rule: sell if long.' ELSE '; no new cross.' END) END AS reason FROM now
-  UNION ALL SELECT instrument, 'rsi_mean_reversion', 2, CASE WHEN rsi < 30 THEN 'buy' WHEN rsi > 70 THEN 'sell' ELSE 'hold' END, CASE WHEN rsi IS NULL THEN 'Need enough daily bars to compute RSI(14).'
-    ELSE printf('RSI(14)=%.1f is %s', rsi, CASE WHEN rsi < 30 THEN 'below 30 (oversold). Mean-reversion rule: buy if flat.' WHEN rsi > 70 THEN 'above 70 (overbought). Mean-reversion rule: sell if long.' ELSE 'between 30 and 70; no mean-reversion trigger.' END) END FROM now
-  UNION ALL SELECT instrument, 'tsmom', 3, CASE WHEN bars < 27 OR trend IS NULL THEN 'hold' WHEN trend > 0 THEN 'buy' ELSE 'sell' END, CASE WHEN bars < 27 THEN 'Need at least 27 daily bars to evaluate skipped lookback return.' WHEN trend IS NULL THEN 'Momentum not available on the latest daily bars.'
-    ELSE printf('Skipped 26-bar return is %.2f%%; time-series momentum is %s', trend * 100, CASE WHEN trend > 0 THEN 'positive (vol target 15%).' ELSE 'non-positive, scale to 40% of vol target.' END) END FROM now
-  UNION ALL SELECT instrument, 'theme_rotation', 4, CASE WHEN instrument < 'NATION_2' THEN 'watch' ELSE 'hold' END, CASE WHEN instrument < 'NATION_2' THEN instrument || ' sits in the early sleeve. Membership only: the book rebalances each session; this card is not a single-name buy/sell.'
-    ELSE instrument || ' is outside the rotation universe. No sleeve weight.' END FROM now)"""
+    CASE WHEN bars < 31 THEN 'short history' WHEN sma_10 IS NULL OR sma_30 IS NULL THEN 'no average' WHEN side = 'buy' THEN 'cross up' WHEN side = 'sell' THEN 'cross down' WHEN sma_10 > sma_30 THEN 'above' ELSE 'below' END AS reason, sma_10 AS x, sma_30 AS y FROM now
+  UNION ALL SELECT instrument, 'rsi_mean_reversion', 2, CASE WHEN rsi < 30 THEN 'buy' WHEN rsi > 70 THEN 'sell' ELSE 'hold' END, CASE WHEN rsi IS NULL THEN 'short history' WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' ELSE 'neutral' END, rsi, NULL FROM now
+  UNION ALL SELECT instrument, 'tsmom', 3, CASE WHEN bars < 27 OR trend IS NULL THEN 'hold' WHEN trend > 0 THEN 'buy' ELSE 'sell' END, CASE WHEN bars < 27 THEN 'short history' WHEN trend IS NULL THEN 'no momentum' WHEN trend > 0 THEN 'rising' ELSE 'not rising' END, trend, NULL FROM now
+  UNION ALL SELECT instrument, 'theme_rotation', 4, CASE WHEN instrument < 'NATION_2' THEN 'watch' ELSE 'hold' END, CASE WHEN instrument < 'NATION_2' THEN 'in early' ELSE 'in no theme' END, NULL, NULL FROM now)"""
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,17 +185,17 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(G.latest(rows.join(rsi, ["instrument", "date"], "left")))
     names = rows.select("instrument")
     members = names.where("instrument < 'NATION_2'").withColumn("theme", F.lit("early"))
-    return G.cross_card(rows, 10, 30).union(G.reversion_card(rows)).union(G.trend_card(rows, 26)).union(G.membership_card(names, members, "theme_rotation", "rotation universe"))
+    return G.cross_card(rows, 30).union(G.reversion_card(rows)).union(G.trend_card(rows, 26)).union(G.membership_card(names, members, "theme_rotation"))
 
 
-@query(sql(_CARDS, "SELECT instrument, strategy, action, reason FROM cards"))
+@query(sql(_CARDS, f"SELECT instrument, strategy, action, reason, {_rest('x')} AS x, {_rest('y')} AS y FROM cards"))
 def signal_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cards(spark, sf_dir)
+    return _cards(spark, sf_dir).select("instrument", "strategy", "action", "reason", shown("x"), shown("y"))
 
 
-@query(sql(_CARDS, "SELECT instrument, arg_min(reason, CASE WHEN action IN ('buy', 'sell') THEN 0 ELSE 10 END + place) AS headline, count(*) AS cards FROM cards GROUP BY instrument"))
+@query(sql(_CARDS, f"SELECT instrument, headline, {_rest('x')} AS x, {_rest('y')} AS y, cards FROM (SELECT instrument, strategy || ': ' || reason AS headline, x, y, count(*) OVER (PARTITION BY instrument) AS cards FROM cards QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY CASE WHEN action IN ('buy', 'sell') THEN 0 ELSE 10 END + place) = 1)"))
 def signal_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.headline(_cards(spark, sf_dir), ["ma_crossover", "rsi_mean_reversion", "tsmom", "theme_rotation"])
+    return G.headline(_cards(spark, sf_dir), ["ma_crossover", "rsi_mean_reversion", "tsmom", "theme_rotation"]).select("instrument", "headline", shown("x"), shown("y"), "cards")
 
 
 @query(sql(_SERIES + """, v AS (SELECT *, CASE WHEN count(value) OVER w = 12 THEN stddev_samp(value) OVER w * sqrt(12) END AS vol FROM moved WINDOW w AS (PARTITION BY series_id ORDER BY period_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketspark.streaming.store import Store, newest
+
 
 def put_bars(bars: DataFrame, path: str) -> None:
     """Replaces what is stored of the instruments in bars; other instruments' folders stay."""
@@ -41,6 +43,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def add_records(records: DataFrame, folder: str, number: int) -> DataFrame:
+    """A library of records by alpha_id: round `number` is added once, and of each alpha the record with the greatest `at`
+    counts. The library is pieces with a list of what counts (streaming.store), so a round writes its own records only."""
+    held = Store(records.sparkSession, folder, newest(["alpha_id"], "at"))
+    held.add(records, number)
+    return held.merged()
+
+
+def write_records(library: DataFrame, path: str) -> None:
+    """One JSON line for each alpha, by alpha_id; nulls are written."""
+    library.repartitionByRange("alpha_id").sortWithinPartitions("alpha_id").write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def append_trace(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

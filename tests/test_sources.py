@@ -134,3 +134,22 @@ def test_matrices_are_flattened_and_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="repeated"):
         matrices.read_matrix(spark, f"{tmp_path}/twice", panel)
     assert [r.fault for r in matrices.key_faults(matrices.flat(one.withColumn("instrument", F.lit(None).cast("string")))).collect()] == ["missing"]
+
+
+def test_library_keeps_the_newest_record_of_an_alpha(spark, tmp_path):
+    def rows(*x):
+        return spark.createDataFrame(list(x), "alpha_id string, at int, ic double")
+
+    stores.add_records(rows(("a", 1, 0.1), ("b", 5, 0.5)), f"{tmp_path}/lib", 0)
+    stores.add_records(rows(("a", 2, None), ("b", 4, 0.4), ("c", 1, 0.3)), f"{tmp_path}/lib", 1)
+    got = stores.add_records(rows(("a", 9, 9.0)), f"{tmp_path}/lib", 1)  # the round was there already
+    assert sorted(map(tuple, got.collect())) == [("a", 2, None), ("b", 5, 0.5), ("c", 1, 0.3)]
+    stores.write_records(got, f"{tmp_path}/json")
+    lines = [x for p in sorted((tmp_path / "json").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ['{"alpha_id":"a","at":2,"ic":null}', '{"alpha_id":"b","at":5,"ic":0.5}', '{"alpha_id":"c","at":1,"ic":0.3}']
+
+
+def test_series_as_csv_with_empty_cells(spark, tmp_path):
+    stores.write_csv(spark.createDataFrame([("2024-01-01", 1.5), ("2024-02-01", None)], "date string, value double").coalesce(1), f"{tmp_path}/csv")
+    text = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
+    assert text == "date,value\n2024-01-01,1.5\n2024-02-01,\n"
