@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from marketspark.operators.desk import failed_rules
 from marketspark.operators.evaluation import daily_rank_ic, rank_label
 from marketspark.operators.model import fit_predict
+from marketspark.operators.lineage import cut
 from marketspark.operators.panel import calendar, line
+from marketspark.operators.portfolio import performance, top_k_grid, top_k_stale
 from marketspark.operators.refits import LEAST_DATES, LEAST_ROWS, linear_fits, predicted
 
 
@@ -200,3 +202,45 @@ def walked(trials: DataFrame, folds: DataFrame, train: int, hold: str = "hold")
     held = stats.where(F.col("test") & (F.col("params") == hold)).select("book", "fold", F.col("sharpe").alias("hold_sharpe"), F.col("max_drawdown").alias("hold_drawdown"))
     regime = F.when(F.col("hold_sharpe") > 0.5, "bull").when(F.col("hold_sharpe") < 0, "bear").otherwise("flat")
     return stats.where("test").drop("test").join(best, ["book", "fold", "params"]).join(held, ["book", "fold"]).withColumn("regime", regime)
+
+
+def window_performance(curves: DataFrame, keys: list[str], ret: str = "net_return") -> DataFrame:
+    """sessions, net_return, sharpe and max_drawdown of each curve, which starts from 1 at its first row."""
+    rows = curves.withColumn("_curve", F.struct(*keys))
+    return performance(rows, "_curve", ret).select("_curve.*", "sessions", "net_return", "sharpe", "max_drawdown")
+
+
+def experiment(panel: DataFrame, scores: list[str], settings: list[tuple[int, int]], horizon: int = 5, buy: float = 0.0015, sell: float = 0.002) -> DataFrame:
+    """One row for each score column of a dense panel: strategy, k, every, sessions, net_return, benchmark_return,
+    max_drawdown, sharpe, good_folds, rank_ic, stale_sessions, stressed_return, reasons.
+
+    The calendar alone gives validation and test sessions (calendar_folds). All settings of all scores are one grid of
+    curves; each score takes the setting that is best on validation (chosen). Its test curve is then judged (gate_reasons)
+    beside the whole universe held evenly, in its folds, at twice the costs, by the rank correlation of the score as it
+    was known with what came `horizon` sessions later, and by the sessions on which something held had no close."""
+    folds = cut(calendar_folds(panel))
+    long = cut(panel.unpivot(["date", "instrument", "close", "volume"], scores, "strategy", "score"))
+    curves, stale = [], []
+    for name in scores:  # a few scores, each with all settings in one grid
+        curves.append(top_k_grid(panel, name, settings, buy, sell).withColumn("strategy", F.lit(name)))
+        stale.append(top_k_stale(panel, name, settings).withColumn("strategy", F.lit(name)))
+    curve = cut(reduce(DataFrame.unionByName, curves).join(reduce(DataFrame.unionByName, stale), ["strategy", "k", "every", "date"]).join(F.broadcast(folds), "date"))  # one row a session
+    keys = ["strategy", "k", "every"]
+    tried = window_performance(curve.where("part = 'valid'"), keys)
+    best = cut(chosen(tried, ["k", "every"], ["strategy"]).select(*keys))
+    test = curve.where("fold is not null").join(F.broadcast(best), keys).withColumn("stressed", F.col("net_return") - F.col("cost"))  # one row a strategy
+    main = window_performance(test, keys)
+    stress = window_performance(test, ["strategy"], "stressed").select("strategy", F.col("net_return").alias("stressed_return"))
+    good = window_performance(test, ["strategy", "fold"]).groupBy("strategy").agg(F.sum((F.col("net_return") > 0).cast("long")).alias("good_folds"))
+    shut = test.groupBy("strategy").agg(F.sum((F.col("stale") > 0).cast("long")).alias("stale_sessions"))
+    held = held_benchmark(panel.join(F.broadcast(folds.where("fold is not null").select("date")), "date").withColumn("book", F.lit("all")), "book")
+    hold = held.agg((F.max_by("equity", "date") / F.min_by("equity", "date") - 1).alias("benchmark_return"))
+    known = Window.partitionBy("strategy", "instrument").orderBy("date")
+    asked = long.select("strategy", "date", F.lag("score", 1).over(known).alias("score"), (F.try_divide(F.lead("close", horizon).over(known), "close") - 1).alias("ahead"))
+    daily = daily_rank_ic(asked.join(F.broadcast(folds.where("fold is not null").select("date")), "date"), ["strategy", "date"], "score", "ahead")
+    ic = daily.groupBy("strategy").agg(F.avg("rank_ic").alias("rank_ic"))
+    rows = main.crossJoin(F.broadcast(hold))  # one row
+    for part in (stress, good, shut, ic):
+        rows = rows.join(part, "strategy", "left")
+    figures = ["sessions", "net_return", "benchmark_return", "max_drawdown", "sharpe", "good_folds", "rank_ic", "stale_sessions", "stressed_return"]
+    return rows.withColumn("reasons", gate_reasons({c: F.col(c) for c in figures})).select(*keys, *figures, "reasons")

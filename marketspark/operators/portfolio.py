@@ -82,29 +82,39 @@ def top_k_curve(panel: DataFrame, score: str, k: int = 5, every: int = 4, buy: f
     return daily.select("date", (F.col("gross") - F.col("cost")).alias("net_return"), "turnover", "cost")
 
 
-def top_k_grid(panel: DataFrame, score: str, settings: list[tuple[int, int]], buy: float = 0.0015, sell: float = 0.002, limit: float = 9.0) -> DataFrame:
-    """top_k_curve() of many settings (k, every) at once: k, every, date, net_return, turnover, cost.
-
-    Names are ranked once; each ranked row is then met by the settings, rows of a list, so the panel is read and sorted
-    once however many they are."""
+def _grid(panel: DataFrame, score: str, settings: list[tuple[int, int]], limit: float) -> DataFrame:
+    """Every name's weight and its change on every session for every setting (k, every)."""
     w = line()
     days = panel.select("date").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("date")) - 1)
     before, after = F.lag("close", 1).over(w), F.lead("close", 1).over(w)
     rows = panel.withColumns({"signal": F.lag(score, 1).over(w), "move": F.abs(F.try_divide("close", before) - 1), "ahead": F.coalesce(F.try_divide(after, "close") - 1, F.lit(0.0))})
     tradable = F.col("close").isNotNull() & (F.col("volume") > 0) & (F.col("move") < limit) & F.col("signal").isNotNull()
     place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc_nulls_last(F.when(tradable, F.round("signal", 9))), "instrument"))
-    ranked = rows.join(F.broadcast(days), "date").select("date", "instrument", "ordinal", "ahead", F.when(tradable, place).alias("place"))  # one row a session
+    ranked = rows.join(F.broadcast(days), "date").select("date", "instrument", "ordinal", "ahead", "close", F.when(tradable, place).alias("place"))  # one row a session
     met = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(every).alias("every")) for k, every in settings]))
-    each = ranked.withColumn("s", met).select("s.*", "date", "instrument", "ordinal", "ahead", "place")
+    each = ranked.withColumn("s", met).select("s.*", "date", "instrument", "ordinal", "ahead", "close", "place")
     own = Window.partitionBy("k", "every", "instrument").orderBy("date")
     target = F.when(F.col("ordinal") % F.col("every") == 0, F.when(F.col("place") <= F.col("k"), 1.0 / F.col("k")).otherwise(0.0))
     each = each.withColumn("target", target).withColumn("weight", F.coalesce(F.last("target", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    each = each.withColumn("change", F.col("weight") - F.coalesce(F.lag("weight", 1).over(own), F.lit(0.0)))
+    return each.withColumn("change", F.col("weight") - F.coalesce(F.lag("weight", 1).over(own), F.lit(0.0)))
+
+
+def top_k_grid(panel: DataFrame, score: str, settings: list[tuple[int, int]], buy: float = 0.0015, sell: float = 0.002, limit: float = 9.0) -> DataFrame:
+    """top_k_curve() of many settings (k, every) at once: k, every, date, net_return, turnover, cost.
+
+    Names are ranked once; each ranked row is then met by the settings, rows of a list, so the panel is read and sorted
+    once however many they are."""
+    each = _grid(panel, score, settings, limit)
     cost = F.when(F.col("change") > 0, F.col("change") * buy).otherwise(-F.col("change") * sell)
     daily = each.groupBy("k", "every", "date").agg(F.sum(F.col("weight") * F.col("ahead")).alias("gross"), F.sum(F.abs("change")).alias("turnover"), F.sum(cost).alias("cost"))
     return daily.select("k", "every", "date", (F.col("gross") - F.col("cost")).alias("net_return"), "turnover", "cost")
 
 
+def top_k_stale(panel: DataFrame, score: str, settings: list[tuple[int, int]], limit: float = 9.0) -> DataFrame:
+    """k, every, date, stale: the names that are held on a session without a close."""
+    return _grid(panel, score, settings, limit).groupBy("k", "every", "date").agg(F.sum(((F.col("weight") != 0) & F.col("close").isNull()).cast("long")).alias("stale"))
+
+
 def performance(curve: DataFrame, by: str, ret: str = "net_return", long: int = LONG) -> DataFrame:
     """Per book: sessions, net_return, sharpe (ddof 0, 252 sessions), max_drawdown from an initial 1. Curves of over `long`
     points are worked on in slices (scan); a return of -1 or less ends in a nav of nothing."""

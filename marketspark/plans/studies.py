@@ -219,3 +219,43 @@ def model_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = cut(X.calendar_folds(rows))
     scored = X.refitted(cut(rows.join(F.broadcast(folds.select("date", "ordinal")), "date")), names, X.fold_plan(folds, 5))  # one row a session
     return E.daily_rank_ic(scored, ["fold", "date"], "prediction", "label").where("rank_ic is not null").select("fold", "date", shown("rank_ic"), F.col("n").cast("long"))
+
+
+_SCORES = {"reversal": "-returns", "momentum_4": "close / nullif(lag(close, 4) OVER (" + LINE + "), 0) - 1", "momentum_13": "close / nullif(lag(close, 13) OVER (" + LINE + "), 0) - 1"}
+_FLOW_GRID = [(3, 4), (5, 8), (8, 4)]
+_FLOW = PANEL + ", " + _FOLDS + ", scores AS (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, date, instrument, close, volume, {f} AS score FROM panel" for n, f in _SCORES.items()) + f"""),
+sig AS (SELECT strategy, s.date, instrument, close, volume, ordinal, lag(score) OVER w AS signal, abs(close / nullif(lag(close) OVER w, 0) - 1) AS move, coalesce(lead(close) OVER w / nullif(close, 0) - 1, 0) AS ahead, lead(close, 5) OVER w / nullif(close, 0) - 1 AS later
+  FROM scores s JOIN days d ON d.date = s.date WINDOW w AS (PARTITION BY strategy, instrument ORDER BY s.date)),
+okd AS (SELECT *, coalesce(close IS NOT NULL AND volume > 0 AND move < 9.0 AND signal IS NOT NULL, false) AS ok FROM sig),
+placed AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY strategy, date ORDER BY CASE WHEN ok THEN round(signal, 9) END DESC NULLS LAST, instrument) END AS place FROM okd),
+met AS (SELECT p.*, k, every, CASE WHEN ordinal % every = 0 THEN CASE WHEN place <= k THEN 1.0 / k ELSE 0.0 END END AS target FROM placed p, (VALUES {', '.join(map(str, _FLOW_GRID))}) g(k, every)),
+weighed AS (SELECT *, coalesce(last_value(target IGNORE NULLS) OVER (PARTITION BY strategy, k, every, instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS weight FROM met),
+moved AS (SELECT *, weight - coalesce(lag(weight) OVER (PARTITION BY strategy, k, every, instrument ORDER BY date), 0) AS change FROM weighed),
+curves AS (SELECT strategy, k, every, m.date, part, fold, sum(weight * ahead) AS gross, sum(CASE WHEN change > 0 THEN change * 0.0015 ELSE -change * 0.002 END) AS cost, sum(CASE WHEN weight <> 0 AND close IS NULL THEN 1 ELSE 0 END) AS stale FROM moved m JOIN folds f ON f.date = m.date GROUP BY ALL),
+runs AS (SELECT strategy, k, every, date, 'valid' AS run, gross - cost AS r FROM curves WHERE part = 'valid' UNION ALL SELECT strategy, k, every, date, 'test', gross - cost FROM curves WHERE fold IS NOT NULL
+  UNION ALL SELECT strategy, k, every, date, 'stress', gross - 2 * cost FROM curves WHERE fold IS NOT NULL UNION ALL SELECT strategy, k, every, date, 'fold' || fold, gross - cost FROM curves WHERE fold IS NOT NULL),
+navs AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, k, every, run ORDER BY date)) AS nav FROM runs),
+peaks AS (SELECT *, greatest(1.0, max(nav) OVER (PARTITION BY strategy, k, every, run ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM navs),
+perf AS (SELECT strategy, k, every, run, count(*) AS sessions, arg_max(nav, date) - 1 AS net_return, avg(r) / nullif(round(stddev_pop(r), 12), 0) * sqrt(252) AS sharpe, min(nav / peak - 1) AS max_drawdown FROM peaks GROUP BY ALL),
+best AS (SELECT strategy, k, every FROM perf WHERE run = 'valid' QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY round(net_return + 0.5 * max_drawdown, 9) DESC, k, every) = 1),
+tested AS (SELECT p.* FROM perf p JOIN best b ON p.strategy = b.strategy AND p.k = b.k AND p.every = b.every),
+h AS (SELECT p.date, first_value(close) OVER (PARTITION BY instrument ORDER BY p.date) AS first, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY p.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM panel p JOIN folds f ON f.date = p.date WHERE fold IS NOT NULL),
+equity AS (SELECT date, 1 + 0.95 * avg(CASE WHEN first IS NOT NULL THEN last / first - 1 ELSE 0 END) AS equity FROM h GROUP BY date),
+pairs AS (SELECT strategy, s.date, signal, later FROM sig s JOIN folds f ON f.date = s.date WHERE fold IS NOT NULL AND signal IS NOT NULL AND later IS NOT NULL),
+ranks AS (SELECT strategy, date, {PCT.format(x='signal', by='strategy, date')} AS px, {PCT.format(x='later', by='strategy, date')} AS py FROM pairs),
+ics AS (SELECT strategy, avg(ic) AS rank_ic FROM (SELECT strategy, date, CASE WHEN count(*) >= 5 AND var_pop(px) > 1e-14 AND var_pop(py) > 1e-14 THEN covar_pop(px, py) / sqrt(var_pop(px) * var_pop(py)) END AS ic FROM ranks GROUP BY strategy, date) GROUP BY strategy),
+stales AS (SELECT c.strategy, count(*) FILTER (stale > 0) AS stale_sessions FROM curves c JOIN best b ON c.strategy = b.strategy AND c.k = b.k AND c.every = b.every WHERE fold IS NOT NULL GROUP BY c.strategy),
+flow AS (SELECT t.strategy, t.k, t.every, t.sessions, t.net_return, (SELECT arg_max(equity, date) / arg_min(equity, date) - 1 FROM equity) AS benchmark_return, t.max_drawdown, t.sharpe, (SELECT count(*) FROM tested f WHERE f.strategy = t.strategy AND f.run LIKE 'fold%' AND f.net_return > 0) AS good_folds,
+  rank_ic, stale_sessions, (SELECT net_return FROM tested x WHERE x.strategy = t.strategy AND x.run = 'stress') AS stressed_return FROM tested t LEFT JOIN ics i ON i.strategy = t.strategy LEFT JOIN stales s ON s.strategy = t.strategy WHERE t.run = 'test')"""
+
+
+@query(sql(_FLOW, f"""SELECT strategy, k, every, sessions, {_show('net_return', 'benchmark_return', 'max_drawdown', 'sharpe')}, good_folds, {_rest('rank_ic')} AS rank_ic, stale_sessions, {_rest('stressed_return')} AS stressed_return,
+  array_to_string(list_filter([CASE WHEN sessions < 126 THEN 'sessions' END, CASE WHEN NOT coalesce(net_return > 0, false) THEN 'return' END, CASE WHEN NOT coalesce(net_return > benchmark_return, false) THEN 'benchmark' END, CASE WHEN NOT coalesce(max_drawdown >= -0.2, false) THEN 'drawdown' END,
+    CASE WHEN NOT coalesce(sharpe >= 0.5, false) THEN 'sharpe' END, CASE WHEN good_folds < 2 THEN 'folds' END, CASE WHEN NOT coalesce(rank_ic > 0, false) THEN 'rank_ic' END, CASE WHEN stale_sessions <> 0 THEN 'stale' END, CASE WHEN NOT coalesce(stressed_return > 0, false) THEN 'stress' END], lambda r: r IS NOT NULL), ',') AS reasons FROM flow"""))
+def experiment_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scores from panel to verdict: portfolio on validation, test curve, benchmark, folds, rank correlation, stress."""
+    w = Window.partitionBy("instrument").orderBy("date")
+    made = {"reversal": -F.col("returns")} | {f"momentum_{n}": F.try_divide("close", F.lag("close", n).over(w)) - 1 for n in (4, 13)}
+    rows = X.experiment(cut(panel(spark, sf_dir).withColumns(made)), [*made], _FLOW_GRID)
+    figures = ("net_return", "benchmark_return", "max_drawdown", "sharpe", "rank_ic", "stressed_return")
+    return rows.select("strategy", "k", "every", "sessions", "good_folds", "stale_sessions", "reasons", *map(shown, figures))

@@ -119,3 +119,23 @@ def test_views_are_computed_before_the_window(spark):
 
 def test_scores_missing_stay_missing(spark):
     assert _one(spark, G.clipped(F.lit(None).cast("double"))) is None and _one(spark, G.clipped(F.lit(9.0))) == 2.0
+
+
+def test_experiment_from_scores_to_verdict(spark):
+    """A score that knows the next return and its negation; a name without closes for a while."""
+    r = np.random.default_rng(11)
+    days = [dt.date(2022, 1, 3) + dt.timedelta(days=i) for i in range(150)]
+    moves = r.normal(0, 0.02, (150, 8))
+    close = 100 * np.cumprod(1 + moves, axis=0)
+    close[135:140, 3] = np.nan
+    # known a session before it is used: the score of a day is the return from the next session to the one after
+    seen = np.vstack([moves[2:], np.zeros((2, 8))])
+    rows = [(d, f"i{k}", None if np.isnan(close[t, k]) else float(close[t, k]), 1.0, float(seen[t, k]), float(-seen[t, k])) for t, d in enumerate(days) for k in range(8)]
+    panel = spark.createDataFrame(rows, "date date, instrument string, close double, volume double, good double, bad double")
+    got = {x.strategy: x for x in X.experiment(panel, ["good", "bad"], [(2, 1), (4, 1), (4, 5)]).collect()}
+    good, bad = got["good"], got["bad"]
+    assert (good.k, good.every) == (2, 1) and good.sessions == 29 == bad.sessions  # one fifth, but for the last
+    assert good.net_return > good.stressed_return > 0 > bad.net_return and good.good_folds == 3 and bad.good_folds == 0
+    assert good.benchmark_return == bad.benchmark_return and good.rank_ic > 0.2 > -0.2 > bad.rank_ic
+    assert good.reasons in ("sessions", "sessions,stale") and (good.reasons == "sessions,stale") == (good.stale_sessions > 0)
+    assert {"sessions", "return", "benchmark", "folds", "rank_ic", "stress"} <= set(bad.reasons.split(","))
