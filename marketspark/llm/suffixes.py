@@ -286,12 +286,15 @@ def _clashing(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for i in range(batch.num_rows):
-                text, rows = memoryview(texts[i].as_buffer()), batch.column("wanted")[i].values.flatten()
-                told = [hashlib.blake2b(text[p : p + m - 1 + LENGTH], digest_size=16).digest() for p, m in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True)]
-                halves = np.frombuffer(b"".join(told), dtype=np.int64).reshape(-1, 2)
-                yield pa.record_batch([*rows[2:], *map(pa.array, halves.T.copy())], names=["ah", "fh", "vh", "d0", "d1"])
+            texts, wanted = batch.column("text").cast(pa.binary()), batch.column("wanted")
+            rows = wanted.flatten().flatten()
+            starts, ends = rows[0].to_numpy(), rows[0].to_numpy() + rows[1].to_numpy() - 1 + LENGTH
+            told, edges = [], np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())].tolist()
+            for i, (first, last) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                text = memoryview(texts[i].as_buffer())
+                told += [hashlib.blake2b(text[p:q], digest_size=16).digest() for p, q in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)]
+            halves = np.frombuffer(b"".join(told), dtype=np.int64).reshape(-1, 2)
+            yield pa.record_batch([*rows[2:], *map(pa.array, halves.T.copy())], names=["ah", "fh", "vh", "d0", "d1"])
 
     told = joined.mapInArrow(run, "ah long, fh long, vh long, d0 long, d1 long")
     ends = told.groupBy("ah", "fh", "vh").agg(*[f(d).alias(f"{d}_{n}") for d in ("d0", "d1") for n, f in (("a", F.min), ("b", F.max))])
