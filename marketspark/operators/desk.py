@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.panel import asof
-from marketspark.operators.scan import LONG, Run, scanned, sliced
+from marketspark.operators.scan import LONG, Run, lengthy, scanned, sliced
 
 
 def rebalance(targets: DataFrame, holdings: DataFrame, equity: float, band: float = 0.05) -> DataFrame:
@@ -73,6 +73,7 @@ def average_cost(trades: DataFrame, long: int = LONG) -> DataFrame:
     slice of a line (scan) gives one step, from running sums of ln(kept) after its last opening, and a line's few steps
     are composed in order."""
     signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    long = lengthy(trades, ["book", "symbol"], long)
     rows = scanned(trades.withColumn("signed", signed), ["book", "symbol"], ["seq"], {"sum": Run("sum", F.col("signed"))}, long)
     rows = rows.withColumns({"after": F.round("sum", 6), "before": F.round(F.col("sum") - F.col("signed"), 6)})
     opens = (F.col("before") == 0) | (F.col("before") * F.col("after") < 0)

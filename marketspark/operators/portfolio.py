@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.panel import line
-from marketspark.operators.scan import LONG, Run, scanned
+from marketspark.operators.scan import LONG, Run, lengthy, scanned
 
 
 def product_over(x: Column, w) -> Column:
@@ -118,6 +118,7 @@ def top_k_stale(panel: DataFrame, score: str, settings: list[tuple[int, int]], l
 def performance(curve: DataFrame, by: str, ret: str = "net_return", long: int = LONG) -> DataFrame:
     """Per book: sessions, net_return, sharpe (ddof 0, 252 sessions), max_drawdown from an initial 1. Curves of over `long`
     points are worked on in slices (scan); a return of -1 or less ends in a nav of nothing."""
+    long = lengthy(curve, [by], long)
     rows = curve.withColumn("_lost", (1 + F.col(ret) <= 0).cast("int"))
     runs = {"_log": Run("sum", F.when(1 + F.col(ret) > 0, F.ln(1 + F.col(ret)))), "_out": Run("max", F.col("_lost"))}
     nav = F.when(F.col("_out") == 1, 0.0).otherwise(F.exp("_log"))

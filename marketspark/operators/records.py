@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.intervals import held_by
-from marketspark.operators.scan import LONG, Run, scanned
+from marketspark.operators.scan import LONG, Run, lengthy, scanned
 
 
 # --- series -------------------------------------------------------------------------------------------------------------
@@ -103,6 +103,7 @@ def fifo_matches(trades: DataFrame, long: int = LONG) -> DataFrame:
     Each buy and each sell ends at a cumulative quantity of its side. All ends of a book's symbol in one order cut the
     quantities into slices; a slice belongs to the buy and to the sell that end next, found from behind. No join of trades
     with trades: the work is linear in the trades, and lines of over `long` trades are worked on in slices (scan)."""
+    long = lengthy(trades, ["book", "symbol"], long)
     ends = scanned(trades.where("quantity > 0"), ["book", "symbol", "side"], ["at"], {"end": Run("sum", F.col("quantity"))}, long)
     trade = F.struct("at", "price")
     rows = scanned(ends, ["book", "symbol"], ["end", "side", "at"], {

@@ -37,14 +37,19 @@ def number(column: Column, kind: DataType) -> Column:
     return column.cast("double") if isinstance(kind, NumericType) else F.lit(None).cast("double")
 
 
-def sliced(rows: DataFrame, by: list[str], order: str, long: int = LONG) -> DataFrame | None:
-    """rows with _slice, which grows with `order` within a key; None if no key has over `long` rows.
+def lengthy(rows: DataFrame, by: list[str], long: int | None) -> int | None:
+    """`long` if any line has more rows, else None: for several scans of the same lines, which then need not count again."""
+    return long if long is not None and not rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > long).isEmpty() else None
+
+
+def sliced(rows: DataFrame, by: list[str], order: str, long: int | None = LONG) -> DataFrame | None:
+    """rows with _slice, which grows with `order` within a key; None if no key has over `long` rows, or for no `long`.
 
     Slices lie between quantiles of the order, told by mergeable sketches of the long lines alone, so nothing gathers a
     line; rows of one moment stay in one slice. Other keys, and rows without a moment, are in slice 0."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > long)
-    if sizes.isEmpty():
+    if lengthy(rows, by, long) is None:
         return None
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > long)
     time = number(F.col(order), rows.schema[order].dataType)
     shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
     bounds = rows.join(sizes.select(*by), by, "left_semi").groupBy(*by).agg(F.percentile_approx(time, shares, 1000).alias("_bounds"))
@@ -63,7 +68,7 @@ def _both(how: str, before: Column, own: Column) -> Column:
     return F.greatest(before, own) if how == "max" else F.coalesce(own, before)
 
 
-def scanned(rows: DataFrame, by: list[str], order: list[str], runs: dict[str, Run], long: int = LONG) -> DataFrame:
+def scanned(rows: DataFrame, by: list[str], order: list[str], runs: dict[str, Run], long: int | None = LONG) -> DataFrame:
     """rows with one more column for each run along the lines of `by` in the order of `order` (ascending, nulls first)."""
     named = rows.withColumns({f"_v_{n}": r.value for n, r in runs.items()})
     cut_up = sliced(named, by, order[0], long)
