@@ -16,23 +16,24 @@ from marketspark.llm.common import cut, mixed, parts, slices, table, words
 #: A word is named by 63 bits of its hash; the highest bit is set, so END and START are no word's name.
 WORD = 63
 END, START = np.uint64(1), np.uint64(2)
-#: Bits of a context's number: exact ones first, classes of rarer ones after them.
-CONTEXT = 24
+#: The number that stands for a context that goes by its name.
+NAMED = (1 << 24) - 1
 INDEXED = 4 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """discount: taken from each word's count for the unknown word; mix: share of the bigram in the mixture; exact: so many
-    most frequent words are contexts of their own, as their exact counts are broadcast (12 bytes each); classes: rarer words
-    share as many contexts, by their hash; together under 2**24. heavy: words
+    """discount: taken from each word's count for the unknown word; mix: share of the bigram in the mixture. Every word is a
+    context of its own with its exact count; exact: as many most frequent ones go by a number and have their counts broadcast
+    (12 bytes each), which only saves bytes: the rest go by name and their counts are joined. classes: if over 0, the rest
+    share as many contexts, by their hash, a coarser model; exact and classes together under 2**24 - 1. heavy: words
     with over 1 / heavy of all tokens are dealt by word and context; tokens: about as many tokens make one shard; step:
     the width of a quantised log10 probability."""
 
     discount: float = 0.5
     mix: float = 0.5
     exact: int = 1 << 20
-    classes: int = 1 << 20
+    classes: int = 0
     heavy: int = 2000
     tokens: int = 2_000_000
     step: float = 1 / 4096
@@ -102,14 +103,15 @@ class Trie:
     the contexts of each word and the quantised smoothed log10 probability of the word after them."""
 
     def __init__(self, names: np.ndarray, counts: np.ndarray, word: np.ndarray, context: np.ndarray, pairs: np.ndarray, after: np.ndarray, total: int, vocabulary: int, s: Settings):
-        """names, counts: sorted known words; word (place in names), context, pairs: sorted bigrams and their counts."""
-        self.s, self.after = s, after
+        """names, counts: sorted known words; word (place in names), context, pairs: sorted bigrams and their counts; after:
+        counts of the contexts by their numbers."""
+        self.s, self.after, self.bits = s, after, _bits(after)
         self.unknown = np.log10(s.discount * vocabulary / total) if total else 0.0
         one = (counts - s.discount) / max(total, 1)
         two = s.mix * pairs / after[context] + (1 - s.mix) * one[word]
         self.names = EliasFano(names, 1 << 64)
         self.pointers = EliasFano(np.searchsorted(word, np.arange(len(names) + 1)).astype(np.uint64), len(word) + 1)
-        self.contexts = EliasFano(word.astype(np.uint64) << np.uint64(CONTEXT) | context.astype(np.uint64), max(1, len(names)) << CONTEXT)
+        self.contexts = EliasFano(word.astype(np.uint64) << np.uint64(self.bits) | context.astype(np.uint64), max(1, len(names)) << self.bits)
         self.ones, self.twos = (_mapped(np.round(-np.log10(x) / s.step).astype(np.uint16)) for x in (one, two))
 
     def score(self, names: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -127,25 +129,37 @@ class Trie:
         out[heard] += np.log10(1 - self.s.mix)
         if len(asked) and self.contexts.n:
             at = word[asked]
-            key = place[at].astype(np.uint64) << np.uint64(CONTEXT) | context[asked].astype(np.uint64)
+            key = place[at].astype(np.uint64) << np.uint64(self.bits) | context[asked].astype(np.uint64)
             found = self.contexts.successor(key, pointers[at], ends[at])
             there = (found < ends[at]) & (self.contexts.get(np.minimum(found, self.contexts.n - 1)) == key)
             out[asked[there]] = -self.s.step * self.twos[found[there]]
         return out
 
 
+def _bits(after: np.ndarray) -> int:
+    return max(1, len(after) - 1).bit_length()
+
+
 class Contexts:
-    """Numbers of contexts: words in the sorted array `exact` have their own, the others share `classes` more."""
+    """Keys of contexts: words in the sorted array `exact` have their place there; the others have their name with the
+    highest bit set or, if classes is over 0, share as many numbers more."""
 
     def __init__(self, exact: np.ndarray, classes: int):
         self.exact, self.classes = exact, classes
 
     def of(self, names: np.ndarray) -> np.ndarray:
-        shared = len(self.exact) + (mixed(names) >> np.uint64(32)).astype(np.int64) % self.classes
+        if self.classes:
+            rest = np.uint64(len(self.exact)) + (mixed(names) >> np.uint64(32)) % np.uint64(self.classes)
+        else:
+            rest = names | np.uint64(1 << WORD)
         if not len(self.exact):
-            return shared.astype(np.uint32)
+            return rest
         place = np.minimum(np.searchsorted(self.exact, names), len(self.exact) - 1)
-        return np.where(self.exact[place] == names, place, shared).astype(np.uint32)
+        return np.where(self.exact[place] == names, place.astype(np.uint64), rest)
+
+
+def _named(keys: np.ndarray) -> np.ndarray:
+    return keys >= np.uint64(1 << WORD)
 
 
 def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +178,7 @@ def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _shard(names: np.ndarray, context: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
-    spread = np.where(np.isin(names, heavy), mixed(names * np.uint64(3) + context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), mixed(names ^ np.uint64(0x5555)))
+    spread = np.where(np.isin(names, heavy), mixed(names * np.uint64(3) + context * np.uint64(0x9E3779B97F4A7C15)), mixed(names ^ np.uint64(0x5555)))
     return (spread >> np.uint64(40)).astype(np.int64) % shards
 
 
@@ -195,26 +209,29 @@ def _floor(counted: DataFrame, total: int, most: int) -> int:
     n, words_ = got.column("n").to_numpy(), got.column("count").to_numpy()
     order = np.argsort(-n)
     fits = np.flatnonzero(np.cumsum(words_[order]) <= most)
-    return int(n[order][fits[-1]]) if len(fits) else total // most + 1
+    return int(n[order][fits[-1]]) if len(fits) else total // max(1, most) + 1
 
 
 def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model is a mixture of a bigram and a discounted unigram over all training words and one unknown word:
-    mix * c(k, w) / c(k) + (1 - mix) * (c(w) - discount) / N, where k is the word before or its class (see Settings); it sums
+    mix * c(k, w) / c(k) + (1 - mix) * (c(w) - discount) / N, where k is the word before, whatever its frequency; it sums
     to one over the known words and the unknown one. Null and empty texts are their end alone. Repeated rows stay,
     other columns are ignored, an empty table gives no rows. If nothing is learned from, all scores are zero.
 
     Every token goes once to the shard that counts its word, together with all texts that hold it; the shard builds its
     part of the trie and answers for its tokens; a text's answers are added up. Very frequent words are dealt by word and
-    context, with their exact counts known beforehand, so no shard grows with one word's share."""
+    context, with their exact counts known beforehand, so no shard grows with one word's share. A shard also gets the counts
+    of those contexts that stand before its words and are not broadcast."""
+    if s.exact + s.classes >= NAMED:
+        raise ValueError("exact and classes together must be under 2**24 - 1")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counted = cut(unigrams(docs))
     total, vocabulary = (int(x or 0) for x in counted.agg(F.sum("n"), F.count("*")).first())
     heavy = counted.where(F.col("n") > total / s.heavy).toArrow()  # under s.heavy rows
-    # as many starts as ends; the most frequent contexts, s.exact of them at most, then the sums of the classes
+    # as many starts as ends; the most frequent contexts, s.exact of them at most, then the sums of the classes, if any
     before = cut(counted.withColumn("word", F.when(F.col("word") == int(END), F.lit(int(START))).otherwise(F.col("word"))))
     often = before.where(F.col("n") >= _floor(before, total, s.exact)).toArrow()
     exact = often.column("word").to_numpy().view(np.uint64)
@@ -227,13 +244,14 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = held.value
         for batch in batches:
-            number, n = contexts.of(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64), batch.column(1).to_numpy()
+            number, n = contexts.of(batch.column(0).to_numpy().view(np.uint64)).view(np.int64), batch.column(1).to_numpy()
             shared = number >= len(contexts.exact)
             at, which = np.unique(number[shared], return_inverse=True)
             yield pa.record_batch([pa.array(at), pa.array(np.bincount(which, n[shared], len(at)).astype(np.int64))], names=["context", "n"])
 
-    got = before.mapInArrow(rarer, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).toArrow()  # s.classes rows at most
-    after[got.column("context").to_numpy()] = got.column("n").to_numpy()
+    if s.classes:
+        got = before.mapInArrow(rarer, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).toArrow()  # s.classes rows at most
+        after[got.column("context").to_numpy()] = got.column("n").to_numpy()
     heavy_names, heavy_counts = heavy.column("word").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
     order = np.argsort(heavy_names)
     shared = spark.sparkContext.broadcast((contexts, after, heavy_names[order], heavy_counts[order]))
@@ -241,6 +259,50 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     names_of = ["shard", "slice", "rows", "learned", "body"]
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which shards need the count of which context that goes by its name."""
+        contexts, _, frequent, _ = shared.value
+        for batch in batches:
+            for _, data, at in slices(batch, "text", INDEXED):
+                names, _, before = _tokens(data, at)
+                keys = contexts.of(before)
+                rest = _named(keys)
+                keys, shard = keys[rest], _shard(names[rest], keys[rest], frequent, shards)
+                order = np.lexsort((shard, keys))
+                keys, shard = keys[order], shard[order]
+                new = np.r_[True, (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])][: len(keys)]
+                yield pa.record_batch([pa.array(keys[new].view(np.int64)), pa.array(shard[new].astype(np.int32))], names=["word", "shard"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counted contexts that go by name, under their keys."""
+        contexts = held.value
+        for batch in batches:
+            keys = contexts.of(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.record_batch([pa.array(keys.view(np.int64)), batch.column(1)], names=["word", "n"]).filter(pa.array(_named(keys)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts for each shard, as rows that stand beside the slices'."""
+        waiting, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            shard, word, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.argsort(shard, kind="stable")
+            shard, word, n = shard[order], word[order], n[order]
+            begins = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            bodies = [[word[i:j].tobytes(), n[i:j].tobytes()] for i, j in zip(begins, np.r_[begins[1:], len(shard)], strict=True)]
+            none = [0] * len(begins)
+            return pa.record_batch([pa.array(shard[begins].astype(np.int64)), pa.array(none), pa.array(none), pa.array([b""] * len(begins)), pa.array(bodies, pa.list_(pa.binary()))], names=names_of)
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(tuple(batch.column(c).to_numpy() for c in range(3)))
+                size += batch.num_rows
+            if size >= 1 << 19:
+                yield done()
+                waiting, size = [], 0
+        if waiting:
+            yield done()
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, _, frequent, _ = shared.value
         for batch in batches:
@@ -263,7 +325,10 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                     i, j = bounds[k], bounds[k + 1]
                     word, uses = np.unique(names[i:j], return_counts=True)
                     times = n[i:j].astype(np.uint32 if n[i:j].max() > 255 else np.uint8)
-                    out.append((int(k), [word.tobytes(), uses.astype(np.uint32).tobytes(), context[i:j].view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), rows[i:j].astype(short).tobytes(), times.tobytes()]))
+                    keys = context[i:j]
+                    rest = _named(keys)
+                    numbers = np.where(rest, np.uint64(NAMED), keys).astype(np.uint32)
+                    out.append((int(k), [word.tobytes(), uses.astype(np.uint32).tobytes(), numbers.view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), rows[i:j].astype(short).tobytes(), times.tobytes(), keys[rest].tobytes()]))
                 ids = part.column("doc_id")
                 # the texts' own row: it goes to any shard, which passes it on
                 out.append((int(number % shards), [tokens.astype(np.int64).tobytes(), ids.fill_null(0).to_numpy().tobytes(), np.packbits(ids.is_valid().to_numpy(zero_copy_only=False)).tobytes()]))
@@ -273,10 +338,13 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, after, frequent, frequent_counts = shared.value
-        names, context, rows, n, learned, heads, at = [], [], [], [], [], [], 0
+        names, context, named, rows, n, learned, heads, counted, at = [], [], [], [], [], [], [], [], 0
         for batch in batches:
             for x in batch.to_pylist():
                 size, body = x["rows"], x["body"]
+                if len(body) == 2:
+                    counted.append((np.frombuffer(body[0], np.uint64), np.frombuffer(body[1], np.int64)))
+                    continue
                 if len(body) == 3:
                     yield pa.record_batch([pa.array([x["slice"]]), pa.array([size]), pa.array([[*body, x["learned"]]], pa.list_(pa.binary()))], names=summed)
                     continue
@@ -287,6 +355,7 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 low[:, :3] = np.frombuffer(body[2], np.uint8).reshape(-1, 3)
                 names.append(np.repeat(word, uses))
                 context.append(low.view(np.uint32).ravel())
+                named.append(np.frombuffer(body[5], np.uint64))
                 row = np.frombuffer(body[3], np.uint16 if size <= 1 << 16 else np.uint32)
                 rows.append(row.astype(np.uint32) + np.uint32(at))
                 n.append(np.frombuffer(body[4], np.uint8 if len(body[4]) == count else np.uint32).astype(np.uint32))
@@ -295,17 +364,27 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 at += size
         if not heads:
             return
-        names, context, rows, n, learned = (np.concatenate(x) for x in (names, context, rows, n, learned))
+        names, context, named, rows, n, learned = (np.concatenate(x) for x in (names, context, named, rows, n, learned))
+        # contexts that go by name get numbers of this shard, after the others
+        own, number = np.unique(named, return_inverse=True)
+        context[context == NAMED] = len(after) + number
+        mine = np.zeros(len(own), dtype=np.int64)
+        if counted:
+            keys, sums = (np.concatenate(x) for x in zip(*counted, strict=True))
+            place = np.searchsorted(own, keys)
+            mine[place] = sums
+        after = np.r_[after, mine.astype(after.dtype)]
+        bits = _bits(after)
         word, inverse = np.unique(names, return_inverse=True)
-        del names
-        pair, which = np.unique(inverse.astype(np.uint64) << np.uint64(CONTEXT) | context, return_inverse=True)
+        del names, named, number, counted
+        pair, which = np.unique(inverse.astype(np.uint64) << np.uint64(bits) | context, return_inverse=True)
         taught = np.where(learned[rows], n, 0)
         pairs = np.bincount(which, taught, len(pair)).astype(np.int64)
         counts = np.bincount(inverse, taught, len(word)).astype(np.int64)
         if len(frequent):
             place = np.minimum(np.searchsorted(frequent, word), len(frequent) - 1)
             counts = np.where(frequent[place] == word, frequent_counts[place], counts)
-        of, k = (pair >> np.uint64(CONTEXT)).astype(np.int64), (pair & np.uint64((1 << CONTEXT) - 1)).astype(np.int64)
+        of, k = (pair >> np.uint64(bits)).astype(np.int64), (pair & np.uint64((1 << bits) - 1)).astype(np.int64)
         known, seen = counts > 0, pairs > 0
         renamed = np.cumsum(known) - 1
         trie = Trie(word[known], counts[known], renamed[of[seen]], k[seen], pairs[seen], after, total, vocabulary, s)
@@ -344,7 +423,10 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             yield done()
 
     numbered = docs.select("doc_id", "text", training().alias("learned"), F.monotonically_increasing_id().alias("id"))
-    dealt = numbered.mapInArrow(deal, "shard long, slice long, rows long, learned binary, body array<binary>").repartitionById(shards, F.col("shard").cast("int"))
+    form = "shard long, slice long, rows long, learned binary, body array<binary>"
+    wanted = docs.select("text").mapInArrow(ask, "word long, shard int")
+    needed = wanted.join(before.mapInArrow(rare, "word long, n long"), "word").select("shard", "word", "n").mapInArrow(packed, form)
+    dealt = numbered.mapInArrow(deal, form).union(needed).repartitionById(shards, F.col("shard").cast("int"))
     partial = dealt.mapInArrow(answer, "slice long, rows long, body array<binary>").repartition(shards, "slice").sortWithinPartitions("slice")
     added = partial.mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * float(np.log10(total + vocabulary + 1.0))

@@ -56,6 +56,17 @@ def test_lm_with_fewer_exact_contexts_than_words(spark):
     assert sum(few.values()) < sum(whole.values())
 
 
+def test_lm_contexts_that_are_not_broadcast_are_exact(spark):
+    """Whatever number of contexts is broadcast, the scores are those of every word as a context of its own."""
+    r = random.Random(12)
+    texts = [" ".join(f"w{int(r.expovariate(0.01))}" for _ in range(r.randint(0, 60))) for _ in range(150)] + [None, "", "unheard words only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {x.doc_id: x.score for x in lm.scores(docs, lm.Settings(tokens=500)).collect()}
+    for s in (lm.Settings(exact=20, tokens=500), lm.Settings(exact=0, heavy=20, tokens=500)):
+        got = {x.doc_id: x.score for x in lm.scores(docs, s).collect()}
+        assert set(got) == set(whole) and all(abs(got[i] - whole[i]) < 1e-9 for i in whole)
+
+
 def test_elias_fano_over_the_whole_range():
     r = np.random.default_rng(5)
     for values in (np.unique(r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)), np.arange(300, dtype=np.uint64), np.array([0, 0, 5, 5, 9], np.uint64)):
