@@ -1,9 +1,10 @@
 """Near copies by wide SimHash fingerprints: an inverted index over byte positions finds pairs, whole shingle sets verify.
 
 Documents of a shingle similarity of 0.8 differ in too many bits for a guarantee of 64-bit fingerprints. These have 512
-bits; the index is keyed by two of the 64 byte positions together, so a pair that meets has the least tally of two
-positional bytes. At a similarity of exactly 0.8 a byte is shared with probability 0.27, and a pair is missed by all 96
-postings about four times in a thousand; over 0.82 hardly ever."""
+bits; the index is keyed by two of the 64 byte positions together. Within a posting each of 32 other positions has an
+inverted list for each of its bytes: members that meet in one reach the tally of three positional bytes, and only they are
+compared bit by bit. At a similarity of exactly 0.8 a byte is shared with probability 0.27, and a pair is missed by all 96
+postings about four times in a thousand, by all lists of one about four times in a hundred thousand; over 0.82 hardly ever."""
 
 from __future__ import annotations
 
@@ -21,13 +22,16 @@ from marketspark.llm.simhash import chosen
 #: Shingles of so many words; two sets are near if their Jaccard similarity is SHARE[0] / SHARE[1] or more.
 SIZE, SHARE = 5, (4, 5)
 #: 64-bit words of a fingerprint, and of its head, which postings carry.
-WORDS, HEAD = 8, 2
+WORDS, HEAD = 8, 4
 #: Two heads of sets that are near differ in no more bits (four standard deviations over the mean at similarity 0.8).
-BITS = 36
+BITS = 64
 #: Keys of the index: each byte position with the next one and with the opposite one.
 PAIRS = [(i, (i + 1) % 64) for i in range(64)] + [(i, i + 32) for i in range(32)]
-#: Clusters of so many members give all their pairs at once.
-SMALL = 8
+#: The byte positions that are the head in each posting: those that follow its own two.
+HEADS = [[p % 64 for p in range(y + 1, y + 65) if p % 64 not in (x, y)][: HEAD * 8] for x, y in PAIRS]
+LONGS = [f"h{k}" for k in range(HEAD)]
+#: Clusters of so many members give all their pairs at once. Of so few members the tally is taken without lists.
+SMALL, FEW = 8, 256
 #: Members that one lead's text is sent along with, members of a chunk of a family; bits of the filter of wanted sets,
 #: which only saves work.
 CHUNK, GRID, FILTER = 256, 1024, 24
@@ -92,7 +96,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """key, node, a, b: for each of PAIRS the two bytes there, with the head of the fingerprint."""
+    """key, node, LONGS: for each of PAIRS the two bytes there, with the bytes at 32 other positions, the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,25 +104,72 @@ def postings(nodes: DataFrame) -> DataFrame:
                 part = batch.slice(i, 2000)
                 fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(-1, WORDS * 8)
                 keys = [np.full(len(fp), k << 16) | fp[:, x].astype(np.int64) << 8 | fp[:, y] for k, (x, y) in enumerate(PAIRS)]
-                head = np.tile(np.ascontiguousarray(fp[:, : HEAD * 8]).view(np.int64), (len(PAIRS), 1))
-                columns = [np.concatenate(keys).astype(np.int32), np.tile(part.column("node").to_numpy(), len(PAIRS)), head[:, 0], head[:, 1]]
-                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", "a", "b"])
-
-    return nodes.select("node", "fp").mapInArrow(run, "key int, node long, a long, b long")
-
-
-def _apart(node: np.ndarray, keys: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """First rows of the postings that need a look: those with more than 64 members or any two near heads."""
+                head = np.concatenate([np.ascontiguousarray(fp[:, other]).view(np.int64) for other in HEADS])
+                columns = [np.concatenate(keys).astype(np.int32), np.tile(part.column("node").to_numpy(), len(PAIRS)), *head.T]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", *LONGS])
+
+    return nodes.select("node", "fp").mapInArrow(run, "key int, node long, " + ", ".join(f"{c} long" for c in LONGS))
+
+
+def _cells(head: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(head).view(np.uint8).reshape(len(head), -1)
+
+
+class Lists:
+    """Inverted lists of heads: for each byte position the members that have each byte there."""
+
+    def __init__(self, head: np.ndarray):
+        self.head, self.cells = head, _cells(head)
+        self._list(np.arange(len(head)))
+
+    def _list(self, members: np.ndarray) -> None:
+        self.members, self.lists = members, None
+        if len(members) > FEW:
+            cells = self.cells[members]
+            self.lists = [members[np.argsort(column, kind="stable")] for column in cells.T]
+            self.begins = [np.r_[0, np.cumsum(np.bincount(column, minlength=256))].tolist() for column in cells.T]
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of others share a byte with member i and have a near head."""
+        out = (self.cells[others] == self.cells[i]).any(axis=1)
+        out[out] = np.bitwise_count(self.head[others[out]] ^ self.head[i]).sum(axis=1) <= BITS
+        return out
+
+    def found(self, i: int, left: np.ndarray) -> np.ndarray:
+        """Members left (a mask) that meet member i in a list and have a near head, in order. Once half of those listed are
+        gone, the lists are made anew."""
+        if self.lists is None:
+            others = self.members[left[self.members]]
+            return others[self.near(i, others)]
+        met = [(order, begins[c], begins[c + 1]) for order, begins, c in zip(self.lists, self.begins, self.cells[i].tolist(), strict=True)]
+        if sum(end - begin for _, begin, end in met) > 8 * len(self.members):  # most share a byte with it
+            others = self.members[left[self.members]]
+            others = others[self.near(i, others)]
+        else:
+            others = np.concatenate([order[begin:end] for order, begin, end in met])
+            others = others[left[others]]
+            others = np.unique(others[np.bitwise_count(self.head[others] ^ self.head[i]).sum(axis=1) <= BITS])
+        return others
+
+    def trim(self, left: np.ndarray, many: int) -> None:
+        if self.lists is not None and 2 * many < len(self.members):
+            self._list(self.members[left[self.members]])
+
+
+def _apart(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """First and last rows of the postings that need a look: those with more than 64 members or any two that reach the
+    tally and have near heads."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    wanted = sizes > 64
+    wanted, cells = sizes > 64, _cells(head)
     of = np.repeat(np.arange(len(starts)), sizes)
     at, far = np.flatnonzero(~wanted[of]), 1
     while len(at):
         at = at[at + far < len(keys)]
         at = at[keys[at] == keys[at + far]]
-        near = np.bitwise_count(head[at] ^ head[at + far]).sum(axis=1) <= BITS
-        wanted[of[at[near]]] = True
+        met = at[(cells[at] == cells[at + far]).any(axis=1)]
+        near = np.bitwise_count(head[met] ^ head[met + far]).sum(axis=1) <= BITS
+        wanted[of[met[near]]] = True
         far += 1
     return np.stack([starts, starts + sizes], axis=1)[wanted]
 
@@ -127,9 +178,10 @@ def _clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Clusters of each posting: the rows of a key stand together."""
     held = None
 
-    def found(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j in _apart(node, key, np.stack([a, b], axis=1).view(np.uint64)).tolist():
-            yield from _clusters(node[i:j], a[i:j], b[i:j])
+    def found(key: np.ndarray, node: np.ndarray, *longs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        head = np.stack(longs, axis=1).view(np.uint64)
+        for i, j in _apart(key, head).tolist():
+            yield from _clusters(node[i:j], head[i:j])
 
     for batch in batches:
         columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
@@ -146,36 +198,35 @@ def _met(lead: np.ndarray, node: np.ndarray, large: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(lead), pa.array(node), pa.array(np.full(len(node), large))], names=["lead", "node", "large"])
 
 
-def _clusters(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Members of one posting whose heads are near, directly or through others, are a cluster. Of up to SMALL members all
-    near pairs are given; of more (large) a star and the links that hold it together.
+def _clusters(node: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Members of one posting that reach the tally and have near heads, directly or through others, are a cluster. Of up to
+    SMALL members all near pairs are given; of more (large) a star and the links that hold it together.
 
     The member nearest to a cluster's majority bits leads: the likeliest original of copies that differ from each other."""
-    head = np.stack([a, b], axis=1).view(np.uint64)
-    waiting = np.arange(len(node))
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(head[others] ^ head[i]).sum(axis=1) <= BITS
-
-    while len(waiting) > 1:
-        cluster, front, tree, waiting = [waiting[0]], [waiting[0]], [waiting[0]], waiting[1:]
-        while front and len(waiting):
+    lists, left, many_left = Lists(head), np.ones(len(node), dtype=bool), len(node)
+    for first in range(len(node)):
+        if not left[first]:
+            continue
+        left[first], many_left = False, many_left - 1
+        cluster, front, tree = [first], [first], [first]
+        while front and many_left:
             at = front.pop()
-            found = near(at, waiting)
-            cluster += waiting[found].tolist()
-            front += waiting[found].tolist()
-            tree += [at] * int(found.sum())
-            waiting = waiting[~found]
+            found = lists.found(at, left)
+            left[found], many_left = False, many_left - len(found)
+            cluster += found.tolist()
+            front += found.tolist()
+            tree += [at] * len(found)
+            lists.trim(left, many_left)
         many = np.array(cluster)
         if 1 < len(many) <= SMALL:
             for i in range(len(many) - 1):
-                others = many[i + 1 :][near(many[i], many[i + 1 :])]
+                others = many[i + 1 :][lists.near(many[i], many[i + 1 :])]
                 yield _met(np.minimum(node[others], node[many[i]]), np.maximum(node[others], node[many[i]]), False)
         elif len(many) > SMALL:
-            bits = np.unpackbits(np.ascontiguousarray(head[many]).view(np.uint8).reshape(len(many), -1), axis=1)
+            bits = np.unpackbits(lists.cells[many], axis=1)
             middle = np.packbits(bits.sum(axis=0) * 2 > len(many)).view(np.uint64)
             lead = many[int(np.bitwise_count(head[many] ^ middle).sum(axis=1).argmin())]
-            one = np.where(near(lead, many), lead, np.array(tree))
+            one = np.where(lists.near(lead, many), lead, np.array(tree))
             yield _met(node[one], node[many], True)
 
 
@@ -234,8 +285,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what is near among members(node, family, root, a, b: the head) of the same family and of
-    different roots: every two sets whose heads are near are compared as a whole.
+    """Links (a, b) that connect what is near among members(node, family, root, LONGS: a head) of the same family and of
+    different roots: every two sets that meet in a list of their cell and whose heads are near are compared as a whole.
 
     A family's members are dealt to chunks of about GRID, and each two chunks meet in one task: no task holds a family, and
     only links leave it, at most one for each two roots there."""
@@ -244,7 +295,7 @@ def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     each = _texts(docs, members.select("node")).join(members.join(sizes, "family"), "node").withColumn("own", own)
     cells = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("side"), "node", "root", "a", "b", "text"
+        "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("side"), "node", "root", *LONGS, "text"
     )
     dealt = cells.repartition(parts(docs.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "side", "node")
 
@@ -257,11 +308,13 @@ def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
                 r = group[r]
             return r
 
-        left = range(len(node)) if same else np.flatnonzero(~side).tolist()
+        lists, there = Lists(head), np.ones(len(node), dtype=bool) if same else side.copy()
         out: list[tuple[int, int]] = []
-        for i in left:
-            others = np.arange(i + 1, len(node)) if same else np.flatnonzero(side)
-            others = others[(root[others] != root[i]) & (np.bitwise_count(head[others] ^ head[i]).sum(axis=1) <= BITS)]
+        for i in range(len(node)) if same else np.flatnonzero(~side).tolist():
+            if same:
+                there[i] = False  # each two once
+            others = lists.found(i, there)
+            others = others[root[others] != root[i]]
             mine = sets[i]
             for j in others.tolist():
                 n, m = len(mine), len(sets[j])
@@ -278,8 +331,8 @@ def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
         now, rows, sets = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            node, root, a, b, side = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield from links(node, root, np.stack([a, b], axis=1).view(np.uint64), side, sets, now[1] == now[2])
+            node, root, side, *longs = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield from links(node, root, np.stack(longs, axis=1).view(np.uint64), side, sets, now[1] == now[2])
 
         for batch in batches:
             for part, data, at in slices(batch, "text"):
@@ -292,7 +345,7 @@ def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
                         if rows:
                             yield from done()
                         now, rows, sets = tuple(cell[:, i].tolist()), [], []
-                    rows.append(tuple(part.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in ("node", "root", "a", "b", "side")))
+                    rows.append(tuple(part.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in ("node", "root", "side", *LONGS)))
                     sets += [hashes[first[k] : first[k + 1]] for k in range(i, j)]
         if rows:
             yield from done()
@@ -303,7 +356,7 @@ def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
 def roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of all sets that near pairs connect to a lesser one.
 
-    A posting gives stars of its large clusters, so a large group of near copies never gives its pairs; what the stars
+    All candidates come from the index: postings, then the lists within each. A posting gives stars of its large clusters, so a large group of near copies never gives its pairs; what the stars
     connect needs no more comparing. Where that leaves a large cluster apart, the family of sets around it is compared
     chunk by chunk."""
     spark = docs.sparkSession
@@ -316,8 +369,8 @@ def roots(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = family.union(family.select("root", "root").distinct()).toDF("node", "family")
     known = inside.join(linked, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
     apart = known.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("family")
-    heads = nodes.select("node", F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("a"), F.conv(F.hex(F.substring("fp", 9, 8)), 16, -10).cast("long").alias("b"))
-    members = cut(known.join(apart, "family").join(heads, "node").select("node", "family", "root", "a", "b"))
+    heads = nodes.select("node", *[F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long").alias(c) for k, c in enumerate(LONGS)])
+    members = cut(known.join(apart, "family").join(heads, "node").select("node", "family", "root", *LONGS))
     return components(stars.union(compared(docs, members)))
 
 
