@@ -12,7 +12,7 @@ from marketspark.operators import news as N
 from marketspark.operators import options as X
 from marketspark.operators import panel as P
 from marketspark.operators import portfolio as R
-from marketspark.operators.intervals import held_by
+from marketspark.operators.intervals import held_totals
 from marketspark.plans.desk import _DATED, _DUAL, _dated
 from marketspark.plans.factors import shown, shown_sql
 from marketspark.plans.inputs import BARS, PANEL, bars, fills, panel, sql, table
@@ -162,13 +162,14 @@ _PERIODS = "periods AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'us' WHEN 1 THEN '
 @query("WITH " + _PERIODS + f""", o AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'hk' ELSE 'cn' END AS venue, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS amount FROM lineitem)
 SELECT venue, id, count(*) AS n, {_rest('sum(amount * rate)')} AS fees FROM (SELECT o.venue, id, amount, rate FROM o JOIN periods p ON o.venue = p.venue AND day BETWEEN valid_from AND valid_to) GROUP BY venue, id""")
 def fees_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as orders under surcharges that each hold for a time; periods overlap and leave gaps."""
+    """Line items as orders under surcharges that each hold for a time; periods overlap and leave gaps. A period's rate is one,
+    so it is taken of what the period holds in all, and no order meets a period."""
     venue = lambda x: F.element_at(F.array(F.lit("us"), F.lit("hk"), F.lit("cn")), (x % 3 + 1).cast("int")).alias("venue")
     start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("s_suppkey") * 37 % 2500).cast("int"))
     periods = table(spark, sf_dir, "supplier").select(venue(F.col("s_suppkey")), F.col("s_suppkey").alias("id"), start.alias("valid_from"), F.date_add(start, (F.col("s_suppkey") % 97).cast("int")).alias("valid_to"), (F.col("s_suppkey") % 7 / 10000.0).alias("rate"))
     orders = table(spark, sf_dir, "lineitem").select(venue(F.col("l_linenumber")), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("amount"))
-    met = held_by(orders, periods, "day", "valid_from", "valid_to", ["venue"])
-    return met.groupBy("venue", "id").agg(F.count("*").alias("n"), F.sum(F.col("amount") * F.col("rate")).alias("fees")).select("venue", "id", "n", shown("fees"))
+    met = held_totals(orders, periods, "day", "valid_from", "valid_to", ["venue"], ["amount"])
+    return met.groupBy("venue", "id").agg(F.sum("n").alias("n"), F.sum(F.col("amount") * F.col("rate")).alias("fees")).select("venue", "id", "n", shown("fees"))
 
 
 _SIDES = """a AS (SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS day, l_returnflag AS flag FROM lineitem WHERE l_linenumber < 4 UNION ALL SELECT l_suppkey, CAST(l_shipdate AS DATE), l_returnflag FROM lineitem WHERE l_orderkey % 50 = 0),

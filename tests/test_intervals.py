@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketspark.operators import panel as P
 from marketspark.operators import portfolio as R
 from marketspark.operators import records as C
-from marketspark.operators.intervals import held_by
+from marketspark.operators.intervals import held_by, held_totals
 
 
 def test_spans_of_all_lengths_equal_a_plain_join(spark):
@@ -25,6 +25,36 @@ def test_spans_of_all_lengths_equal_a_plain_join(spark):
     assert held_by(a, b.limit(0), "at", "lo", "hi", ["k"]).count() == 0 == held_by(a.select("p", "at"), b.limit(0).drop("k"), "at", "lo", "hi").count()
 
 
+def test_totals_of_spans_equal_a_plain_join(spark):
+    r = random.Random(2)
+    spans = [(i, r.choice("ab"), s, s + r.choice([0, 1, 2, 3, 7, 60, 63, 64, 900, -1])) for i in range(400) for s in (r.randrange(-50, 1000),)] + [(900, "a", None, 5), (901, "a", 5, None), (902, None, 1, 9), (0, "a", 3, 3), (0, "a", 3, 3), (903, "b", 5000, 6000)]
+    points = [(i, r.choice("ab"), r.randrange(-60, 1100), r.choice([None, 1.0, 2.5, 1e9])) for i in range(900)] + [(500, "a", None, 1.0), (501, None, 5, 1.0), (3, "b", 7, 2.0), (3, "b", 7, 2.0), (4, "a", 2000, None)]
+    spans.append((904, "a", 2000, 2001))
+    a = spark.createDataFrame(points, "p int, k string, at int, x double").repartition(3)
+    b = spark.createDataFrame(spans, "s int, k string, lo int, hi int").repartition(3)
+    day = lambda c: F.date_add(F.lit("1970-02-01").cast("date"), F.col(c)).alias(c)
+    want = {}
+    for s, j, lo, hi in spans:
+        for _, k, at, x in points:
+            if k is not None and k == j and None not in (at, lo, hi) and lo <= at <= hi:
+                n, total = want.get(s, (0, None))
+                want[s] = n + 1, total if x is None else (total or 0.0) + x
+    for p, q in ((a, b), (a.select("p", "k", day("at"), "x"), b.select("s", "k", day("lo"), day("hi"))), (a.withColumn("at", F.timestamp_seconds("at")), b.withColumns({c: F.timestamp_seconds(c) for c in ("lo", "hi")}))):
+        got = held_totals(p, q, "at", "lo", "hi", ["k"], ["x"]).groupBy("s").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+        assert {x.s: (x.n, x.x) for x in got} == want and len(want) > 250 and want[904] == (1, None)
+    assert held_totals(a, b.limit(0), "at", "lo", "hi", ["k"]).count() == 0 == held_totals(a.limit(0), b, "at", "lo", "hi", ["k"]).count()
+    with pytest.raises(TypeError):
+        held_totals(a, b, "x", "lo", "hi", ["k"])
+
+
+def test_totals_do_not_pair_points_with_spans(spark):
+    # 400,000 orders of forty days under 20,000 surcharges of all of them: 8,000,000,000 pairs
+    points = spark.range(400_000).select((F.col("id") % 40).alias("at"), F.lit(1.5).alias("x"))
+    spans = spark.range(20_000).select("id", (F.col("id") % 3 - 5).alias("lo"), (F.col("id") % 5 + 40).alias("hi"))
+    got = held_totals(points, spans, "at", "lo", "hi", sums=["x"]).groupBy("id").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.count("*").alias("pieces"))
+    assert got.groupBy("n", "x").count().collect() == [(400_000, 600_000.0, 20_000)] and got.agg(F.max("pieces")).first()[0] <= 12
+
+
 def test_a_hundred_thousand_regimes_without_a_nested_loop(spark):
     regimes = spark.range(100_000).select(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 9000).cast("int")).alias("start"), F.lit(1).alias("one"), "id")
     regimes = regimes.withColumn("end", F.date_add("start", (F.col("id") % 13).cast("int"))).withColumn("scores", F.create_map(F.concat(F.lit("t"), F.col("id").cast("string")), F.lit(1)))
