@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.operators.lineage import cut
 from marketspark.operators.panel import asof
 from marketspark.operators.scan import LONG, Run, lengthy, scanned, sliced
 
@@ -192,17 +193,27 @@ def closed_sessions(bars: DataFrame, now: Column, zone: str, close_hour: int) ->
     return bars.where(F.col("date") <= F.date_sub(F.to_date(local), F.when(over, 0).otherwise(1)))
 
 
+def daily_moves(trades: DataFrame) -> DataFrame:
+    """trades(book, day, symbol, side, quantity, price, fee) added up: book, symbol, day, moved, flow, fees, fills."""
+    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
+    return trades.groupBy("book", "symbol", "day").agg(F.sum(signed).alias("moved"), F.sum(-signed * F.col("price") - F.col("fee")).alias("flow"), F.sum("fee").alias("fees"), F.count("*").alias("fills"))
+
+
 def reconciled(days: DataFrame, trades: DataFrame, initial: Column, tolerance: float = 1e-6) -> DataFrame:
     """Differences between a stored ledger and its trades: book, day, field, stored, computed; none if all is right.
 
     days(book, day, cash, fees, fills, positions map<symbol, quantity>, closes map<symbol, close>, equity, drawdown),
     trades(book, day, symbol, side, quantity, price, fee). Cash, holdings, fees, fills, equity and drawdown from the running
-    peak are computed anew; a day that one side lacks differs in `fills`."""
-    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
-    flows = trades.groupBy("book", "day").agg(F.sum(-signed * F.col("price") - F.col("fee")).alias("flow"), F.sum("fee").alias("c_fees"), F.count("*").alias("c_fills"))
+    peak are computed anew; a day that one side lacks differs in `fills`. Trades are added up once, to what a book moved of
+    a symbol on a day; these rows are stored, for several steps read them."""
+    return reconciled_moves(days, cut(daily_moves(trades)), initial, tolerance)
+
+
+def reconciled_moves(days: DataFrame, moves: DataFrame, initial: Column, tolerance: float = 1e-6) -> DataFrame:
+    """reconciled() for trades that daily_moves() has added up."""
+    flows = moves.groupBy("book", "day").agg(F.sum("flow").alias("flow"), F.sum("fees").alias("c_fees"), F.sum("fills").alias("c_fills"))
     w = Window.partitionBy("book").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     both = days.join(flows, ["book", "day"], "full").withColumn("c_cash", initial + F.sum(F.coalesce("flow", F.lit(0.0))).over(w))
-    moves = trades.groupBy("book", "symbol", "day").agg(F.sum(signed).alias("moved"))
     held = Window.partitionBy("book", "symbol").orderBy("day")
     since = moves.withColumn("holding", F.sum("moved").over(held.rowsBetween(Window.unboundedPreceding, 0)))
     # what is stored of each day's symbols beside the latest holding up to that day

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketspark.operators import desk as K
 from marketspark.operators import records as C
+from marketspark.operators.lineage import cut
 from marketspark.plans.desk import _DATED, _dated
 from marketspark.plans.factors import shown, shown_sql
 from marketspark.plans.inputs import BARS, bars, sql, table
@@ -167,18 +168,17 @@ flow AS (SELECT book, date AS day, sum(-signed * price - fee) AS flow, sum(fee)
 def ledger_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily ledger of two symbols with a wrong cash from June 1998 and wrong fees on one day, against its trades."""
     t = _dated(spark, sf_dir).where("symbol in ('Brand#11', 'Brand#23')").withColumn("day", F.col("date"))
-    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
-    flows = t.groupBy("book", "day").agg(F.sum(-signed * F.col("price") - F.col("fee")).alias("flow"), F.sum("fee").alias("fees"), F.count("*").alias("fills"))
+    moves = cut(K.daily_moves(t))  # one row a book, symbol and day; trades are not read again
+    flows = moves.groupBy("book", "day").agg(F.sum("flow").alias("flow"), F.sum("fees").alias("fees"), F.sum("fills").alias("fills"))
     w = Window.partitionBy("book").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     line = Window.partitionBy("book", "symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    moves = t.groupBy("book", "symbol", "day").agg(F.sum(signed).alias("moved"))
     names = moves.select("book", "symbol").distinct()
-    held = flows.select("book", "day").join(names, "book").join(moves, ["book", "symbol", "day"], "left").withColumn("holding", F.coalesce(F.sum("moved").over(line), F.lit(0.0)))
+    held = flows.select("book", "day").join(names, "book").join(moves.select("book", "symbol", "day", "moved"), ["book", "symbol", "day"], "left").withColumn("holding", F.coalesce(F.sum("moved").over(line), F.lit(0.0)))
     stored = held.groupBy("book", "day").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "holding"))).alias("positions"), F.map_from_entries(F.collect_list(F.struct("symbol", F.lit(1000.0)))).alias("closes"), F.sum(F.col("holding") * 1000.0).alias("value"))
     days = flows.join(stored, ["book", "day"]).withColumn("cash", 1e6 + F.sum("flow").over(w)).withColumn("equity", F.col("cash") + F.col("value"))
     days = days.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(1e6), F.max("equity").over(w)) - 1)
     wrong = days.withColumns({"cash": F.when(F.col("day") >= F.lit("1998-06-01").cast("date"), F.col("cash") + 500).otherwise(F.col("cash")), "fees": F.when(F.col("day") == F.lit("1997-01-10").cast("date"), F.col("fees") + 2).otherwise(F.col("fees"))})
-    found = K.reconciled(wrong.select("book", "day", "cash", "fees", "fills", "positions", "closes", "equity", "drawdown"), t, F.lit(1e6), 1e-3)
+    found = K.reconciled_moves(wrong.select("book", "day", "cash", "fees", "fills", "positions", "closes", "equity", "drawdown"), moves, F.lit(1e6), 1e-3)
     return found.select("book", "day", "field", F.round(F.col("stored") - F.col("computed"), 3).alias("difference"))
 
 

@@ -134,12 +134,17 @@ trades AS (
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their brand meet orders with their segment, so lines are shuffled twice, by narrow rows, and once if
+    few brands are asked for."""
     lines, orders, customers, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    side = F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
-    return rows.select(F.col("c_mktsegment").alias("book"), F.col("p_brand").alias("symbol"), side.alias("side"), F.col("l_quantity").alias("quantity"), price.alias("price"),
-        R.fees(side, F.col("l_quantity") * price).alias("fee"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    priced = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
+    lines = lines.select(*keys, F.col("l_quantity").alias("quantity"), priced.alias("price"), F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("sell"))
+    books = orders.select("o_orderkey", "o_custkey").join(customers.select("c_custkey", F.col("c_mktsegment").alias("book")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "book")
+    branded = lines.join(part.select("p_partkey", F.col("p_brand").alias("symbol")), F.col("l_partkey") == F.col("p_partkey"))
+    rows = branded.join(books, F.col("l_orderkey") == F.col("o_orderkey"))
+    side = F.when(F.col("sell"), "sell").otherwise("buy")
+    return rows.select("book", "symbol", side.alias("side"), "quantity", "price", R.fees(side, F.col("quantity") * F.col("price")).alias("fee"), F.struct(*keys).alias("at"))
 
 
 @query(sql(_TRADES, """SELECT book, symbol, sum(signed) AS holding, round(sum(-signed * price - fee) * 1.000000001, 0) AS cash, count(*) AS trades, round(sum(fee), 2) AS fees FROM costs GROUP BY book, symbol"""))

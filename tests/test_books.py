@@ -116,6 +116,23 @@ def test_reconciliation_finds_each_kind_of_fault(spark):
     assert found([tuple(x) for x in wrong]) == [(2, "cash"), (3, "fills"), (3, "position x")]
 
 
+def test_reconciliation_reads_its_trades_once(spark):
+    from marketspark.plans import registry
+
+    found = registry.queries()["ledger_reconciled"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and not [f for f in found.inputFiles() if "lineitem" in f]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = spark.createDataFrame([("a", dt.date(2024, 1, 1), "x", "buy", 2.0, 10.0, 1.0), ("a", dt.date(2024, 1, 1), "y", "buy", 1.0, 5.0, 1.0)] * 50, "book string, day date, symbol string, side string, quantity double, price double, fee double")
+    days = spark.createDataFrame([("a", dt.date(2024, 1, 1), -1250.0, 100.0, 100, {"x": 100.0, "y": 50.0}, {"x": 10.0, "y": 5.0}, 0.0, -1.0)], "book string, day date, cash double, fees double, fills int, positions map<string,double>, closes map<string,double>, equity double, drawdown double")
+    assert K.reconciled(days, t.mapInArrow(counted, t.schema), F.lit(100.0)).collect() == [] and seen.value == 100
+
+
 def test_marks_are_stale_without_volume_or_today(spark):
     day = dt.date(2024, 1, 5)
     bars = spark.createDataFrame([("x", day, 2.0, 5.0), ("y", day, 2.0, 0.0), ("z", dt.date(2024, 1, 4), 3.0, 5.0), ("x", dt.date(2024, 1, 8), 9.0, 1.0)], "symbol string, date date, close double, volume double")
