@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, IntegralType, TimestampNTZType, TimestampType
 
-from marketspark.operators.scan import number
+from marketspark.operators.scan import number, whole
 
 
 def held_by(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None) -> DataFrame:
@@ -37,16 +36,6 @@ def held_by(points: DataFrame, spans: DataFrame, at: str, start: str, end: str,
     return met.drop("_level", "_bin")
 
 
-def _whole(column: Column, kind: DataType) -> Column:
-    if isinstance(kind, DateType):
-        return F.unix_date(column).cast("long")
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(column.cast("timestamp"))
-    if isinstance(kind, IntegralType):
-        return column.cast("long")
-    raise TypeError(f"dates, times or whole numbers, not {kind.simpleString()}")
-
-
 def held_totals(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None, sums: list[str] | None = None) -> DataFrame:
     """spans with the number `n` and the sums of columns of the points (of the same keys) that they hold, in pieces: a span
     has a row for each of its pieces that holds any points, to be added up by what names it. start <= at <= end; dates,
@@ -57,7 +46,7 @@ def held_totals(points: DataFrame, spans: DataFrame, at: str, start: str, end: s
     grow with the spans and with the distinct moments, times the logarithm of the longest span, whatever the overlaps.
     Nulls and spans that end before they start are as in held_by. Names must differ but for the keys."""
     keys, sums = keys or [], sums or []
-    s, e = (_whole(F.col(c), spans.schema[c].dataType) for c in (start, end))
+    s, e = (whole(F.col(c), spans.schema[c].dataType) for c in (start, end))
     sized = spans.withColumns({"_s": s, "_e": e + 1}).where("_e > _s")
     longest = sized.agg(F.max(F.col("_e") - F.col("_s"))).first()[0] or 1
     levels = range(int(longest).bit_length())
@@ -66,7 +55,7 @@ def held_totals(points: DataFrame, spans: DataFrame, at: str, start: str, end: s
         lo, hi = -F.shiftright(-F.col("_s"), level), F.shiftright("_e", level)  # bins from lo to hi - 1 lie in the span, an odd one at either end is no half of a larger one
         pieces += [F.when((lo < hi) & (odd.bitwiseAND(F.lit(1)) == 1), F.struct(F.lit(level).alias("_level"), bin_.alias("_bin"))) for odd, bin_ in ((lo, lo), (hi, hi - 1))]
     cut_up = sized.select(*spans.columns, F.inline(F.array_compact(F.array(*pieces))))
-    moments = points.select(*keys, *sums, _whole(F.col(at), points.schema[at].dataType).alias("_p")).where("_p is not null")
+    moments = points.select(*keys, *sums, whole(F.col(at), points.schema[at].dataType).alias("_p")).where("_p is not null")
     moments = moments.groupBy(*keys, "_p").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
     binned = moments.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_bin", F.expr("shiftright(_p, _level)"))
     totals = binned.groupBy(*keys, "_level", "_bin").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])

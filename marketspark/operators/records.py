@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.intervals import held_by
+from marketspark.operators.lineage import cut, stored
 from marketspark.operators.scan import LONG, Run, lengthy, scanned
 
 
@@ -114,6 +116,39 @@ def fifo_matches(trades: DataFrame, long: int = LONG) -> DataFrame:
     return met.select("book", "symbol", F.col("b.at").alias("bought_at"), F.col("s.at").alias("sold_at"), "quantity", F.col("b.price").alias("buy_price"), F.col("s.price").alias("sell_price"))
 
 
+#: Rows up to which a table of slices is broadcast.
+_SMALL = 1 << 18
+
+
+def fifo_numbered(trades: DataFrame, keys: list[str], bounds: list[float], long: int = LONG) -> DataFrame:
+    """fifo_matches(book, symbol, bought_at, sold_at, quantity) for trades(book, symbol, sell, quantity) whose moments are
+    their numbers from 1 among all trades, in the order of `keys` (nulls last; the trades of one line have distinct ones).
+
+    Trades are dealt out by slices of the first key between `bounds`. There each gets its number and its running quantity
+    within the slice, which is what is stored; what comes before a slice, of all trades and of each line, is added from a
+    table of one row a slice and line. So each trade is shuffled once for its number and once to be matched."""
+    splits = [-float("inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
+    place = Bucketizer(splits=splits, inputCol="_first", outputCol="_slice", handleInvalid="keep")
+    rows = place.transform(trades.withColumn("_first", F.col(keys[0]).cast("double"))).drop("_first").withColumn("_slice", F.coalesce(F.col("_slice").cast("int"), F.lit(len(splits) - 1)))
+    counts = F.coalesce(F.col("quantity") > 0, F.lit(False))
+    rows = rows.repartition("_slice").withColumn("_n", F.row_number().over(Window.partitionBy("_slice").orderBy(*map(F.asc_nulls_last, keys))))
+    line = Window.partitionBy("_slice", "book", "symbol", "sell").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stored(rows.select("_slice", "book", "symbol", "sell", "_n", F.sum(F.when(counts, F.col("quantity"))).over(line).alias("_own"), counts.alias("_counts")))
+    ahead = lambda *by: Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("_slice").agg(F.max("_n").alias("_size")).select("_slice", F.coalesce(F.sum("_size").over(ahead()), F.lit(0)).alias("_numbers"))  # one row a slice
+    lines = rows.groupBy("_slice", "book", "symbol", "sell").agg(F.max("_own").alias("_moved"))
+    before = lines.withColumn("_before", F.coalesce(F.sum("_moved").over(ahead("book", "symbol", "sell")), F.lit(0.0))).drop("_moved")
+    before = cut(before.join(F.broadcast(slices), "_slice"))
+    long = lengthy(rows.where("_counts"), ["book", "symbol"], long)
+    met = rows.where("_counts").join(F.broadcast(before) if before.count() <= _SMALL else before, ["_slice", "book", "symbol", "sell"])
+    ends = met.select("book", "symbol", "sell", (F.col("_numbers") + F.col("_n")).alias("at"), (F.col("_before") + F.col("_own")).alias("end"))
+    found = scanned(ends, ["book", "symbol"], ["end", "sell", "at"], {
+        "before": Run("max", F.col("end"), inclusive=False), "b": Run("last", F.when(~F.col("sell"), F.col("at")), reverse=True), "s": Run("last", F.when(F.col("sell"), F.col("at")), reverse=True),
+    }, long, narrow=True)
+    found = found.withColumn("quantity", F.col("end") - F.coalesce("before", F.lit(0.0))).where("quantity > 0 and b is not null and s is not null")
+    return found.select("book", "symbol", F.col("b").alias("bought_at"), F.col("s").alias("sold_at"), "quantity")
+
+
 def lots(trades: DataFrame, long: int = LONG) -> DataFrame:
     """Every buy with what is left of it after the sells, oldest first: book, symbol, at, quantity, price, remaining. It may
     be nothing; sells beyond all buys leave no lots. Lines of over `long` buys are worked on in slices (scan)."""

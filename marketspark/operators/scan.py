@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, IntegralType, NumericType, StructType, TimestampNTZType, TimestampType
 
 #: Rows from which a line is cut, and into how many slices.
 LONG, SLICES = 1 << 20, 64
@@ -37,6 +37,17 @@ def number(column: Column, kind: DataType) -> Column:
     return column.cast("double") if isinstance(kind, NumericType) else F.lit(None).cast("double")
 
 
+def whole(column: Column, kind: DataType) -> Column:
+    """A column of dates, times or whole numbers as a long in the same order."""
+    if isinstance(kind, DateType):
+        return F.unix_date(column).cast("long")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp"))
+    if isinstance(kind, IntegralType):
+        return column.cast("long")
+    raise TypeError(f"dates, times or whole numbers, not {kind.simpleString()}")
+
+
 def lengthy(rows: DataFrame, by: list[str], long: int | None) -> int | None:
     """`long` if any line has more rows, else None: for several scans of the same lines, which then need not count again."""
     return long if long is not None and not rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > long).isEmpty() else None
@@ -52,9 +63,10 @@ def sliced(rows: DataFrame, by: list[str], order: str, long: int | None = LONG)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > long)
     time = number(F.col(order), rows.schema[order].dataType)
     shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    bounds = rows.join(sizes.select(*by), by, "left_semi").groupBy(*by).agg(F.percentile_approx(time, shares, 1000).alias("_bounds"))
+    # a line in `sizes` stands for over `long` rows, so there are few: as broadcasts they leave the rows where they are
+    bounds = rows.join(F.broadcast(sizes.select(*by)), by, "left_semi").groupBy(*by).agg(F.percentile_approx(time, shares, 1000).alias("_bounds"))
     at = F.coalesce(F.size(F.filter("_bounds", lambda b: b < time)), F.lit(0))
-    return rows.join(bounds, by, "left").withColumn("_slice", F.when(F.col("_bounds").isNotNull() & time.isNotNull(), at).otherwise(0)).drop("_bounds")
+    return rows.join(F.broadcast(bounds), by, "left").withColumn("_slice", F.when(F.col("_bounds").isNotNull() & time.isNotNull(), at).otherwise(0)).drop("_bounds")
 
 
 def _over(run: Run, w: Window, name: str) -> Column:
@@ -68,15 +80,17 @@ def _both(how: str, before: Column, own: Column) -> Column:
     return F.greatest(before, own) if how == "max" else F.coalesce(own, before)
 
 
-def scanned(rows: DataFrame, by: list[str], order: list[str], runs: dict[str, Run], long: int | None = LONG) -> DataFrame:
-    """rows with one more column for each run along the lines of `by` in the order of `order` (ascending, nulls first)."""
-    named = rows.withColumns({f"_v_{n}": r.value for n, r in runs.items()})
-    cut_up = sliced(named, by, order[0], long)
+def scanned(rows: DataFrame, by: list[str], order: list[str], runs: dict[str, Run], long: int | None = LONG, narrow: bool = False) -> DataFrame:
+    """rows with one more column for each run along the lines of `by` in the order of `order` (ascending, nulls first).
+    narrow: rows are dealt out before the values of the runs are added, for runs of what the rows hold already."""
+    cut_up = sliced(rows, by, order[0], long)
     keys = by if cut_up is None else [*by, "_slice"]
-    wide = named if cut_up is None else cut_up
+    values = {f"_v_{n}": r.value for n, r in runs.items()}
+    wide = (rows if cut_up is None else cut_up).withColumns(values)
     ahead = Window.partitionBy(*keys).orderBy(*order)
     behind = Window.partitionBy(*keys).orderBy(*map(F.desc, order))
-    out = wide.withColumns({n: _over(r, behind if r.reverse else ahead, f"_v_{n}") for n, r in runs.items()})
+    dealt = (rows if cut_up is None else cut_up).repartition(*keys).withColumns(values) if narrow else wide
+    out = dealt.withColumns({n: _over(r, behind if r.reverse else ahead, f"_v_{n}") for n, r in runs.items()})
     if cut_up is not None:
         ends = []
         for n, r in runs.items():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketspark.operators import desk as K
 from marketspark.operators import records as C
 from marketspark.operators.lineage import cut
+from marketspark.operators.packing import Keys
 from marketspark.plans.desk import _DATED, _dated
 from marketspark.plans.factors import shown, shown_sql
 from marketspark.plans.inputs import BARS, bars, sql, table
@@ -15,6 +16,8 @@ from marketspark.streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Line items in a slice of time, within which they are numbered.
+_AT_ONCE = 1 << 19
 _BY = "PARTITION BY book, symbol"
 
 
@@ -70,14 +73,18 @@ def lots_sellable(spark: SparkSession, sf_dir: str) -> DataFrame:
   ON b.book = s.book AND b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.quantity < s.hi AND s.hi - s.quantity < b.hi)"""))
 def fifo_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slice of a sell with the buy that it comes from."""
-    t = _dated(spark, sf_dir)
-    numbered = t.withColumn("at", F.row_number().over(Window.partitionBy("book", "symbol").orderBy("at")))
-    slices = C.fifo_matches(numbered)
-    # numbers within a line become those of all trades, as the SQL has them
-    all_ = t.select("book", "symbol", "at").withColumn("seq", F.row_number().over(Window.orderBy("at"))).withColumn("n", F.row_number().over(Window.partitionBy("book", "symbol").orderBy("at"))).select("book", "symbol", "n", "seq")
-    one = slices.join(all_.withColumnsRenamed({"n": "bought_at", "seq": "bought_at_seq"}), ["book", "symbol", "bought_at"])
-    both = one.join(all_.withColumnsRenamed({"n": "sold_at", "seq": "sold_at_seq"}), ["book", "symbol", "sold_at"])
-    return both.select("book", "symbol", F.col("bought_at_seq").cast("long").alias("bought_at_seq"), F.col("sold_at_seq").cast("long").alias("sold_at_seq"), "quantity")
+    lines, orders, customers, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
+    lines = lines.withColumn("sell", F.coalesce(F.col("l_returnflag") == "R", F.lit(False)))
+    # lines are shuffled thrice, for their brand, their order's segment and their number, as two keys and a quantity
+    keys = Keys(lines, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sell"])
+    packed = lines.select(*keys.packed(), F.col("l_quantity").alias("quantity"))
+    n = -(-keys.rows // _AT_ONCE)
+    bounds = packed.agg(F.percentile_approx(F.col(keys.names[0]).cast("double"), F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000)).first()[0] if n > 1 else []
+    branded = packed.join(part.select("p_partkey", F.col("p_brand").alias("symbol")), keys.field("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    books = orders.select("o_orderkey", "o_custkey").join(customers.select("c_custkey", F.col("c_mktsegment").alias("book")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "book")
+    trades = branded.join(books, keys.field("l_orderkey") == F.col("o_orderkey")).withColumn("sell", keys.field("sell") == 1)
+    slices = C.fifo_numbered(trades, keys.names, bounds or [])
+    return slices.select("book", "symbol", F.col("bought_at").alias("bought_at_seq"), F.col("sold_at").alias("sold_at_seq"), "quantity")
 
 
 _HELD = """, held AS (SELECT book, symbol, sum(signed) AS quantity FROM costs GROUP BY book, symbol),
